@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .pair_index_bpe import op3_pair_index_bpe
 from .token_store import op1_token_store
 
 
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
+        "op3_pair_index_bpe": op3_pair_index_bpe,
     }
 
 
