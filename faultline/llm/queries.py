@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import chat_windows
+from .chat_windows import op2_chat_windows
 from .pair_index_bpe import op3_pair_index_bpe
 from .token_store import op1_token_store
 
@@ -9,9 +11,10 @@ from .token_store import op1_token_store
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
+        "op2_chat_windows": op2_chat_windows,
         "op3_pair_index_bpe": op3_pair_index_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_windows": chat_windows.ORACLE}
