@@ -145,8 +145,8 @@ WITH c AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (
   SELECT *, 4 + CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens,
-    7 + 1 + length(regexp_replace(replace(replace(role, '\', '\'), chr(10), '\n'), '([<\[])(\*)(TAILS)', '\1\\2\3', 'g'))
-      + length(regexp_replace(text, '([<\[])(\*)(TAILS)', '\1\\2\3', 'g')) AS chars FROM c),
+    8 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*)(TAILS)', '\1\\\2\3', 'g'))
+      + length(regexp_replace(text, '([<\[])(\\*)(TAILS)', '\1\\\2\3', 'g')) AS chars FROM c),
 placed AS (
   SELECT *, row_number() OVER w AS pos, CAST(sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
   FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
