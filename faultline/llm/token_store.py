@@ -14,8 +14,10 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +110,6 @@ class CachedTokenizer:
     special tokens, go through its whole pipeline. Other tokenizers are used as they are.
     """
 
-    CAPACITY = 300_000
     SIMPLE = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
     CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|[0-9]|(?:[^\\w]|_)+")
     #: Below U+0180, what \w holds besides letters: superscripts and fractions, which the vocabulary's pattern takes as numbers.
@@ -123,48 +124,54 @@ class CachedTokenizer:
         spec = json.loads(self.full.to_str())
         self.width = 2 if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
+        self.code = "H" if self.width == 2 else "I"
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_piece = spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in json.dumps(spec["normalizer"]) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.model = self.full.model
         self.model._resize_cache(0)
         self.alphabet = byte_alphabet()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces = _Memo(self._piece, 300_000)
+        self.words = _Memo(self._word, 500_000)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return np.array(ids, self.dtype).tobytes() if sys.byteorder == "big" else array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
-        out = self._pack([t.id for t in self.model.tokenize(mapped)])
-        if len(self.words) >= self.CAPACITY:
-            self.words.clear()
-        self.words[word] = out
-        return out
+        mapped = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
+        return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def _piece(self, piece: str) -> bytes:
-        if not piece:
-            return b""
+        tail = b""
+        if piece[-1:] in (".", ","):
+            core = piece[:-1]
+            if core.isalpha() and (core.isascii() or self.SIMPLE.fullmatch(core)):
+                piece, tail = core, self.words[piece[-1]]
+        if piece.isascii() and piece.isalpha():
+            return self.words[piece.lower()] + tail
         if self.SIMPLE.fullmatch(piece) and not self.ODD.search(piece) and unicodedata.is_normalized("NFC", piece):
-            words = self.words
-            return b"".join([words.get(w) or self._word(w) for w in self.CUT.findall(piece.lower())])
-        return self._pack(self.full.encode(piece, add_special_tokens=False).ids)
+            return b"".join([self.words[w] for w in self.CUT.findall(piece.lower())]) + tail
+        return self._pack(self.full.encode(piece, add_special_tokens=False).ids) + tail if piece else b""
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed in self.dtype."""
         if not self.by_piece or any(s in text for s in self.special):
             return self._pack(self.full.encode(text, add_special_tokens=False).ids)
-        pieces = text.split(" ")
-        cache = self.pieces
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            if len(cache) >= self.CAPACITY:
-                cache.clear()
-            for p in pieces:
-                if p not in cache:
-                    cache[p] = self._piece(p)
-            return b"".join([cache[p] for p in pieces])
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+class _Memo(dict):
+    """Results by key, made on demand; emptied when it is full."""
+
+    def __init__(self, make, capacity: int):
+        super().__init__()
+        self.make, self.capacity = make, capacity
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) >= self.capacity:
+            self.clear()
+        self[key] = value
+        return value
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
