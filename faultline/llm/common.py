@@ -70,9 +70,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
         m = max(n, 2 * len(_POWERS))
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate([[1], np.full(m - 1, _MULT, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            _INVERSES = np.cumprod(np.concatenate([[1], np.full(m - 1, pow(_MULT, -1, 2**64), np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        factors = np.array([[_MULT], [pow(_MULT, -1, 2**64)]], np.uint64).repeat(m, 1)
+        factors[:, 0] = 1
+        _POWERS, _INVERSES = np.cumprod(factors, axis=1, dtype=np.uint64)
     return _POWERS, _INVERSES
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat_windows
 from .chat_windows import op2_chat_windows
+from .hyperminhash import op8_hyperminhash
 from .pair_index_bpe import op3_pair_index_bpe
 from .token_store import op1_token_store
 
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_token_store": op1_token_store,
         "op2_chat_windows": op2_chat_windows,
         "op3_pair_index_bpe": op3_pair_index_bpe,
+        "op8_hyperminhash": op8_hyperminhash,
     }
 
 
