@@ -9,6 +9,7 @@ from .pair_index_bpe import op3_pair_index_bpe
 from .simhash_decontam import op7_simhash_decontam
 from .token_store import op1_token_store
 from .toxicity_gru import op9_toxicity_gru
+from .weak_pii import op10_weak_pii
 
 
 def queries() -> dict:
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op7_simhash_decontam": op7_simhash_decontam,
         "op8_hyperminhash": op8_hyperminhash,
         "op9_toxicity_gru": op9_toxicity_gru,
+        "op10_weak_pii": op10_weak_pii,
     }
 
 
