@@ -254,5 +254,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, that stay: of each component the one with the smallest doc_id. Rows without a doc_id stay; of rows alike in doc_id and text one stays."""
+    found = written(near_duplicates(docs, k, percent).select("doc_id", "component_id", "kept"), "kept")
+    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))
+        both = found.filter("kept").select("doc_id").distinct()
+        gone = gone.join(both, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)

@@ -216,36 +216,46 @@ def blocks_of(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-ENCODED = "doc_id long, ids binary, decoded string"
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+COLUMNS = {"ids": ("ids binary", pa.binary()), "decoded": ("decoded string", pa.string()), "n_tokens": ("n_tokens long", pa.int64()), "ids_sha256": ("ids_sha256 string", pa.string()), "decoded_sha256": ("decoded_sha256 string", pa.string())}
 
 
-def _run(path: str, digest: bool):
+def _column(name: str, ids: bytes, decoded: bytes):
+    if name == "ids":
+        return ids
+    if name == "n_tokens":
+        return len(ids) // 4
+    if name == "ids_sha256":
+        return hashlib.sha256(ids).hexdigest()
+    text = decoded.decode("utf-8", "replace")
+    return text if name == "decoded" else hashlib.sha256(text.encode()).hexdigest()
+
+
+def _mapped(docs: DataFrame, path: str, names: list[str], id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for block in blocks_of(texts):
                 got = bpe.encode_batch(texts[block])
-                doc_ids = batch.column(0)[block.start : block.stop]
-                decoded = [(d.decode("utf-8", "replace")).encode() if digest else d.decode("utf-8", "replace") for _, d in got]
-                if digest:
-                    columns = [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())]
-                else:
-                    columns = [pa.array([i for i, _ in got], pa.binary()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays([doc_ids, *columns], names=[c.split()[0] for c in (DIGEST if digest else ENCODED).split(", ")])
+                columns = [pa.array([_column(n, *g) for g in got], COLUMNS[n][1]) for n in names]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[block.start : block.stop], *columns], names=["doc_id", *names])
 
-    return run
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, ", ".join(["doc_id long", *[COLUMNS[n][0] for n in names]]))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian 32-bit) and the text that they decode to. No shuffle."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run(tokenizer_path, False), ENCODED)
+    return _mapped(docs, tokenizer_path, ["ids", "decoded"], id_col, text_col)
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode, with digests in place of ids and text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run(tokenizer_path, True), DIGEST)
+    return _mapped(docs, tokenizer_path, ["n_tokens", "ids_sha256", "decoded_sha256"], id_col, text_col)
+
+
+def encoded_with_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return _mapped(docs, tokenizer_path, ["n_tokens", "ids_sha256", "decoded_sha256", "ids"], id_col, text_col)
 
 
 def default_path() -> str:

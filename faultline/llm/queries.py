@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat_windows
 from .chat_windows import op2_chat_windows
 from .hyperminhash import op8_hyperminhash
@@ -21,8 +23,10 @@ def queries() -> dict:
         "op8_hyperminhash": op8_hyperminhash,
         "op9_toxicity_gru": op9_toxicity_gru,
         "op10_weak_pii": op10_weak_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_windows": chat_windows.ORACLE}
+    known = {"op2_chat_windows": chat_windows.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in known.items() if v}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -193,21 +193,54 @@ def _chosen(decide: np.ndarray):
     return run
 
 
-def personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, base, spans) for each document, spans being those of base and the added ones; and the proposals table that it reads."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "array<struct<start:int,stop:int,kind:string>>"
-    proposals = written(text.mapInArrow(_propose, f"row long, base {kinds}, extra array<struct<start:int,stop:int,kind:string,votes:int,features:int>>"), "pii-candidates")
+def _decisions(proposals: DataFrame) -> np.ndarray:
+    """What the span classifier decides for each feature pattern, from counts over all candidates."""
     counts = proposals.select(F.explode("extra").alias("x")).groupBy("x.votes", "x.features").count().collect()
-    decide = np.zeros(1 << FEATURES, bool)
-    if counts:
-        packed, features, n = (np.array([r[i] for r in counts], np.int64) for i in range(3))
-        votes = packed[:, None] // 3 ** np.arange(len(LABELERS)) % 3 - 1
-        order = np.lexsort((features, packed))
-        packed, features, n, votes = packed[order], features[order], n[order], votes[order]
-        _, _, post = reliabilities(votes, n.astype(float))
-        decide = accepted(span_classifier(features, post, n.astype(float)))
-    return proposals.mapInArrow(_chosen(decide), f"row long, base {kinds}, spans {kinds}").withColumnRenamed("row", "doc_id"), proposals
+    if not counts:
+        return np.zeros(1 << FEATURES, bool)
+    packed, features, n = (np.array([r[i] for r in counts], np.int64) for i in range(3))
+    order = np.lexsort((features, packed))
+    packed, features, n = packed[order], features[order], n[order].astype(float)
+    votes = packed[:, None] // 3 ** np.arange(len(LABELERS)) % 3 - 1
+    _, _, post = reliabilities(votes, n)
+    return accepted(span_classifier(features, post, n))
+
+
+KIND_ROWS = "array<struct<start:int,stop:int,kind:string>>"
+
+
+def _proposals(docs: DataFrame) -> DataFrame:
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(text.mapInArrow(_propose, f"row long, base {KIND_ROWS}, extra array<struct<start:int,stop:int,kind:string,votes:int,features:int>>"), "pii-candidates")
+
+
+def personal_data(docs: DataFrame) -> DataFrame:
+    """doc_id, base and spans (those of base and the added ones) for each document."""
+    proposals = _proposals(docs)
+    return proposals.mapInArrow(_chosen(_decisions(proposals)), f"row long, base {KIND_ROWS}, spans {KIND_ROWS}").withColumnRenamed("row", "doc_id")
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """The documents with their spans masked in text; n_chars, where there is one, follows. Spans are found again beside the text, so no join is needed."""
+    proposals = _proposals(docs)
+    choose = _chosen(_decisions(proposals))
+    discard(proposals)
+    names = docs.columns
+    at_text = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.nulls(batch.num_rows, pa.int64())
+            found = next(choose(_propose(iter([pa.RecordBatch.from_arrays([ids, batch.column(at_text)], names=["doc_id", "text"])]))))
+            texts = [masked_text(t.as_py(), s) for t, s in zip(batch.column(at_text), found.column(2).to_pylist(), strict=True)]
+            columns = list(batch.columns)
+            columns[at_text] = pa.array(texts, batch.column(at_text).type)
+            if "n_chars" in names:
+                old = batch.column(names.index("n_chars"))
+                columns[names.index("n_chars")] = pa.array([o if t is None else len(t) for t, o in zip(texts, old.to_pylist(), strict=True)], old.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +255,7 @@ DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"))[0].mapInArrow(_digest, DIGEST)
+    return personal_data(table(spark, sf_dir, "documents")).mapInArrow(_digest, DIGEST)
 
 
 def masked_text(text: str | None, spans: list[dict]) -> str | None:
