@@ -6,7 +6,7 @@ give candidate buckets; at a Jaccard similarity of 0.8 a pair shares none with a
 collision-corrected estimate is more than SIGMAS standard errors below the threshold go; the rest are compared on full sets.
 
 Copies (equal sets) are one class from the start. Inside a band bucket, members are first compared with its smallest class.
-Buckets whose members do not all join by that are compared in blocks of BLOCK classes, only across components. So a group of
+Buckets whose members do not all join by that are compared in blocks of at most BLOCK classes or BLOCK_BYTES of sets, only across components. So a group of
 near copies costs a comparison each, and no link between different components is left out.
 
 Nulls and empty texts have empty sets: linked with nothing, n_shingles 0, component_id their own doc_id. A null doc_id counts
@@ -32,7 +32,7 @@ BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 5.0
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 1 << 20
 EMPTY = np.uint16(0xFFFF)
 _PREFERENCE = mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(77)).reshape(REGISTERS, REGISTERS)
 
@@ -150,31 +150,48 @@ def _hopeful(percent: int):
 
 
 def _across(percent: int):
-    """Pairs of a block pair that lie in different components, may reach the threshold and share no earlier band."""
+    """Of a pair of blocks: links that join their components. Pairs go by falling estimate; those already joined, those that an earlier band holds and those that cannot reach the threshold are passed over, so at most a link for each row comes out."""
 
     def run(t: pa.Table) -> pa.Table:
-        node, label, size = (t.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
-        side, key = t.column("side").to_numpy(), np.int64(t.column("band")[0].as_py())
+        node, label, size, side = (t.column(c).to_numpy() for c in ("node", "label", "n_shingles", "side"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("shingles")]
         regs = _stack(t.column("registers"))
         keys = np.stack([band_keys(r).view(np.int64) for r in regs])
-        band = int(np.flatnonzero((keys == key).all(0))[0])
+        band = int(np.flatnonzero((keys == np.int64(t.column("band")[0].as_py())).all(0))[0])
         one_block = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left = np.flatnonzero(side == 0)
-        right = left if one_block else np.flatnonzero(side == 1)
-        out_a, out_b = [], []
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one_block else 1))
+        hopes = []
         for x in left:
-            y = right[(node[right] > node[x]) & (label[right] != label[x])] if one_block else right[label[right] != label[x]]
-            if not len(y):
-                continue
-            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]
+            y = right[label[right] != label[x]]
+            y = y[node[y] > node[x]] if one_block else y
+            y = y[~(keys[y, :band] == keys[x, :band]).any(1)] if len(y) else y
             y = y[may_reach(regs[x], regs[y], size[x], size[y], percent)] if len(y) else y
-            out_a += [int(node[x])] * len(y)
-            out_b += node[y].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            if len(y):
+                hopes.append(np.stack([-estimate(regs[x], regs[y])[0], np.full(len(y), x), y], 1))
+        out: list[tuple[int, int]] = []
+        hopes = np.concatenate(hopes) if hopes else np.zeros((0, 3))
+        for x, y in hopes[np.lexsort((hopes[:, 2], hopes[:, 1], hopes[:, 0]))][:, 1:].astype(np.int64).tolist():
+            p, q = find(int(label[x])), find(int(label[y]))
+            if p != q and reaches(sets[x], sets[y], percent):
+                root[max(p, q)] = min(p, q)
+                out.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _sets_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,27 +207,18 @@ def _sets_of(k: int):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that reach the threshold on full sets. A set is made again from the text of one document of its class."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _set_table(nodes: DataFrame, docs: DataFrame, sketch: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles: the full sets of the given classes, each made again from the text of one of its documents."""
     one = sketch.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("of_doc"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(one, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text").mapInArrow(_sets_of(k), "node long, shingles binary")
-    sets = written(found, "sets")
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
-    discard(sets)
-    return links
+    found = texts.join(one, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text")
+    return written(found.mapInArrow(_sets_of(k), "node long, shingles binary"), "sets")
 
 
 def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,24 +232,31 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     sized = lambda c, n: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
     likely = stars.join(sized("a", 1), "a").join(sized("b", 2), "b").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(_hopeful(percent), "a long, b long")
     likely = written(likely, "likely")
-    links = _confirmed(likely, docs, sketch, k, percent, id_col, text_col)
+    nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    sets = _set_table(nodes, docs, sketch, k, id_col, text_col)
+    side = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
+    links = written(likely.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
     labels = written(connected_components(links), "labels")
 
     #: Buckets of three and more that the comparisons with their centers did not join.
     told = members.filter("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = told.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    place = Window.partitionBy("band").orderBy("label", "node")
-    left = written(told.join(apart, "band").select("band", "node", "label", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int").alias("block")), "apart")
-    blocks = left.groupBy("band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    other = blocks.select("band", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = blocks.join(other, "band").filter("block <= j AND NOT (low = high AND low2 = high2 AND low = low2)").select("band", F.col("block").alias("i"), "j")
-    sides = pairs.select("band", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("s")).select("band", "i", "j", "s.side", "s.block")
-    rows = left.join(sides, ["band", "block"]).join(classes, "node").select("band", "i", "j", "side", "node", "label", "n_shingles", "registers")
-    more = written(rows.groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct(), "across")
-    if not more.isEmpty():
-        found = _confirmed(more, docs, sketch, k, percent, id_col, text_col)
-        labels = written(connected_components(links.unionByName(found)), "labels")
-    for df in (classes, buckets, members, likely, left, more):
+    apart = written(told.join(apart, "band").select("band", "node", "label").join(classes.select("node", "n_shingles"), "node"), "apart")
+    if not apart.isEmpty():
+        place = Window.partitionBy("band").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
+        weight = F.greatest(8 * F.col("n_shingles"), F.lit(BLOCK_BYTES // BLOCK))
+        left = written(apart.withColumn("block", F.floor((F.sum(weight).over(place) - 1) / BLOCK_BYTES)), "blocks")
+        blocks = left.groupBy("band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        other = blocks.select("band", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        pairs = blocks.join(other, "band").filter("block <= j AND NOT (low = high AND low2 = high2 AND low = low2)").select("band", F.col("block").alias("i"), "j")
+        sides = pairs.select("band", "i", "j", F.expr("explode(if(i = j, array(named_struct('side', 0, 'block', i)), array(named_struct('side', 0, 'block', i), named_struct('side', 1, 'block', j)))) AS s")).select("band", "i", "j", "s.side", "s.block")
+        sets2 = _set_table(apart.select("node").distinct(), docs, sketch, k, id_col, text_col).dropDuplicates(["node"])
+        rows = left.join(sides, ["band", "block"]).join(classes.select("node", "registers"), "node").join(sets2, "node").select("band", "i", "j", "side", "node", "label", "n_shingles", "registers", "shingles")
+        found = written(rows.groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long"), "across")
+        if not found.isEmpty():
+            labels = written(connected_components(links.unionByName(found)), "labels")
+        discard(left)
+    for df in (classes, buckets, members, likely, sets, apart):
         discard(df)
     return sketch.drop("registers").join(labels, "node", "left")
 
