@@ -9,6 +9,7 @@ from .chat_windows import op2_chat_windows
 from .hyperminhash import op8_hyperminhash
 from .pair_index_bpe import op3_pair_index_bpe
 from .pu_quality import op5_pu_quality
+from .run_length_dedup import op4_run_length_dedup
 from .simhash_decontam import op7_simhash_decontam
 from .token_store import op1_token_store
 from .toxicity_gru import op9_toxicity_gru
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op1_token_store": op1_token_store,
         "op2_chat_windows": op2_chat_windows,
         "op3_pair_index_bpe": op3_pair_index_bpe,
+        "op4_run_length_dedup": op4_run_length_dedup,
         "op5_pu_quality": op5_pu_quality,
         "op7_simhash_decontam": op7_simhash_decontam,
         "op8_hyperminhash": op8_hyperminhash,
