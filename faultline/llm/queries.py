@@ -13,6 +13,7 @@ from .run_length_dedup import op4_run_length_dedup
 from .simhash_decontam import op7_simhash_decontam
 from .token_store import op1_token_store
 from .toxicity_gru import op9_toxicity_gru
+from .vector_dedup import op6_vector_dedup
 from .weak_pii import op10_weak_pii
 
 
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op3_pair_index_bpe": op3_pair_index_bpe,
         "op4_run_length_dedup": op4_run_length_dedup,
         "op5_pu_quality": op5_pu_quality,
+        "op6_vector_dedup": op6_vector_dedup,
         "op7_simhash_decontam": op7_simhash_decontam,
         "op8_hyperminhash": op8_hyperminhash,
         "op9_toxicity_gru": op9_toxicity_gru,
