@@ -1,0 +1,102 @@
+"""Queries that need more than one statement: fixpoints and kernels over DataFrames."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import findings, fixpoint
+from . import views
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customer -> order -> part -> supplier: seeds, edges up to parts, edges from parts. Nodes are longs: key * 4 + layer."""
+    node = lambda c, layer: (F.col(c).cast("long") * 4 + layer)
+    customers = _table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"))
+    orders, items = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    first = orders.select(node("o_custkey", 0).alias("src"), node("o_orderkey", 1).alias("dst")).unionByName(items.select(node("l_orderkey", 1).alias("src"), node("l_partkey", 2).alias("dst")))
+    last = items.select(node("l_partkey", 2).alias("src"), node("l_suppkey", 3).alias("dst"))
+    return customers.select(node("c_custkey", 0).alias("node")), first, last
+
+
+def taint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taint reaches parts; a part that sanitizes a sink's kind passes nothing on to it; what reaches a sink is a finding."""
+    seeds, first, last = _flow(spark, sf_dir)
+    kinds = F.when(F.col("s_nationkey") % 3 == 0, "sql_injection").when(F.col("s_nationkey") % 3 == 1, "xss").otherwise("command_injection")
+    sinks = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey").cast("long") * 4 + 3).alias("dst"), kinds.alias("type"))
+    clean = _table(spark, sf_dir, "part").filter("p_size % 5 = 0").select((F.col("p_partkey").cast("long") * 4 + 2).alias("src"), F.when(F.col("p_size") % 2 == 0, "sql_injection").otherwise("xss").alias("type"))
+    tainted = fixpoint.reachable(seeds, first).filter("node % 4 = 2").select(F.col("node").alias("src"))
+    hits = last.distinct().join(tainted, "src", "left_semi").join(sinks, "dst").join(clean, ["src", "type"], "left_anti")
+    found = hits.select(F.col("dst").alias("sink"), "type").distinct()
+    vuln = spark.sql(views.with_views("SELECT type, severity, cwe FROM vuln", 0, sf_dir))
+    return found.join(F.broadcast(vuln), "type", "left").groupBy("type", "cwe", "severity").agg(F.count("*").alias("findings"))
+
+
+TAINT_ORACLE = """SELECT k.type, v.cwe, v.severity, count(*) AS findings FROM (SELECT DISTINCT l.l_suppkey, s.type FROM lineitem l
+  JOIN (SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'xss' ELSE 'command_injection' END AS type FROM supplier) s ON l.l_suppkey = s.s_suppkey
+  JOIN part p ON l.l_partkey = p.p_partkey
+  WHERE l.l_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('MACHINERY', 'BUILDING'))
+  AND NOT (p.p_size % 5 = 0 AND s.type = CASE WHEN p.p_size % 2 = 0 THEN 'sql_injection' ELSE 'xss' END)) k LEFT JOIN vuln v ON k.type = v.type GROUP BY k.type, v.cwe, v.severity"""
+
+
+CALLS = "SELECT DISTINCT CAST(substr(caller, 2) AS INT) AS src, CAST(substr(callee, 2) AS INT) AS dst FROM v_call WHERE (CAST(substr(caller, 2) AS INT) * 31 + CAST(substr(callee, 2) AS INT)) % 97 = 5"
+
+
+def interprocedural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Procedures that tainted arguments reach through calls, by the least number of calls."""
+    return fixpoint.reachable(spark.range(1).select(F.lit(5).alias("node")), views.run(spark, sf_dir, CALLS))
+
+
+def equality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fixpoint.components(views.run(spark, sf_dir, CALLS + " AND CAST(substr(callee, 2) AS INT) % 3 = 0"))
+    return found.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("members"))
+
+
+def sanitized_on_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Must-analysis over calls: facts 0..4 hold at procedure 5; a procedure divisible by 60 kills one."""
+    nodes = spark.range(300).select(F.col("id").cast("int").alias("node"))
+    entry = spark.range(5).select(F.lit(5).alias("node"), F.col("id").cast("int").alias("fact"))
+    kills = nodes.filter("node % 60 = 0").select("node", F.expr("CAST(node / 60 AS INT)").alias("fact"))
+    return fixpoint.must_hold(nodes, views.run(spark, sf_dir, CALLS), entry, kills)
+
+
+def unavoidable_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Procedures from which a call chain comes back to one of the first ten."""
+    edges = views.run(spark, sf_dir, CALLS).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return fixpoint.reachable(spark.range(10).select(F.col("id").cast("int").alias("node")), edges).select("node")
+
+
+def sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = views.run(spark, sf_dir, "SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE repo = 'repo1' AND cwe IS NOT NULL")
+    return findings.read_sarif(findings.to_sarif(found)).groupBy("rule_id", "level").agg(F.count("*").alias("n"))
+
+
+def anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.run(spark, sf_dir, "SELECT DISTINCT location, cwe, line FROM v_finding WHERE cwe IS NOT NULL")
+    return findings.anchored_clusters(rows, ["location", "cwe"], "line", 3).groupBy("location", "cwe", "anchor").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable] = {
+    "F2_taint_findings": taint_findings,
+    "F4_interprocedural": interprocedural,
+    "F10_equality_classes": equality_classes,
+    "D14_must_hold": sanitized_on_all_paths,
+    "G2_uncontrolled_recursion": unavoidable_recursion,
+    "A18_sarif_round_trip": sarif,
+    "E6_anchored_clusters": anchored_clusters,
+}
+
+ORACLES: dict[str, str] = {
+    "F2_taint_findings": TAINT_ORACLE,
+    "F4_interprocedural": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON w.node = e.src WHERE w.depth < 30) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
+    "F10_equality_classes": f"WITH RECURSIVE edge AS ({CALLS} AND CAST(substr(callee, 2) AS INT) % 3 = 0), either AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge), walk AS (SELECT src AS node, src AS label FROM either UNION SELECT b.dst, w.label FROM walk w JOIN either b ON w.node = b.src), least AS (SELECT node, min(label) AS component FROM walk GROUP BY node) SELECT component, count(*) AS members FROM least GROUP BY component",
+    "D14_must_hold": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node UNION SELECT e.dst FROM walk w JOIN edge e ON w.node = e.src), fails AS (SELECT CAST(k.n AS INT) AS node, CAST(k.n // 60 AS INT) AS fact FROM (SELECT unnest(range(300)) AS n) k WHERE k.n % 60 = 0 UNION SELECT e.dst, f.fact FROM fails f JOIN edge e ON f.node = e.src) SELECT w.node, CAST(k.fact AS INT) AS fact FROM walk w CROSS JOIN (SELECT unnest(range(5)) AS fact) k WHERE NOT EXISTS (SELECT 1 FROM fails f WHERE f.node = w.node AND f.fact = k.fact)",
+    "G2_uncontrolled_recursion": f"WITH RECURSIVE edge AS ({CALLS}), back AS (SELECT CAST(n AS INT) AS node FROM (SELECT unnest(range(10)) AS n) k UNION SELECT e.src FROM back b JOIN edge e ON b.node = e.dst) SELECT node FROM back",
+    "A18_sarif_round_trip": "SELECT cwe AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM (SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE repo = 'repo1' AND cwe IS NOT NULL) t GROUP BY ALL",
+}

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from . import catalog, frames, views
+
 FLAGSHIP = "F2_taint_findings"
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    out: dict[str, Callable] = {}
+    for name, sql in catalog.SQL.items():
+        text = sql if isinstance(sql, str) else sql[0]
+        out[name] = lambda spark, sf_dir, text=text: views.run(spark, sf_dir, text)
+    return out | frames.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {name: views.with_views(sql if isinstance(sql, str) else sql[1], 1) for name, sql in catalog.SQL.items()}
+    return out | {name: views.with_views(sql, 1) for name, sql in frames.ORACLES.items()}
