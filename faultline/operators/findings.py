@@ -36,19 +36,11 @@ def read_sarif(texts: DataFrame, column: str = "sarif") -> DataFrame:
 
 
 def anchored_clusters(rows: DataFrame, keys: list[str], line: str, reach: int) -> DataFrame:
-    """Each row with the anchor of its cluster: the first line of a group takes all lines within reach of it, then the next begins."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, line).schema)
-
-    def group(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(line, kind="stable")
-        anchors, anchor = [], None
-        for x in part[line]:
-            if anchor is None or x - anchor > reach:
-                anchor = x
-            anchors.append(anchor)
-        return part.assign(anchor=anchors)
-
-    return rows.select(*keys, line).groupBy(*keys).applyInPandas(group, f"{fields}, anchor int")
+    """The distinct lines of each key with the anchor of their cluster: the first line of a cluster takes all lines within reach of it, then the next begins."""
+    fold = f"""aggregate(lines, cast(array() as array<struct<line:int,anchor:int>>),
+      (done, x) -> concat(done, array(named_struct('line', x, 'anchor', if(size(done) > 0 AND x - element_at(done, -1).anchor <= {int(reach)}, element_at(done, -1).anchor, x)))))"""
+    lines = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(line).cast("int"))).alias("lines"))
+    return lines.select(*keys, F.explode(F.expr(fold)).alias("x")).select(*keys, F.col("x.line").alias(line), F.col("x.anchor").alias("anchor"))
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators import findings, fixpoint
+from ..sources import python_source
 from . import views
 
 
@@ -45,7 +47,8 @@ TAINT_ORACLE = """SELECT k.type, v.cwe, v.severity, count(*) AS findings FROM (S
   AND NOT (p.p_size % 5 = 0 AND s.type = CASE WHEN p.p_size % 2 = 0 THEN 'sql_injection' ELSE 'xss' END)) k LEFT JOIN vuln v ON k.type = v.type GROUP BY k.type, v.cwe, v.severity"""
 
 
-CALLS = "SELECT DISTINCT CAST(substr(caller, 2) AS INT) AS src, CAST(substr(callee, 2) AS INT) AS dst FROM v_call WHERE (CAST(substr(caller, 2) AS INT) * 31 + CAST(substr(callee, 2) AS INT)) % 97 = 5"
+CALLS = "SELECT DISTINCT CAST(substr(caller, 2) AS INT) AS src, CAST(substr(callee, 2) AS INT) AS dst FROM v_call WHERE (CAST(substr(caller, 2) AS INT) * 31 + CAST(substr(callee, 2) AS INT)) % 31 = 5"
+SPARSE = CALLS.replace("% 31", "% 97") + " AND CAST(substr(callee, 2) AS INT) % 3 = 0"
 
 
 def interprocedural(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ def interprocedural(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixpoint.components(views.run(spark, sf_dir, CALLS + " AND CAST(substr(callee, 2) AS INT) % 3 = 0"))
+    found = fixpoint.components(views.run(spark, sf_dir, SPARSE))
     return found.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("members"))
 
 
@@ -82,7 +85,30 @@ def anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.anchored_clusters(rows, ["location", "cwe"], "line", 3).groupBy("location", "cwe", "anchor").agg(F.count("*").alias("n"))
 
 
+FORMULAS = """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'a |-> b * b |-> nil |- ls(a, nil)' WHEN 1 THEN 'a |-> b |- a |-> c' WHEN 2 THEN 'ls(a, b) * ls(b, nil) |- ls(a, nil)'
+  WHEN 3 THEN 'a |-> b * a |-> c' WHEN 4 THEN 'tree(a) |- tree(b)' ELSE 'a |-> ' END AS formula FROM part"""
+
+
+def entailments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.run(spark, sf_dir, FORMULAS)
+    return rows.select("p_partkey", kernels.check("formula").alias("verdict"))
+
+
+def frames_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.run(spark, sf_dir, "SELECT p_partkey, 'x |-> ' || CASE WHEN p_size % 2 = 0 THEN 'y * z |-> w' ELSE 'y' END || ' |- x |-> y' AS formula FROM part")
+    return rows.select("p_partkey", kernels.frame_of("formula").alias("frame"))
+
+
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small program for each part; every third cleans its input first."""
+    rows = views.run(spark, sf_dir, "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS filename, 'import os\ndef run():\n    a = input()\n    b = ' || CASE WHEN p_partkey % 3 = 0 THEN 'shlex.quote(a)' ELSE 'a + 1' END || '\n    os.system(b)\n' AS text FROM part WHERE p_partkey < 300")
+    return python_source.scan(rows).select("file", "line", "type", "source_line")
+
+
 QUERIES: dict[str, Callable] = {
+    "M2_entailment": entailments,
+    "M4_frame": frames_left,
+    "A8_python_scan": source_scan,
     "F2_taint_findings": taint_findings,
     "F4_interprocedural": interprocedural,
     "F10_equality_classes": equality_classes,
@@ -93,9 +119,12 @@ QUERIES: dict[str, Callable] = {
 }
 
 ORACLES: dict[str, str] = {
+    "M2_entailment": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'valid' WHEN 3 THEN 'unsat' WHEN 4 THEN 'unknown' ELSE 'error' END AS verdict FROM part",
+    "M4_frame": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'z |-> w' END AS frame FROM part",
+    "A8_python_scan": "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS file, CAST(5 AS INT) AS line, 'command_injection' AS type, CAST(3 AS INT) AS source_line FROM part WHERE p_partkey < 300 AND p_partkey % 3 <> 0",
     "F2_taint_findings": TAINT_ORACLE,
-    "F4_interprocedural": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON w.node = e.src WHERE w.depth < 30) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
-    "F10_equality_classes": f"WITH RECURSIVE edge AS ({CALLS} AND CAST(substr(callee, 2) AS INT) % 3 = 0), either AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge), walk AS (SELECT src AS node, src AS label FROM either UNION SELECT b.dst, w.label FROM walk w JOIN either b ON w.node = b.src), least AS (SELECT node, min(label) AS component FROM walk GROUP BY node) SELECT component, count(*) AS members FROM least GROUP BY component",
+    "F4_interprocedural": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON w.node = e.src WHERE w.depth < 64) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
+    "F10_equality_classes": f"WITH RECURSIVE edge AS ({SPARSE}), either AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge), walk AS (SELECT src AS node, src AS label FROM either UNION SELECT b.dst, w.label FROM walk w JOIN either b ON w.node = b.src), least AS (SELECT node, min(label) AS component FROM walk GROUP BY node) SELECT component, count(*) AS members FROM least GROUP BY component",
     "D14_must_hold": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node UNION SELECT e.dst FROM walk w JOIN edge e ON w.node = e.src), fails AS (SELECT CAST(k.n AS INT) AS node, CAST(k.n // 60 AS INT) AS fact FROM (SELECT unnest(range(300)) AS n) k WHERE k.n % 60 = 0 UNION SELECT e.dst, f.fact FROM fails f JOIN edge e ON f.node = e.src) SELECT w.node, CAST(k.fact AS INT) AS fact FROM walk w CROSS JOIN (SELECT unnest(range(5)) AS fact) k WHERE NOT EXISTS (SELECT 1 FROM fails f WHERE f.node = w.node AND f.fact = k.fact)",
     "G2_uncontrolled_recursion": f"WITH RECURSIVE edge AS ({CALLS}), back AS (SELECT CAST(n AS INT) AS node FROM (SELECT unnest(range(10)) AS n) k UNION SELECT e.src FROM back b JOIN edge e ON b.node = e.dst) SELECT node FROM back",
     "A18_sarif_round_trip": "SELECT cwe AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM (SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE repo = 'repo1' AND cwe IS NOT NULL) t GROUP BY ALL",

@@ -1,0 +1,79 @@
+"""Python sources to instruction facts, with the standard parser."""
+
+from __future__ import annotations
+
+import ast
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Call names that read untrusted input, that a sink kind belongs to, and that neutralise a kind.
+SOURCES = ("input", "request.args.get", "request.form.get", "request.values.get", "os.environ.get", "sys.stdin.read")
+SINKS = {"os.system": "command_injection", "subprocess.call": "command_injection", "subprocess.run": "command_injection", "eval": "code_injection", "exec": "code_injection", "cursor.execute": "sql_injection", "db.execute": "sql_injection", "open": "path_traversal", "pickle.loads": "deserialization", "requests.get": "ssrf", "redirect": "open_redirect"}
+SANITIZERS = {"shlex.quote": "command_injection", "html.escape": "xss", "os.path.basename": "path_traversal", "int": "*"}
+
+
+def read_sources(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
+    """(filename, text): whole files below path, byte-order marks dropped."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    return files.select(F.input_file_name().alias("filename"), F.regexp_replace("value", "^﻿", "").alias("text"))
+
+
+def _name(node: ast.AST) -> str:
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        return f"{_name(node.value)}.{node.attr}"
+    return ""
+
+
+def _reads(node: ast.AST) -> list[str]:
+    return sorted({n.id for n in ast.walk(node) if isinstance(n, ast.Name)})
+
+
+def facts(text: str) -> list[tuple]:
+    """(proc, line, op, target, callee, reads, error) in source order; op is assign, call or return."""
+    try:
+        module = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return [(None, getattr(e, "lineno", None), "error", None, None, [], str(e)[:200])]
+    out: list[tuple] = []
+
+    def visit(body: list[ast.stmt], proc: str) -> None:
+        for s in body:
+            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                visit(s.body, f"{proc}.{s.name}" if proc else s.name)
+                continue
+            inner = [b for field in ("body", "orelse", "finalbody") for b in getattr(s, field, [])] + [b for h in getattr(s, "handlers", []) for b in h.body]
+            own = [c for c in ast.iter_child_nodes(s) if not isinstance(c, (ast.stmt, ast.excepthandler))]
+            for call in (c for o in own for c in ast.walk(o) if isinstance(c, ast.Call)):
+                values = [*call.args, *(k.value for k in call.keywords)]
+                out.append((proc, call.lineno, "call", None, _name(call.func), sorted({r for v in values for r in _reads(v)}), None))
+            if isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and s.value is not None:
+                for target in s.targets if isinstance(s, ast.Assign) else [s.target]:
+                    for name in _reads(target):
+                        callee = _name(s.value.func) if isinstance(s.value, ast.Call) else None
+                        out.append((proc, s.lineno, "assign", name, callee, _reads(s.value) + ([name] if isinstance(s, ast.AugAssign) else []), None))
+            if isinstance(s, ast.Return) and s.value is not None:
+                out.append((proc, s.lineno, "return", None, None, _reads(s.value), None))
+            visit(inner, proc)
+
+    visit(module.body, "")
+    return out
+
+
+def scan(sources: DataFrame) -> DataFrame:
+    """Findings (file, proc, line, type, source_line): taint from a source call to a sink call along assignments of one procedure."""
+    from ..functions.kernels import python_facts
+    from ..operators.fixpoint import reachable
+
+    found = python_facts(sources).filter("error IS NULL")
+    key = F.concat_ws("|", "file", "proc", "target")
+    assigns = found.filter("op = 'assign'")
+    seeds = assigns.filter(F.col("callee").isin(*SOURCES)).select(key.alias("node"), F.col("line").alias("source_line"))
+    cleaned = F.coalesce(F.col("callee").isin(*SANITIZERS), F.lit(False))
+    edges = assigns.filter(~cleaned).select(F.explode("reads").alias("r"), "file", "proc", key.alias("dst")).select(F.concat_ws("|", "file", "proc", "r").alias("src"), "dst")
+    tainted = reachable(seeds, edges, ["source_line"])
+    kinds = F.create_map(*[F.lit(x) for pair in SINKS.items() for x in pair])
+    calls = found.filter("op = 'call'").filter(F.col("callee").isin(*SINKS)).select("file", "proc", "line", kinds[F.col("callee")].alias("type"), F.explode("reads").alias("r"))
+    return calls.withColumn("node", F.concat_ws("|", "file", "proc", "r")).join(tainted, "node").groupBy("file", "proc", "line", "type").agg(F.min("source_line").alias("source_line"))
