@@ -1,8 +1,9 @@
-"""Semi-naive fixpoints over DataFrames. Every round joins only what the last one added; rounds are cut by checkpoints in the shared folder."""
+"""Semi-naive fixpoints over DataFrames. Every round joins only what the last one added; rounds are written to the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,15 @@ MAX_ROUNDS = 64
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where every executor can read it again."""
+    """df as a table in the shared folder: computed once, and every executor can read it again."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-")
-        context.setCheckpointDir(base)
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="faultline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/faultline/fixpoint-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, carried: list[str] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
