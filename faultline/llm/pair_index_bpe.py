@@ -25,7 +25,7 @@ from .common import table
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts go through the index together until they hold so many characters.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 class PairIndexBPE:
@@ -156,7 +156,7 @@ class PairIndexBPE:
             return [text]
         return self.special_split.split(text)
 
-    CAPACITY = 250_000
+    CAPACITY = 120_000
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards self.pieces holds the ids and the decoded bytes of each of them."""
