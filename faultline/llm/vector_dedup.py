@@ -5,8 +5,10 @@ point with a weight. The points of a label go to the cells of their OVERLAP near
 cell beyond CELL points is dealt into slices by a hash. In each slice a flat graph is built: nearest candidates, pruned so that
 an edge goes where no kept neighbour is ALPHA times closer. The adjacency lists of a point from all its slices are united.
 Each point is a query in its nearest cell, against every slice: a beam search from the medoid and from the point itself, then
-range expansion through all points within SLACK of the threshold. AUDIT queries of a slice are compared with a full scan; if
-fewer than AUDITED of their links were found, the slice is searched again with twice the beam and slack. Every link is verified.
+range expansion through all points within SLACK of the threshold; one point of each component of the graph is a start too.
+AUDIT queries of a slice are compared with a full scan; if fewer than AUDITED of their links were found, the slice is searched
+again with twice the beam and slack, and if no beam helps, all its queries are compared with all its points. Every link is
+verified.
 
 Links leave a slice as counts and as a spanning forest, never as all pairs.
 
@@ -89,12 +91,28 @@ class SliceSearch:
         self.width = max([1, *map(len, lists)])
         self.near = np.array([np.pad(a, (0, self.width - len(a)), constant_values=i) for i, a in enumerate(lists)], np.int64).reshape(len(lists), self.width)
         self.medoid = int(np.argmax(x @ x.sum(0))) if len(x) else 0
+        self.starts = np.unique(np.append(self._components(), self.medoid)) if len(x) else np.zeros(0, np.int64)
+
+    def _components(self) -> np.ndarray:
+        """The least point of each component of the graph."""
+        label = np.arange(len(self.near))
+        while True:
+            new = np.minimum(label, label[self.near].min(1))
+            np.minimum.at(new, self.near, label[:, None])
+            new = new[new]
+            if (new == label).all():
+                return np.unique(label)
+            label = new
+
+    def scan(self, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
+        """What within() is to find, by comparing everything, in blocks."""
+        return [np.flatnonzero(row >= threshold) for b in range(0, len(queries), 512) for row in queries[b : b + 512] @ self.x.T]
 
     def within(self, q: np.ndarray, own: int | None, threshold: float, beam: int, slack: float) -> np.ndarray:
         """Points found with a cosine of at least threshold to q."""
         seen = np.zeros(len(self.x), bool)
         sims = np.full(len(self.x), -2.0)
-        todo = np.unique(np.array([self.medoid] if own is None else [self.medoid, own]))
+        todo = self.starts if own is None else np.union1d(self.starts, [own])
         pool = todo
         seen[todo] = True
         sims[todo] = self.x[todo] @ q
@@ -142,10 +160,14 @@ def _search(cosine: float):
         while True:
             tried = {i: index.within(x[ask[i]], own[i], cosine, beam, slack) for i in exact}
             hit = sum(len(exact[i] & set(tried[i].tolist())) for i in exact)
-            if hit >= AUDITED * sum(map(len, exact.values())) or beam > len(base):
+            enough = hit >= AUDITED * sum(map(len, exact.values()))
+            if enough or beam > len(base):
                 break
             beam, slack = 2 * beam, 2 * slack
-        found = [tried[i] if i in tried else index.within(x[ask[i]], own[i], cosine, beam, slack) for i in range(len(ask))]
+        if enough:
+            found = [tried[i] if i in tried else index.within(x[ask[i]], own[i], cosine, beam, slack) for i in range(len(ask))]
+        else:
+            found = index.scan(x[ask], cosine)
         pairs = {(min(int(node[ask[i]]), int(node[base[j]])), max(int(node[ask[i]]), int(node[base[j]]))) for i, f in enumerate(found) for j in f.tolist() if node[ask[i]] != node[base[j]]}
         asked = {int(v): i for i, v in enumerate(node[ask])}
         links = np.zeros(len(ask), np.int64)

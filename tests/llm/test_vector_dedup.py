@@ -83,3 +83,18 @@ def test_pruning_keeps_near_and_far():
         sims = x @ x[i]
         sims[i] = -2
         assert int(np.argmax(sims)) in a
+
+
+def test_clumps_without_edges_between_them(spark):
+    """More near-equal vectors in each of two groups than candidates, so the pruned graph has no edge from one to the other."""
+    g = np.random.default_rng(5)
+    a, b, c = np.linalg.qr(g.normal(size=(64, 3)))[0].T
+    b = 0.945 * a + np.sqrt(1 - 0.945**2) * b
+    x = np.concatenate([a + 0.002 * g.normal(size=(200, 64)), b + 0.002 * g.normal(size=(200, 64)), c + 0.05 * g.normal(size=(1000, 64))])
+    u = V.unit(x)
+    sims = u @ u.T
+    assert sims[:200, 200:400].min() > 0.935
+    want = ((sims >= 0.93).sum(1) - 1).tolist()
+    got = V.linked(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == want
+    assert {r.component_id for r in got[:400]} == {0}
