@@ -2,7 +2,8 @@
 
 A word enters as a word embedding beside the mean embedding of its character 3- to 5-grams (both hashed). Both directions of a
 gated recurrent layer read windows of WINDOW words, every STRIDE words; attention pools their states into a logit. A document's
-score is that of its highest window; all windows of the whole text count.
+score is that of its highest window; all windows of the whole text count. A run of more than LONGEST bytes (text without white
+space, say) enters as consecutive overlapping pieces.
 
 Training takes at most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents (the first by a hash of doc_id), none of the
 held-out third. Embeddings start from shrunk log-odds of words and character groups in them. In training a document is its
@@ -35,15 +36,28 @@ CHECK_STEPS = 32
 EMBEDDING_RATE = 5
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
+#: Bytes of the longest run that is one word; characters of the pieces of a longer one, and from one piece to the next.
+LONGEST = 200
+PIECE, PIECE_STEP = 16, 8
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    words = WORD.findall(text.lower()) if text else []
+    if words and 4 * max(map(len, words)) > LONGEST:
+        return [piece for w in words for piece in pieces_of(w)]
+    return words
+
+
+def pieces_of(word: str) -> list[str]:
+    """The word itself, or overlapping pieces that cover all of a longer one."""
+    if len(word.encode()) <= LONGEST:
+        return [word]
+    return [word[at : at + PIECE] for at in range(0, len(word) - (PIECE - PIECE_STEP), PIECE_STEP)]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: its row; and of all words in a row: character-group rows with their starts. Groups are 3 to 5 bytes of <word>."""
-    raw = [b"<" + w.encode()[:200] + b">" for w in words]
+    raw = [b"<" + w.encode() + b">" for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     sizes = np.array([len(r) for r in raw])
     ends = np.cumsum(sizes)

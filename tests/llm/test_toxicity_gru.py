@@ -84,3 +84,23 @@ def test_labels_of_the_held_out_third_are_never_read(spark):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(300)], "doc_id long, toxic int")
     n = len(G.sample_labelled(docs, labels, "toxic", {1: 1000, 0: 1000}))
     assert n == sum(G.fold_of(i) != 1 for i in range(300))
+
+
+def test_a_toxic_string_counts_behind_a_long_unbroken_run(model):
+    r = random.Random(4)
+    run = "".join(r.choices("abcdefgh", k=600))
+    clean, toxic = model.scores([run, run[:400] + "zloqabc" + run[400:]])
+    assert clean < G.THRESHOLD < toxic
+
+
+def test_pieces_cover_a_long_run():
+    r = random.Random(5)
+    for n in (201, 202, 207, 208, 209, 216, 1000):
+        run = "".join(r.choices("abcdefgh", k=n))
+        at, whole = 0, ""
+        for piece in G.words_of(run):
+            assert run[at : at + len(piece)] == piece
+            whole = whole[:at] + piece
+            at += G.PIECE_STEP
+        assert whole == run
+    assert G.words_of("a" * 200 + " \u4e00" + "b" * 190) == ["a" * 200, "\u4e00" + "b" * 190]
