@@ -4,11 +4,12 @@ Vectors link when their labels are equal and their cosine, in double precision,
 point with a weight. The points of a label go to the cells of their OVERLAP nearest centers (k-means on a bounded sample); a
 cell beyond CELL points is dealt into slices by a hash. In each slice a flat graph is built: nearest candidates, pruned so that
 an edge goes where no kept neighbour is ALPHA times closer. The adjacency lists of a point from all its slices are united.
-Each point is a query in its nearest cell, against every slice: a beam search from the medoid and from the point itself, then
-range expansion through all points within SLACK of the threshold; one point of each component of the graph is a start too.
-AUDIT queries of a slice are compared with a full scan; if fewer than AUDITED of their links were found, the slice is searched
-again with twice the beam and slack, and if no beam helps, all its queries are compared with all its points. Every link is
-verified.
+Each point is a query in every cell that can be the nearest one of a vector within the threshold: nearer the border to its own
+cell than such a vector can be away. A link counts where the other end is in its nearest cell, so each end counts it once.
+In the slice where it is at home, a query is a beam search from one point of each component of the graph, the medoid and
+the point, then range expansion through all points within SLACK of the threshold; AUDIT such queries are compared with a full
+scan; if fewer than AUDITED of their links were found, the slice is searched again with twice the beam and slack, and if no
+beam helps, it is scanned. In other slices a query is compared with all points, in blocks.
 
 Links leave a slice as counts and as a spanning forest, never as all pairs.
 
@@ -54,6 +55,18 @@ def centers_of(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.n
     return c
 
 
+def cells_of(v: np.ndarray, centers: np.ndarray, cosine: float) -> tuple[list[int], list[int]]:
+    """The OVERLAP nearest cells, home first; and all that can be home to a vector whose cosine to v reaches the threshold.
+    Such a vector is at most an angle of arccos(cosine) away, and not nearer the home of v than its own center."""
+    sims = centers @ v
+    best = np.argsort(-sims, kind="stable")[:OVERLAP]
+    home = best[0]
+    apart = np.linalg.norm(centers[home] - centers, axis=1)
+    reach = np.sqrt(max(0.0, 1 - cosine * cosine)) if cosine > 0 else 1.0
+    ask = np.flatnonzero(sims[home] - sims <= reach * apart + 1e-9)
+    return best.tolist(), ask.tolist()
+
+
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
     """Adjacency lists. A candidate is kept unless a kept, nearer neighbour is closer to it than its distance from the point over ALPHA."""
     n = len(x)
@@ -154,9 +167,12 @@ def _search(cosine: float):
         lists = [np.array([place[v] for v in near[i] or () if v in place], np.int64) for i in base]
         index = SliceSearch(x[base], lists)
         beam, slack = BEAM, SLACK
-        own = [place.get(int(v)) for v in node[ask]]
-        audit = np.unique(np.linspace(0, len(ask) - 1, min(AUDIT, len(ask))).astype(int)) if len(ask) else ask
-        exact = {i: set(np.flatnonzero(index.x @ x[ask[i]] >= cosine).tolist()) for i in audit.tolist()}
+        own = np.array([place.get(int(v), -1) for v in node[ask]], np.int64)
+        inside = np.flatnonzero(own >= 0)
+        home = t.column("home").to_numpy(zero_copy_only=False)
+        at_home = inside[home[ask[inside]]]
+        audit = at_home[np.unique(np.linspace(0, len(at_home) - 1, min(AUDIT, len(at_home))).astype(int))] if len(at_home) else at_home
+        exact = {i: set(f.tolist()) for i, f in zip(audit.tolist(), index.scan(x[ask[audit]], cosine), strict=True)}
         while True:
             tried = {i: index.within(x[ask[i]], own[i], cosine, beam, slack) for i in exact}
             hit = sum(len(exact[i] & set(tried[i].tolist())) for i in exact)
@@ -164,28 +180,27 @@ def _search(cosine: float):
             if enough or beam > len(base):
                 break
             beam, slack = 2 * beam, 2 * slack
-        if enough:
-            found = [tried[i] if i in tried else index.within(x[ask[i]], own[i], cosine, beam, slack) for i in range(len(ask))]
-        else:
-            found = index.scan(x[ask], cosine)
-        pairs = {(min(int(node[ask[i]]), int(node[base[j]])), max(int(node[ask[i]]), int(node[base[j]]))) for i, f in enumerate(found) for j in f.tolist() if node[ask[i]] != node[base[j]]}
-        asked = {int(v): i for i, v in enumerate(node[ask])}
-        links = np.zeros(len(ask), np.int64)
-        root = {int(v): int(v) for v in node}
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = v = root[root[v]]
-            return v
-
-        for a, b in pairs:  # a link found from one side counts for both
-            for v, w in ((a, b), (b, a)):
-                if v in asked and w in place:
-                    links[asked[v]] += weight[base[place[w]]]
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        return pa.table({"node": pa.array(node[ask]), "links": pa.array(links), "peer": pa.array([find(int(v)) for v in node[ask]], pa.int64())})
+        hits = np.zeros((len(ask), len(base)), bool)
+        searched = at_home if enough else at_home[:0]
+        for i in searched.tolist():
+            hits[i, tried[i] if i in tried else index.within(x[ask[i]], own[i], cosine, beam, slack)] = True
+        scanned = np.setdiff1d(np.arange(len(ask)), searched)
+        for i, f in zip(scanned.tolist(), index.scan(x[ask[scanned]], cosine), strict=True):
+            hits[i, f] = True
+        square = np.ix_(inside, own[inside])
+        hits[square] |= hits[square].T  # a link found from one side counts for both
+        hits[inside, own[inside]] = False
+        counted = np.where(home[base], weight[base], 0)
+        links = np.array([counted[row].sum() for row in hits], np.int64)
+        known, at = np.unique(node, return_inverse=True)
+        least = np.arange(len(known))
+        for a, row in zip(at[ask], hits, strict=True):
+            groups = np.unique(least[np.append(at[base[row]], a)])
+            if len(groups) > 1:
+                least[np.isin(least, groups)] = groups[0]
+        joined = np.setdiff1d(np.flatnonzero(least != np.arange(len(known))), at[ask])  # the other ends of links
+        of = np.concatenate([at[ask], joined])
+        return pa.table({"node": pa.array(known[of]), "links": pa.array(np.append(links, np.zeros(len(joined), np.int64))), "peer": pa.array(known[least[of]])})
 
     return run
 
@@ -214,26 +229,29 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", v
     def assign(batches):
         known = shared.value
         for batch in batches:
-            cells, homes, at = [], [], []
+            cells, homes, bases, asks, at = [], [], [], [], []
             for i, (label, dim, vector) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 c = known.get((label, dim))
-                best = np.argsort(-(c @ unit(np.array([vector]))[0]), kind="stable")[:OVERLAP] if c is not None else [0]
-                for rank, b in enumerate(best):
+                best, ask = cells_of(unit(np.array([vector]))[0], c, cosine) if c is not None else ([0], [0])
+                for b in dict.fromkeys([*best, *ask]):
                     cells.append(f"{label}/{dim}/{b}")
-                    homes.append(rank == 0)
+                    homes.append(b == best[0])
+                    bases.append(b in best)
+                    asks.append(b in ask)
                     at.append(i)
             part = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), pa.array(homes, pa.bool_()), part.column(0), part.column(2), part.column(3)], names=["cell", "home", "node", "vector", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), *(pa.array(f, pa.bool_()) for f in (homes, bases, asks)), part.column(0), part.column(2), part.column(3)], names=["cell", "home", "base", "ask", "node", "vector", "weight"])
 
-    placed = points.select("node", "label", "vector", "weight", "dim").mapInArrow(assign, "cell string, home boolean, node long, vector array<double>, weight long")
+    placed = points.select("node", "label", "vector", "weight", "dim").mapInArrow(assign, "cell string, home boolean, base boolean, ask boolean, node long, vector array<double>, weight long")
     placed = written(placed, "placed")
-    slices = placed.groupBy("cell").agg(F.ceil(F.count("*") / (OVERLAP * CELL)).alias("slices"))
-    placed = placed.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
-    lists = placed.groupBy("cell", "slice").applyInArrow(_graph, "node long, near array<long>")
+    dealt = lambda flag: F.greatest(F.lit(1), F.ceil(F.count_if(flag) / (OVERLAP * CELL)))
+    slices = placed.groupBy("cell").agg(dealt("base").alias("slices"), dealt("ask").alias("parts"))
+    placed = placed.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    lists = placed.filter("base").groupBy("cell", "slice").applyInArrow(_graph, "node long, near array<long>")
     united = lists.select("node", F.explode("near").alias("n")).groupBy("node").agg(F.collect_set("n").alias("near"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
-    base = placed.join(written(united, "adjacency"), "node", "left").withColumn("part", each).select("cell", "slice", "part", F.lit(0).alias("side"), "node", "vector", "weight", "near")
-    ask = placed.filter("home").withColumnRenamed("slice", "part").withColumn("slice", each).select("cell", "slice", "part", F.lit(1).alias("side"), "node", "vector", "weight", F.lit(None).cast("array<long>").alias("near"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    base = placed.filter("base").join(written(united, "adjacency"), "node", "left").withColumn("part", each("parts")).select("cell", "slice", "part", F.lit(0).alias("side"), "home", "node", "vector", "weight", "near")
+    ask = placed.filter("ask").withColumn("slice", each("slices")).select("cell", "slice", "part", F.lit(1).alias("side"), "home", "node", "vector", "weight", F.lit(None).cast("array<long>").alias("near"))
     found = written(base.unionByName(ask).groupBy("cell", "slice", "part").applyInArrow(_search(cosine), "node long, links long, peer long"), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))
     labels = written(connected_components(found, "node", "peer"), "labels")

@@ -98,3 +98,25 @@ def test_clumps_without_edges_between_them(spark):
     got = V.linked(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
     assert [r.n_links for r in got] == want
     assert {r.component_id for r in got[:400]} == {0}
+
+
+def test_no_link_is_lost_between_cells(spark, monkeypatch):
+    """A label of many cells; every second vector has one near vector at a cosine of about 0.94."""
+    monkeypatch.setattr(V, "CELL", 100)
+    g = np.random.default_rng(9)
+    x = V.unit(g.normal(size=(1500, 16)))
+    away = g.normal(size=x.shape)
+    away = V.unit(away - (away * x).sum(1, keepdims=True) * x)
+    x = np.concatenate([x, 0.94 * x + np.sqrt(1 - 0.94**2) * away])
+    want = ((x @ x.T >= 0.93).sum(1) - 1).tolist()
+    got = V.linked(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == want
+
+
+def test_cells_of_a_query_hold_every_near_vector():
+    g = np.random.default_rng(2)
+    x = V.unit(g.normal(size=(3000, 8)))
+    centers = V.centers_of(x, 40)
+    cells = [V.cells_of(v, centers, 0.93) for v in x]
+    for i, j in np.argwhere(x @ x.T >= 0.93).tolist():
+        assert cells[j][0][0] in cells[i][1]
