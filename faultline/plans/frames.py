@@ -51,13 +51,19 @@ CALLS = "SELECT DISTINCT CAST(substr(caller, 2) AS INT) AS src, CAST(substr(call
 SPARSE = CALLS.replace("% 31", "% 97") + " AND CAST(substr(callee, 2) AS INT) % 3 = 0"
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls. The oracles' CALLS and SPARSE are a part of them."""
+    number = lambda c: F.substring(c, 2, 10).cast("int")
+    return views.run(spark, sf_dir, "SELECT caller, callee FROM v_call").select(number("caller").alias("src"), number("callee").alias("dst")).distinct()
+
+
 def interprocedural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Procedures that tainted arguments reach through calls, by the least number of calls."""
-    return fixpoint.reachable(spark.range(1).select(F.lit(5).alias("node")), views.run(spark, sf_dir, CALLS))
+    return fixpoint.reachable(spark.range(1).select(F.lit(5).alias("node")), _calls(spark, sf_dir))
 
 
 def equality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixpoint.components(views.run(spark, sf_dir, SPARSE))
+    found = fixpoint.components(_calls(spark, sf_dir))
     return found.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("members"))
 
 
@@ -66,12 +72,12 @@ def sanitized_on_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.range(300).select(F.col("id").cast("int").alias("node"))
     entry = spark.range(5).select(F.lit(5).alias("node"), F.col("id").cast("int").alias("fact"))
     kills = nodes.filter("node % 60 = 0").select("node", F.expr("CAST(node / 60 AS INT)").alias("fact"))
-    return fixpoint.must_hold(nodes, views.run(spark, sf_dir, CALLS), entry, kills)
+    return fixpoint.must_hold(nodes, _calls(spark, sf_dir), entry, kills)
 
 
 def unavoidable_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Procedures from which a call chain comes back to one of the first ten."""
-    edges = views.run(spark, sf_dir, CALLS).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    edges = _calls(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return fixpoint.reachable(spark.range(10).select(F.col("id").cast("int").alias("node")), edges).select("node")
 
 

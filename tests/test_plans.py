@@ -64,3 +64,33 @@ def test_anchored_clusters(spark):
 def test_greedy_matches_are_one_to_one(spark):
     pairs = spark.createDataFrame([("f", 1, 2), ("f", 1, 1), ("f", 3, 2), ("f", 3, 1)], "file string, left_line int, right_line int")
     assert {(r.left_line, r.right_line) for r in findings.greedy_matches(pairs, ["file"]).collect()} == {(1, 1), (3, 2)}
+
+
+def test_call_graph_queries_read_all_calls(spark, duck):
+    """All of v_call, by brute force."""
+    edges = {(int(a[1:]), int(b[1:])) for a, b in duck.sql(registry.views.with_views("SELECT caller, callee FROM v_call", 1)).fetchall()}
+
+    def closure(seeds, pairs):
+        depth, todo = dict.fromkeys(seeds, 0), list(seeds)
+        after = {}
+        for a, b in pairs:
+            after.setdefault(a, []).append(b)
+        for node in todo:
+            for b in after.get(node, []):
+                if b not in depth:
+                    depth[b] = depth[node] + 1
+                    todo.append(b)
+        return depth
+
+    rows = lambda name: {tuple(r) for r in registry.queries()[name](spark, SF).collect()}
+    reached = closure([5], edges)
+    assert rows("F4_interprocedural") == set(reached.items())
+    assert rows("G2_uncontrolled_recursion") == {(n,) for n in closure(range(10), {(b, a) for a, b in edges})}
+    fails = {(n, k) for k in range(5) for n in closure([60 * k], edges)}
+    assert rows("D14_must_hold") == {(n, k) for n in reached if n < 300 for k in range(5)} - fails
+    both, left, members = edges | {(b, a) for a, b in edges}, {n for e in edges for n in e}, set()
+    while left:
+        group = set(closure([min(left)], both))
+        members.add((min(group), len(group)))
+        left -= group
+    assert rows("F10_equality_classes") == members
