@@ -81,6 +81,13 @@ def unavoidable_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.reachable(spark.range(10).select(F.col("id").cast("int").alias("node")), edges).select("node")
 
 
+def cookie_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of each user over all events."""
+    kind = F.col("event_type")
+    flags = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(kind == "view").alias("http_only"), F.bool_or(kind == "error").alias("secure"))
+    return flags.withColumn("cwe", F.when(~F.col("secure"), "CWE-614").when(~F.col("http_only"), "CWE-1004").otherwise("none"))
+
+
 def sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = views.run(spark, sf_dir, "SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE repo = 'repo1' AND cwe IS NOT NULL")
     return findings.read_sarif(findings.to_sarif(found)).groupBy("rule_id", "level").agg(F.count("*").alias("n"))
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable] = {
     "F10_equality_classes": equality_classes,
     "D14_must_hold": sanitized_on_all_paths,
     "G2_uncontrolled_recursion": unavoidable_recursion,
+    "G16_cookie_flags": cookie_flags,
     "A18_sarif_round_trip": sarif,
     "E6_anchored_clusters": anchored_clusters,
 }

@@ -94,3 +94,12 @@ def test_call_graph_queries_read_all_calls(spark, duck):
         members.add((min(group), len(group)))
         left -= group
     assert rows("F10_equality_classes") == members
+
+
+def test_cookie_flags_read_all_events(spark, duck):
+    kinds = {}
+    for user, kind in duck.sql("SELECT user_id, event_type FROM events").fetchall():
+        kinds.setdefault(user, set()).add(kind)
+    want = {(u, "view" in k, "error" in k, "CWE-614" if "error" not in k else "CWE-1004" if "view" not in k else "none") for u, k in kinds.items()}
+    got = registry.queries()["G16_cookie_flags"](spark, SF).select("user_id", "http_only", "secure", "cwe").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
