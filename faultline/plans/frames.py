@@ -81,6 +81,32 @@ def unavoidable_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.reachable(spark.range(10).select(F.col("id").cast("int").alias("node")), edges).select("node")
 
 
+def _heap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.run(spark, sf_dir, "SELECT src, dst FROM v_heap")
+
+
+def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that node 0 reaches, by the least number of steps; no path is longer than there are edges."""
+    heap = _heap(spark, sf_dir)
+    return fixpoint.reachable(spark.range(1).select(F.col("id").alias("node")), heap, max_rounds=heap.count() + 1)
+
+
+#: Steps of a heap path, as in the reference.
+HEAP_DEPTH = 10
+
+
+def heap_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every origin, what at most HEAP_DEPTH steps reach, by the least number of steps; a path ends where it would return to its origin."""
+    heap = fixpoint._cut(_heap(spark, sf_dir))
+    new = heap.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("depth")).distinct()
+    known = new
+    for depth in range(2, HEAP_DEPTH + 1):
+        moved = new.select("origin", F.col("node").alias("src")).join(heap, "src").filter(F.col("dst") != F.col("origin")).select("origin", F.col("dst").alias("node")).distinct()
+        new = fixpoint._cut(moved.join(known, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        known = known.unionByName(new)
+    return known
+
+
 def cookie_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of each user over all events."""
     kind = F.col("event_type")
@@ -127,6 +153,8 @@ QUERIES: dict[str, Callable] = {
     "F10_equality_classes": equality_classes,
     "D14_must_hold": sanitized_on_all_paths,
     "G2_uncontrolled_recursion": unavoidable_recursion,
+    "F6_bfs_depth": bfs_depth,
+    "F11_heap_paths": heap_paths,
     "G16_cookie_flags": cookie_flags,
     "A18_sarif_round_trip": sarif,
     "E6_anchored_clusters": anchored_clusters,

@@ -103,3 +103,26 @@ def test_cookie_flags_read_all_events(spark, duck):
     want = {(u, "view" in k, "error" in k, "CWE-614" if "error" not in k else "CWE-1004" if "view" not in k else "none") for u, k in kinds.items()}
     got = registry.queries()["G16_cookie_flags"](spark, SF).select("user_id", "http_only", "secure", "cwe").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_heap_paths_start_at_every_origin(spark, duck):
+    after = {}
+    for a, b in duck.sql(registry.views.with_views("SELECT src, dst FROM v_heap", 1)).fetchall():
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for origin in after:
+        depth, now = {}, {origin}
+        for step in range(1, 11):
+            now = {b for a in now for b in after.get(a, ()) if step == 1 or b != origin} - set(depth)
+            depth |= dict.fromkeys(now, step)
+        want |= {(origin, n, d) for n, d in depth.items()}
+    got = registry.queries()["F11_heap_paths"](spark, SF).select("origin", "node", "depth").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_bfs_has_no_depth_bound(spark, tmp_path):
+    """A cycle of 41 nodes: 7 * key + size is the next key, modulo the number of parts."""
+    n = 41
+    spark.createDataFrame([(k, (k + 1 - 7 * k) % n) for k in range(n)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["F6_bfs_depth"](spark, str(tmp_path)).select("node", "depth").collect()
+    assert {tuple(r) for r in got} == {(k, k) for k in range(n)}
