@@ -115,7 +115,7 @@ def cookie_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = views.run(spark, sf_dir, "SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE repo = 'repo1' AND cwe IS NOT NULL")
+    found = views.run(spark, sf_dir, "SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE cwe IS NOT NULL")
     return findings.read_sarif(findings.to_sarif(found)).groupBy("rule_id", "level").agg(F.count("*").alias("n"))
 
 
@@ -140,7 +140,7 @@ def frames_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small program for each part; every third cleans its input first."""
-    rows = views.run(spark, sf_dir, "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS filename, 'import os\ndef run():\n    a = input()\n    b = ' || CASE WHEN p_partkey % 3 = 0 THEN 'shlex.quote(a)' ELSE 'a + 1' END || '\n    os.system(b)\n' AS text FROM part WHERE p_partkey < 300")
+    rows = views.run(spark, sf_dir, "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS filename, 'import os\ndef run():\n    a = input()\n    b = ' || CASE WHEN p_partkey % 3 = 0 THEN 'shlex.quote(a)' ELSE 'a + 1' END || '\n    os.system(b)\n' AS text FROM part")
     return python_source.scan(rows).select("file", "line", "type", "source_line")
 
 

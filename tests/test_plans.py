@@ -126,3 +126,11 @@ def test_bfs_has_no_depth_bound(spark, tmp_path):
     spark.createDataFrame([(k, (k + 1 - 7 * k) % n) for k in range(n)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     got = registry.queries()["F6_bfs_depth"](spark, str(tmp_path)).select("node", "depth").collect()
     assert {tuple(r) for r in got} == {(k, k) for k in range(n)}
+
+
+def test_source_scan_and_sarif_take_all_rows(spark, tmp_path):
+    spark.createDataFrame([(k, 1) for k in range(290, 320)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["A8_python_scan"](spark, str(tmp_path)).select("file", "line", "type", "source_line").collect()
+    assert sorted(tuple(r) for r in got) == [(f"f{k}.py", 5, "command_injection", 3) for k in range(290, 320) if k % 3]
+    whole = views.run(spark, SF, "SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE cwe IS NOT NULL").count()
+    assert sum(r.n for r in registry.queries()["A18_sarif_round_trip"](spark, SF).collect()) == whole
