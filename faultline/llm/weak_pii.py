@@ -78,10 +78,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 #: Candidates beyond the base patterns.
 LOOSE = re.compile(
-    r"""(?P<secret>\b(?:password|passwd|pwd|secret|token|api[_-]?key|key)\b\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_+/=.-]{8,200}))"""
+    r"""(?P<secret>\b(?:password|passwd|pwd|secret|token|api[_-]?key|key)\b\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_+/=.-]{8,}))"""
     r"""|(?P<spelled>\b[a-z0-9._-]{1,64}\s?(?:\(at\)|\[at\]|\sat\s)\s?[a-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[a-z]{2,10}\b)"""
     r"""|(?P<number>(?<![\w+])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,6}){1,5}(?!\w))"""
-    r"""|(?P<hex>(?<!\w)[0-9a-f]{18,64}(?!\w))""",
+    r"""|(?P<hex>(?<!\w)[0-9a-f]{18,}(?!\w))""",
     re.I,
 )
 TRIGGER = re.compile("[0-9]|\\bat\\b|[=:]")

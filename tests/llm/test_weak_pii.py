@@ -79,3 +79,13 @@ def test_masking():
     spans = [{"start": s, "stop": e, "kind": k} for s, e, k in P.base_spans(text)]
     assert P.masked_text(text, spans) == "mail [EMAIL] or [PHONE]."
     assert P.masked_text(None, []) is None
+
+
+def test_long_secrets_are_proposed_whole():
+    r = random.Random(6)
+    token, digits = "".join(r.choices("abcXYZ019_-.", k=600)), "%0128x" % r.getrandbits(512)
+    for text, secret in ((f"token={token} end", token), (f"see {digits} end", digits)):
+        start = text.index(secret)
+        assert (start, start + len(secret), "secret") in [c[:3] for c in P.candidates(text, [])]
+    for text in ("a" * 300_000, "a" * 300_000 + "z", "token=" + "a" * 300_000, "token=" * 50_000):
+        P.candidates(text, [])
