@@ -59,6 +59,25 @@ def test_equals_brute_force(spark):
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+def test_moved_blocks_are_found(spark):
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    items, docs = [], []
+    for i in range(12):
+        w = r.sample(vocab, 100 + 7 * i)
+        items.append((i, " ".join(w)))
+        for turn in (30, 50, 70):
+            noise = [r.choice(vocab) for _ in range(r.choice([0, 40, 6000]))]
+            docs.append((len(docs), " ".join([*noise, *w[turn:], *w[:turn], *noise[:25]])))
+        thirds = [w[:33], w[33:66], w[66:]]
+        docs.append((len(docs), " ".join(sum(reversed(thirds), []))))
+        docs.append((len(docs), " ".join(w[: len(w) * 19 // 20])))
+    want = brute([(d, " ".join(words(t)[-300:])) for d, t in docs], items)
+    got = S.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) >= 48 and want <= {(g.doc_id, g.item_id) for g in got}
+    assert len(got) == len(want)
+
+
 def test_index_finds_all_within_the_radius():
     docs, items = cases()
     index = S.ItemIndex(items)
@@ -73,7 +92,7 @@ def test_index_finds_all_within_the_radius():
 
 def test_parts_and_empty_tables(spark):
     docs, items = cases()
-    frame = spark.createDataFrame(items, "item_id long, text string")
-    assert len(S.item_parts(frame, 300)) > 3
-    assert S.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), frame.limit(0)).count() == 0
-    assert S.contaminated(spark.createDataFrame([], "doc_id long, text string"), frame).count() == 0
+    held = spark.createDataFrame(items, "item_id long, text string")
+    assert len(S.item_parts(held, 300)) > 3
+    assert S.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), held.limit(0)).count() == 0
+    assert S.contaminated(spark.createDataFrame([], "doc_id long, text string"), held).count() == 0
