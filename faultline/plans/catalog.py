@@ -4,18 +4,36 @@ from __future__ import annotations
 
 _BETTER = "rank DESC, witness DESC, flow_len DESC, conf DESC, line, proc, type, tool, repo"
 _COLUMNS = "location, proc, line, type, cwe, severity, conf, flow_len, witness"
-_PRF = "RATIO(tp, nullif(tp + fp, 0)) AS prec, RATIO(tp, nullif(tp + fn, 0)) AS recall, RATIO(2 * tp, nullif(2 * tp + fp + fn, 0)) AS f1"
-_MATCHED = """SELECT t.repo, t.location, t.cwe, t.line, count(f.line) AS hits FROM v_truth t LEFT JOIN (SELECT DISTINCT repo, location, cwe, line FROM v_finding) f
-  ON t.repo = f.repo AND t.location = f.location AND t.cwe = f.cwe AND abs(t.line - f.line) <= 5 WHERE t.status = 'true_positive' GROUP BY t.repo, t.location, t.cwe, t.line"""
+_PRF = """RATIO(tp, nullif(tp + fp, 0)) AS prec, RATIO(tp, nullif(tp + fn, 0)) AS recall, RATIO(2 * tp, nullif(2 * tp + fp + fn, 0)) AS f1,
+  CASE WHEN tp + fp > 0 THEN RATIO(tp, tp + fp) WHEN fn = 0 THEN 1e0 ELSE 0e0 END AS prec_of_nothing_is_right, CASE WHEN tp + fp > 0 THEN RATIO(tp, tp + fp) ELSE 0e0 END AS prec_of_nothing_is_zero,
+  CASE WHEN tp + fn > 0 THEN RATIO(tp, tp + fn) ELSE 1e0 END AS recall_of_nothing_is_right, CASE WHEN tp + fn > 0 THEN RATIO(tp, tp + fn) ELSE 0e0 END AS recall_of_nothing_is_zero,
+  RATIO(5 * tp, nullif(5 * tp + 4 * fn + fp, 0)) AS f2"""
+#: Buckets around a line's own: what lies within the width of a bucket is in one of three, so a band join is an equi-join.
+_AROUND = "(SELECT -1 AS step UNION ALL SELECT 0 UNION ALL SELECT 1) around"
+
+
+def _bucketed(rows: str, width: int) -> str:
+    """Rows with the bucket of their line."""
+    return f"(SELECT *, FDIV(line, {width}) AS bucket FROM {rows})"
+
+
+def _spread(rows: str, width: int) -> str:
+    """Rows once for each bucket that a line within the width can lie in."""
+    return f"(SELECT *, FDIV(line, {width}) + step AS bucket FROM {rows} CROSS JOIN {_AROUND})"
+
+
+_MATCHED = f"""SELECT t.repo, t.location, t.cwe, t.line, count(f.line) AS hits FROM {_spread("(SELECT repo, location, cwe, line FROM v_truth WHERE status = 'true_positive') x", 5)} t
+  LEFT JOIN {_bucketed("(SELECT DISTINCT repo, location, cwe, line FROM v_finding) y", 5)} f
+  ON t.repo = f.repo AND t.location = f.location AND t.cwe = f.cwe AND t.bucket = f.bucket AND abs(t.line - f.line) <= 5 GROUP BY t.repo, t.location, t.cwe, t.line"""
 
 SQL: dict[str, str | tuple[str, str]] = {
     # sources and path rules
     "A4_language_routing": """SELECT doc_id, CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript'
       WHEN 'java' THEN 'java' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'cc' THEN 'cpp' WHEN 'cxx' THEN 'cpp' WHEN 'hpp' THEN 'cpp' WHEN 'cs' THEN 'csharp' ELSE 'python' END AS language FROM v_path""",
     "A5_extension_class": """SELECT cls, count(*) AS n FROM (SELECT CASE WHEN NOT RX(path, '[.][a-z]+$') THEN 'unknown' WHEN RX(path, '[.](py|java|ts|js|c|cpp|cs)$') THEN 'supported' WHEN RX(path, '[.](go|rb|php|rs)$') THEN 'unsupported' ELSE 'other' END AS cls FROM v_path) t GROUP BY cls""",
-    "A6_generated_text": "SELECT doc_id, max(length(line)) > 2000 OR count(*) = 1 AND max(length(line)) > 500 AS generated FROM v_line GROUP BY doc_id",
+    "A6_generated_text": "SELECT doc_id, max(length(line)) > 2000 AS generated FROM v_line GROUP BY doc_id",
     "A7_path_filters": "SELECT doc_id, RX(path, '(^|/)(node_modules|vendor|third_party)/') AS vendored, RX(path, '(^|/)(tests?|spec|__tests__)/') AS test_path, RX(path, '(generated|[.]min[.])') AS generated FROM v_path",
-    "A12_expected_rows": "SELECT split_part(row_text, ',', 1) AS test_name, split_part(row_text, ',', 2) AS category, lower(split_part(row_text, ',', 3)) = 'true' AS vulnerable, CAST(split_part(row_text, ',', 4) AS INT) AS cwe FROM (SELECT 'T' || CAST(p_partkey AS STRING) || ',' || CASE p_size % 3 WHEN 0 THEN 'sqli' WHEN 1 THEN 'xss' ELSE '# note' END || ',' || CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'false' END || ',' || CAST(70 + p_size % 20 AS STRING) AS row_text FROM part) t WHERE NOT RX(row_text, '#')",
+    "A12_expected_rows": "SELECT trim(split_part(row_text, ',', 1)) AS test_name, trim(split_part(row_text, ',', 2)) AS category, lower(trim(split_part(row_text, ',', 3))) = 'true' AS vulnerable, CAST(trim(split_part(row_text, ',', 4)) AS INT) AS cwe FROM (SELECT CASE p_partkey % 9 WHEN 0 THEN '# ' WHEN 1 THEN '  #' ELSE ' ' END || 'T' || CAST(p_partkey AS STRING) || ', ' || CASE p_size % 3 WHEN 0 THEN 'sqli' WHEN 1 THEN 'xss' ELSE 'c#' END || ',' || CASE WHEN p_size % 2 = 0 THEN 'True' ELSE ' false' END || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE ',' || CAST(70 + p_size % 20 AS STRING) END AS row_text FROM part) t WHERE NOT RX(row_text, '^[ ]*#') AND RX(row_text, '^[^,]*,[^,]*,[^,]*,')",
     "A16_test_name_fields": "SELECT location, CAST(regexp_extract(location, 'pkg([0-9]+)/', 1) AS INT) AS pkg, CAST(regexp_extract(location, 'mod_([0-9]+)', 1) AS INT) AS mod, regexp_extract(location, '[.]([a-z]+)$', 1) AS ext FROM (SELECT DISTINCT location FROM v_finding) t",
     "A17_finding_json": (
         "SELECT location, line, type, to_json(named_struct('cwe_id', cwe, 'line', line, 'location', location, 'severity', severity, 'type', type)) AS body FROM (SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE cwe IS NOT NULL) t",
@@ -26,8 +44,12 @@ SQL: dict[str, str | tuple[str, str]] = {
     # projections and filters
     "B1_confidence": "SELECT location, line, type, proc, tool, CASE WHEN max_w THEN 1.0e0 WHEN flows > 0 THEN 0.8e0 ELSE 0.7e0 END AS confidence FROM (SELECT location, line, type, proc, tool, bool_or(witness) AS max_w, max(flow_len) AS flows FROM v_finding GROUP BY location, line, type, proc, tool) t",
     "B2_null_check_discount": """SELECT f.location, f.line, f.conf, count(g.line) AS guards, CASE WHEN f.conf * CASE WHEN count(g.line) > 0 THEN 6 ELSE 10 END >= 700 THEN true ELSE false END AS kept
-      FROM (SELECT DISTINCT location, line, conf FROM v_finding WHERE type = 'null_dereference') f LEFT JOIN (SELECT DISTINCT location, line FROM v_finding WHERE type = 'custom_rule' AND witness) g
-      ON f.location = g.location AND g.line BETWEEN f.line - 4 AND f.line + 2 GROUP BY f.location, f.line, f.conf""",
+      FROM """
+    + _spread("(SELECT DISTINCT location, line, conf FROM v_finding WHERE type = 'null_dereference') x", 4)
+    + " f LEFT JOIN "
+    + _bucketed("(SELECT DISTINCT location, line FROM v_finding WHERE type = 'custom_rule' AND witness) y", 4)
+    + """ g
+      ON f.location = g.location AND f.bucket = g.bucket AND g.line BETWEEN f.line - 4 AND f.line + 2 GROUP BY f.location, f.line, f.conf""",
     "B3_min_severity": f"SELECT {_COLUMNS}, tool, repo FROM v_ranked WHERE rank >= 4",
     "B4_fail_on": "SELECT repo, bool_or(rank >= 5) AS fails_critical, bool_or(rank >= 3) AS fails_medium, CAST(CASE WHEN bool_or(rank >= 4) THEN 1 ELSE 0 END AS INT) AS exit_code FROM v_ranked GROUP BY repo",
     "B5_severity_and_cwe": "SELECT f.type, coalesce(upper(v.severity), 'MEDIUM') AS severity, v.cwe, count(*) AS n FROM v_finding f LEFT JOIN vuln v ON f.type = v.type GROUP BY f.type, v.severity, v.cwe",
@@ -43,7 +65,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "B15_dead_branches": "SELECT h.src, h.dst FROM v_heap h LEFT JOIN (SELECT DISTINCT p_partkey AS node FROM part WHERE p_size = 1) d ON h.dst = d.node WHERE d.node IS NULL",
     "B16_validation_patterns": "SELECT doc_id, line_no, CASE WHEN RX(line, '[.][.]') THEN 'path' WHEN RX(line, 'https?://') THEN 'url' ELSE 'quote' END AS guards FROM v_line WHERE RX(line, '[.][.]|https?://|''')",
     "B17_format_strings": "SELECT doc_id, line_no, RX(line, '%[0-9.]*[sdn]') AS directive, RX(line, '%%%') AS escaped FROM v_line WHERE RX(line, '%')",
-    "B18_grounding": "SELECT DISTINCT f.location, f.line, f.type FROM v_finding f LEFT SEMI JOIN (SELECT DISTINCT location, line, type FROM v_finding WHERE tool = 'beta') g ON f.location = g.location AND f.type = g.type AND abs(f.line - g.line) <= 3 WHERE f.tool = 'alpha'",
+    "B18_grounding": f"SELECT DISTINCT f.location, f.line, f.type FROM {_spread('(SELECT DISTINCT location, line, type FROM v_finding WHERE tool = ' + chr(39) + 'alpha' + chr(39) + ') x', 3)} f LEFT SEMI JOIN {_bucketed('(SELECT DISTINCT location, line, type FROM v_finding WHERE tool = ' + chr(39) + 'beta' + chr(39) + ') y', 3)} g ON f.location = g.location AND f.type = g.type AND f.bucket = g.bucket AND abs(f.line - g.line) <= 3",
     "B19_triage": """SELECT f.location, f.line, f.cwe, CASE WHEN v.status = 'false_positive' AND v.conf >= 75 THEN 'drop' WHEN v.conf IS NULL OR v.conf >= 35 AND v.conf < 75 THEN 'escalate' ELSE 'keep' END AS decision
       FROM (SELECT DISTINCT location, line, cwe FROM v_finding WHERE cwe IS NOT NULL) f LEFT JOIN (SELECT location, line, cwe, min(status) AS status, CAST(min((line * 7 + length(location)) % 100) AS INT) AS conf FROM v_truth GROUP BY location, line, cwe) v ON f.location = v.location AND f.line = v.line AND f.cwe = v.cwe""",
     # joins
@@ -56,34 +78,42 @@ SQL: dict[str, str | tuple[str, str]] = {
       LEFT ANTI JOIN (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'sql' ELSE 'html' END AS kind FROM part WHERE p_size % 5 = 0) z ON s.l_partkey = z.p_partkey AND k.kind = z.kind
       LEFT ANTI JOIN (SELECT p_partkey FROM part WHERE p_size = 7) a ON s.l_partkey = a.p_partkey""",
     "C4_usage_sink": "SELECT DISTINCT i.proc, i.var FROM v_instr i LEFT SEMI JOIN (SELECT DISTINCT proc FROM v_instr WHERE op = 'alloc') a ON i.proc = a.proc WHERE i.op = 'sink' AND i.val > 100",
-    "C5_truth_matching": f"SELECT repo, count(*) AS truths, ISUM(CASE WHEN hits > 0 THEN 1 ELSE 0 END) AS found FROM ({_MATCHED}) m GROUP BY repo",
+    "C5_truths_near_findings": f"SELECT repo, count(*) AS truths, ISUM(CASE WHEN hits > 0 THEN 1 ELSE 0 END) AS found FROM ({_MATCHED}) m GROUP BY repo",
     "C5_mutual_best": """SELECT repo, cwe, count(*) AS pairs FROM (SELECT repo, cwe, location, t_line, f_line, row_number() OVER (PARTITION BY repo, cwe, location, t_line ORDER BY gap, f_line) AS a, row_number() OVER (PARTITION BY repo, cwe, location, f_line ORDER BY gap, t_line) AS b
-      FROM (SELECT DISTINCT t.repo, t.cwe, t.location, t.line AS t_line, f.line AS f_line, abs(t.line - f.line) AS gap FROM v_truth t JOIN v_finding f ON t.repo = f.repo AND t.cwe = f.cwe AND t.location = f.location AND abs(t.line - f.line) <= 5) p) q WHERE a = 1 AND b = 1 GROUP BY repo, cwe""",
-    "C6_expected_detected": "SELECT e.location, e.line, e.cwe, count(f.line) AS detections FROM (SELECT DISTINCT location, line, cwe FROM v_truth) e LEFT JOIN (SELECT DISTINCT location, line, cwe, type FROM v_finding) f ON e.location = f.location AND abs(e.line - f.line) <= 2 AND (e.cwe = f.cwe OR f.type = 'custom_rule') GROUP BY e.location, e.line, e.cwe",
+      FROM (SELECT t.repo, t.cwe, t.location, t.line AS t_line, f.line AS f_line, abs(t.line - f.line) AS gap FROM """
+    + _spread("(SELECT DISTINCT repo, cwe, location, line FROM v_truth) x", 5)
+    + " t JOIN "
+    + _bucketed("(SELECT DISTINCT repo, cwe, location, line FROM v_finding) y", 5)
+    + """ f ON t.repo = f.repo AND t.cwe = f.cwe AND t.location = f.location AND t.bucket = f.bucket AND abs(t.line - f.line) <= 5) p) q WHERE a = 1 AND b = 1 GROUP BY repo, cwe""",
+    "C6_expected_detected": "SELECT location, line, cwe, count(found) AS detections, min(CASE WHEN found IS NOT NULL THEN gap * 2 + CASE WHEN same THEN 0 ELSE 1 END END) AS best FROM (SELECT e.location, e.line, e.cwe, f.line AS found, abs(e.line - f.line) AS gap, e.cwe = f.cwe AS same FROM "
+    + _spread("(SELECT DISTINCT location, line, cwe FROM v_truth) x", 2)
+    + " e LEFT JOIN "
+    + _bucketed("(SELECT DISTINCT location, line, cwe, type FROM v_finding WHERE cwe IS NOT NULL OR type = 'custom_rule') y", 2)
+    + " f ON e.location = f.location AND e.bucket = f.bucket AND abs(e.line - f.line) <= 2 AND (e.cwe = f.cwe OR f.type = 'custom_rule')) t GROUP BY location, line, cwe",
     "C7_case_span": "SELECT c.location, c.start_line, c.stop_line, count(f.line) AS hits FROM (SELECT location, min(line) AS start_line, min(line) + 4 AS stop_line FROM v_truth GROUP BY location) c LEFT JOIN (SELECT DISTINCT location, line, cwe FROM v_finding) f ON c.location = f.location AND f.line BETWEEN c.start_line - 10 AND c.stop_line + 10 AND f.cwe IN ('CWE-89', 'CWE-22') GROUP BY c.location, c.start_line, c.stop_line",
     "C8_tool_agreement": """SELECT cwe, count_if(a AND b) AS both_tools, count_if(a AND NOT b) AS only_left, count_if(b AND NOT a) AS only_right FROM (SELECT coalesce(x.cwe, y.cwe) AS cwe, x.location IS NOT NULL AS a, y.location IS NOT NULL AS b FROM
       (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha' AND cwe IS NOT NULL AND conf >= 80) x FULL OUTER JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'beta' AND cwe IS NOT NULL AND conf >= 80) y ON x.location = y.location AND x.cwe = y.cwe) t GROUP BY cwe""",
     "C9_paired_twins": "SELECT proc, bool_or(repo = 'repo0') AS on_vulnerable, bool_or(repo = 'repo1') AS on_fixed, bool_or(repo = 'repo0') AND NOT bool_or(repo = 'repo1') AS right_verdict FROM v_finding WHERE type = 'xss' GROUP BY proc",
     "C10_argument_sink": "SELECT DISTINCT c.caller, c.callee FROM v_call c JOIN (SELECT DISTINCT 'p' || CAST(p_partkey % 300 AS STRING) AS callee FROM part WHERE p_size = 3) s ON c.callee = s.callee",
     "C11_callee_summary": "SELECT c.caller, count(*) AS frees FROM v_call c JOIN (SELECT DISTINCT 'p' || CAST(l_partkey % 300 AS STRING) AS callee FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) s ON c.callee = s.callee GROUP BY c.caller",
-    "C12_entry_points": "SELECT caller AS proc FROM (SELECT DISTINCT caller FROM v_call) a LEFT ANTI JOIN (SELECT DISTINCT 'c' || substr(callee, 2) AS callee FROM v_call WHERE length(callee) = 2) b ON a.caller = b.callee",
+    "C12_entry_points": "SELECT caller AS proc FROM (SELECT DISTINCT caller FROM v_call) a LEFT ANTI JOIN (SELECT DISTINCT 'c' || substr(callee, 2) AS callee FROM v_call WHERE CAST(substr(callee, 2) AS INT) % 3 <> 0) b ON a.caller = b.callee",
     "C13_additive_merge": "SELECT location, cwe, 'own' AS origin FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha' AND cwe IS NOT NULL) a UNION ALL SELECT g.location, g.cwe, 'added' FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'gamma' AND cwe IS NOT NULL) g LEFT ANTI JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha') a ON g.location = a.location AND g.cwe = a.cwe",
     "C14_heap_edges": "SELECT a.src, b.dst FROM v_heap a JOIN v_heap b ON a.dst = b.src",
     "C16_as_of": "SELECT event_id, user_id, CAST(LASTOF(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS last_signup FROM events",
     # aggregations
     "D1_severity_counts": "SELECT location, count(*) AS total, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high FROM v_finding GROUP BY location",
     "D2_grouping_sets": "SELECT repo, coalesce(cwe, 'unmapped') AS cwe, severity, count(*) AS n FROM v_finding GROUP BY GROUPING SETS ((repo), (cwe), (severity), ())",
-    "D3_micro_counts": f"SELECT coalesce(repo, 'all') AS repo, coalesce(cwe, 'all') AS cwe, count_if(hits > 0) AS tp, count_if(hits = 0) AS fn FROM ({_MATCHED}) m GROUP BY GROUPING SETS ((repo), (cwe), ())",
+    "D3_micro_counts": f"SELECT coalesce(repo, 'all') AS repo, coalesce(cwe, 'all') AS cwe, count_if(said AND so) AS tp, count_if(said AND NOT so) AS fp, count_if(so AND NOT said) AS fn FROM (SELECT coalesce(t.repo, f.repo) AS repo, coalesce(t.cwe, f.cwe) AS cwe, f.location IS NOT NULL AS said, t.location IS NOT NULL AS so FROM (SELECT DISTINCT repo, location, cwe FROM v_truth WHERE status = 'true_positive' AND line % 4 = 1) t FULL OUTER JOIN (SELECT DISTINCT repo, location, cwe FROM v_finding WHERE conf >= 85 AND cwe IS NOT NULL) f ON t.repo = f.repo AND t.location = f.location AND t.cwe = f.cwe) m GROUP BY GROUPING SETS ((repo), (cwe), ())",
     "D4_precision_recall": f"SELECT cwe, tp, fp, fn, {_PRF} FROM (SELECT coalesce(f.cwe, t.cwe) AS cwe, count_if(f.location IS NOT NULL AND t.location IS NOT NULL) AS tp, count_if(t.location IS NULL) AS fp, count_if(f.location IS NULL) AS fn FROM (SELECT DISTINCT location, cwe, line FROM v_finding WHERE cwe IS NOT NULL) f FULL OUTER JOIN (SELECT DISTINCT location, cwe, line FROM v_truth) t ON f.location = t.location AND f.cwe = t.cwe AND f.line = t.line GROUP BY coalesce(f.cwe, t.cwe)) x",
     "D5_youden": "SELECT lang, tp, fp, fn, tn, RATIO(tp, nullif(tp + fn, 0)) AS tpr, RATIO(fp, nullif(fp + tn, 0)) AS fpr, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0e0) - coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0e0), 4) AS youden FROM (SELECT lang, count_if(said AND toxic = 1) AS tp, count_if(said AND toxic = 0) AS fp, count_if(NOT said AND toxic = 1) AS fn, count_if(NOT said AND toxic = 0) AS tn FROM (SELECT d.lang, RX(lower(d.text), '(idiot|moron|stupid|scum|trash)') AS said, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id) x GROUP BY lang) y",
-    "D6_majority_vote": "SELECT proc, count(*) AS runs, count_if(hit) AS detected, 2 * count_if(hit) > count(*) AS majority FROM (SELECT proc, repo, bool_or(type = 'sql_injection' AND witness) AS hit FROM v_finding GROUP BY proc, repo) t GROUP BY proc",
-    "D7_division_accuracy": "SELECT o_orderpriority AS division, count(*) AS cases, count_if(o_orderstatus = 'F') AS correct, RATIO(count_if(o_orderstatus = 'F'), count(*)) AS accuracy, round(avg(o_totalprice), 2) AS mean_ms FROM orders GROUP BY o_orderpriority",
+    "D6_majority_vote": "SELECT proc, count(*) AS runs, count_if(hit) AS detected, 2 * count_if(hit) > count(*) AS majority, RATIO(5 * count_if(hit), 5 * count_if(hit) + 4 * count_if(NOT hit)) AS f2 FROM (SELECT proc, repo, bool_or(type = 'sql_injection' AND witness) AS hit FROM v_finding GROUP BY proc, repo) t GROUP BY proc",
+    "D7_division_accuracy": "SELECT o_orderpriority AS division, count(*) AS cases, count_if(o_orderstatus = 'F') AS correct, RATIO(count_if(o_orderstatus = 'F'), count(*)) AS accuracy, round(avg(o_totalprice), 2) AS mean_ms, count_if(o_orderstatus = 'P') AS errors, SETOF(CASE WHEN o_orderstatus = 'P' AND o_totalprice > 480000 THEN CAST(o_orderkey AS STRING) END) AS failures FROM orders GROUP BY o_orderpriority",
     "D8_result_correctness": "SELECT expected, actual, count(*) AS n, bool_and(expected = actual OR expected = 'unknown' AND actual IN ('sat', 'unsat')) AS correct FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 'sat' WHEN 1 THEN 'unsat' ELSE 'unknown' END AS expected, CASE o_orderkey % 4 WHEN 0 THEN 'sat' WHEN 1 THEN 'unsat' WHEN 2 THEN 'unknown' ELSE 'error' END AS actual FROM orders) t GROUP BY expected, actual",
-    "D9_macro_mean": f"SELECT round(avg(CASE WHEN hits > 0 THEN 1e0 ELSE 0e0 END), 4) AS macro_recall, count_if(hits = 0) AS abstained, count(*) AS tasks FROM ({_MATCHED}) m",
+    "D9_macro_mean": f"SELECT round(avg(recall), 4) AS macro_recall, round(avg(prec), 4) AS macro_precision, RATIO(count_if(said = 0), count(*)) AS abstain_rate, count(*) AS tasks FROM (SELECT repo, location, cwe, RATIO(count_if(hits > 0), count(*)) AS recall, RATIO(ISUM(least(hits, 1)), nullif(ISUM(hits), 0)) AS prec, ISUM(hits) AS said FROM ({_MATCHED}) m GROUP BY repo, location, cwe) t",
     "D10_procedure_summary": "SELECT proc, var, bool_or(op = 'free') AS frees, bool_or(op = 'use') AS derefs, SETOF(op) AS ops FROM v_instr GROUP BY proc, var",
     "D11_constant_return": "SELECT proc, var, count(DISTINCT val) = 1 AND bool_and(op = 'assign') AS always_constant FROM v_instr GROUP BY proc, var",
     "D12_single_assignment": "SELECT proc, var, max(val) AS constant FROM v_instr WHERE op = 'assign' GROUP BY proc, var HAVING count(*) = 1",
-    "D13_literals": "SELECT proc, var, count(DISTINCT val) AS literals, min(val) AS low, max(val) AS high FROM v_instr WHERE op = 'assign' GROUP BY proc, var",
+    "D13_literals": "SELECT proc, var, count(DISTINCT val) AS literals, min(val) AS low, max(val) AS high, SETOF(CAST(val AS STRING)) AS all_literals FROM v_instr WHERE op = 'assign' GROUP BY proc, var",
     "D14_join_facts": "SELECT var, count(DISTINCT proc) = (SELECT count(DISTINCT proc) FROM v_instr) AS must_hold, count(*) > 0 AS may_hold, CASE WHEN min(val) = max(val) THEN CAST(min(val) AS STRING) ELSE 'phi_' || CAST(var AS STRING) END AS merged FROM v_instr WHERE op = 'assign' GROUP BY var",
     "D16_tools_per_cluster": "SELECT location, cwe, SETOF(tool) AS tools, count(DISTINCT tool) AS n_tools FROM v_finding WHERE cwe IS NOT NULL GROUP BY location, cwe",
     "D17_cube": "SELECT tool, severity, count(*) AS n, count(DISTINCT location) AS files FROM v_finding GROUP BY CUBE (tool, severity)",
@@ -99,14 +129,12 @@ SQL: dict[str, str | tuple[str, str]] = {
     "E9_context_snippet": "SELECT doc_id, line_no, coalesce(lag(line) OVER w, '') || ' >> ' || line || ' << ' || coalesce(lead(line) OVER w, '') AS snippet FROM v_line WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)",
     "E10_line_budget": "SELECT doc_id, line_no FROM (SELECT doc_id, line_no, CAST(sum(length(line) + 8) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM v_line) t WHERE used <= 1200",
     "E11_stability_histogram": "SELECT detected, count(*) AS procs FROM (SELECT proc, count(DISTINCT repo) AS detected FROM v_finding WHERE severity = 'critical' AND witness GROUP BY proc) t GROUP BY detected",
-    "E12_ranks": "SELECT p_partkey, CAST(ntile(4) OVER (ORDER BY p_retailprice, p_partkey) AS INT) AS quartile, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INT) AS size_rank, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next_part FROM part",
+    "E12_ranks": "SELECT p_partkey, CAST(ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS INT) AS quartile, cume_dist() OVER (PARTITION BY p_brand ORDER BY p_size) AS share, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INT) AS size_rank, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next_part FROM part",
     # recursion
-    "F6_bfs_depth": ("WITH RECURSIVE walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < 30) SELECT node, min(depth) AS depth FROM walk GROUP BY node"),
     "F7_cwe_ancestors": "WITH RECURSIVE up AS (SELECT child, parent, 1 AS depth FROM cwe_edge UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN cwe_edge e ON u.parent = e.child WHERE u.depth < 12) SELECT child, parent AS ancestor, min(depth) AS depth FROM up GROUP BY child, parent",
     "F7_matches_any": "WITH RECURSIVE up AS (SELECT child, parent, 1 AS depth FROM cwe_edge UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN cwe_edge e ON u.parent = e.child WHERE u.depth < 12) SELECT cwe, count(*) AS n FROM v_finding WHERE cwe IN (SELECT child FROM up WHERE parent IN ('CWE-74', 'CWE-118')) GROUP BY cwe",
     "F8_uninitialised_reads": "SELECT proc, seq, var FROM (SELECT proc, seq, var, op, count_if(op IN ('assign', 'alloc')) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS defs FROM v_instr) t WHERE op = 'use' AND defs = 0",
     "F9_leak_at_exit": "SELECT proc, var, seq FROM (SELECT proc, var, seq, op, row_number() OVER (PARTITION BY proc, var ORDER BY seq DESC) AS r FROM v_instr WHERE op IN ('alloc', 'free')) t WHERE r = 1 AND op = 'alloc'",
-    "F11_heap_paths": ("WITH RECURSIVE walk AS (SELECT src AS origin, dst AS node, 1 AS depth FROM v_heap WHERE src % 50 = 3 UNION ALL SELECT w.origin, h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < 10 AND h.dst <> w.origin) SELECT origin, node, min(depth) AS depth FROM walk GROUP BY origin, node"),
     "F14_rule_of_three": "SELECT p_brand, p_type, bool_or(p_size < 3) AS raw_member, NOT bool_or(p_size > 48) AS no_copy FROM part GROUP BY p_brand, p_type HAVING bool_or(p_size < 3) AND NOT bool_or(p_size > 48)",
     # detectors
     "G1_infinite_loop": "SELECT proc, var FROM (SELECT proc, var, bool_and(val > 10) AS always, CASE WHEN max(CASE WHEN op = 'sink' THEN 1 END) IS NULL THEN NULL ELSE bool_or(op = 'free') END AS can_exit FROM v_instr GROUP BY proc, var) t WHERE always AND can_exit IS NOT NULL AND NOT can_exit",
@@ -120,23 +148,28 @@ SQL: dict[str, str | tuple[str, str]] = {
     "G10_null_dereference": "SELECT proc, seq, var FROM (SELECT proc, seq, var, op, LASTOF(CASE WHEN op IN ('assign', 'free', 'alloc') THEN CASE WHEN op = 'assign' AND val % 3 = 0 THEN 'null' ELSE 'set' END END) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM v_instr) t WHERE op = 'use' AND state = 'null'",
     "G11_heap_misuse": "SELECT proc, seq, var, CASE WHEN before IS NULL THEN 'CWE-590' WHEN before = 'free' THEN 'CWE-415' ELSE 'CWE-762' END AS cwe FROM (SELECT proc, seq, var, op, val, LASTOF(CASE WHEN op IN ('alloc', 'free') THEN op END) OVER w AS before, LASTOF(CASE WHEN op = 'alloc' THEN val END) OVER w AS made FROM v_instr WINDOW w AS (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) t WHERE op = 'free' AND (before IS NULL OR before = 'free' OR made % 2 <> val % 2)",
     "G13_hardcoded_secrets": "SELECT doc_id, line_no, CASE WHEN RX(line, 'password') THEN 'CWE-259' WHEN RX(line, '(token|api_key)') THEN 'CWE-798' ELSE 'CWE-321' END AS cwe FROM v_line WHERE RX(line, '(password|token|secret|api_key)[ ]*=[ ]*\"?[A-Za-z0-9]{8,}')",
-    "G16_cookie_flags": "SELECT user_id, bool_or(event_type = 'view') AS http_only, bool_or(event_type = 'error') AS secure, CASE WHEN NOT bool_or(event_type = 'error') THEN 'CWE-614' WHEN NOT bool_or(event_type = 'view') THEN 'CWE-1004' ELSE 'none' END AS cwe FROM events WHERE event_id % 40 = 0 GROUP BY user_id",
     "G17_weak_algorithms": "SELECT doc_id, line_no, CASE WHEN RX(lower(line), '(md5|sha1)') THEN 'CWE-328' ELSE 'CWE-327' END AS cwe FROM v_line WHERE RX(lower(line), '(md5|sha1|des|rc4|ecb)[^a-z]') AND NOT RX(lower(line), '(gcm|ccm)')",
     "G20_line_rules": "SELECT r.cwe, count(*) AS hits, count(DISTINCT l.doc_id) AS docs FROM v_line l JOIN (SELECT 'CWE-259' AS cwe, 'password' AS needle UNION ALL SELECT 'CWE-798', 'token' UNION ALL SELECT 'CWE-546', 'licen' UNION ALL SELECT 'CWE-1051', '@mail') r ON instr(lower(l.line), r.needle) > 0 GROUP BY r.cwe",
     "G21_buffer_sizes": "SELECT proc, seq, var, size_before, val FROM (SELECT proc, seq, var, op, val, LASTOF(CASE WHEN op = 'alloc' THEN val END) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS size_before FROM v_instr) t WHERE op = 'assign' AND val > size_before",
     # sorts and limits
-    "H1_top_finding": "SELECT repo, max(rank * 1000 + conf) AS top_score, count(*) AS n FROM v_ranked GROUP BY repo",
+    "H1_top_finding": (
+        "SELECT repo, top.location AS location, top.line AS line, top.type AS type, top.severity AS severity, top.conf AS conf, n FROM (SELECT repo, max_by(struct(location, line, type, severity, conf), struct(rank, conf, location, line, type, proc, tool, flow_len, witness)) AS top, count(*) AS n FROM v_ranked GROUP BY repo) t",
+        "SELECT repo, location, line, type, severity, conf, n FROM (SELECT *, count(*) OVER (PARTITION BY repo) AS n, row_number() OVER (PARTITION BY repo ORDER BY rank DESC, conf DESC, location DESC, line DESC, type DESC, proc DESC, tool DESC, flow_len DESC, witness DESC) AS r FROM v_ranked) t WHERE r = 1",
+    ),
     "H2_top_six": f"SELECT cwe, type, location, line FROM (SELECT *, row_number() OVER (ORDER BY {_BETTER}, location) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cwe, type, location ORDER BY {_BETTER}) AS r FROM v_ranked) a WHERE r = 1) b WHERE place <= 6",
     "H3_most_common": "SELECT cwe, n, CAST(row_number() OVER (ORDER BY n DESC, cwe) AS INT) AS place FROM (SELECT coalesce(cwe, 'unmapped') AS cwe, count(*) AS n FROM v_finding GROUP BY coalesce(cwe, 'unmapped')) t",
     "H6_stratified_sample": "SELECT division, p_partkey FROM (SELECT p_brand AS division, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS STRING)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) t WHERE r <= greatest(1, CAST(floor(n * 0.1e0) AS BIGINT))",
     # sets
-    "J1_union_producers": "SELECT location, line, 'alpha' AS tool FROM v_finding WHERE tool = 'alpha' UNION ALL SELECT location, line, 'beta' FROM v_finding WHERE tool = 'beta'",
+    "J1_union_producers": "SELECT location, line, 'alpha' AS tool FROM v_finding WHERE tool = 'alpha' UNION ALL SELECT location, line, 'beta' FROM v_finding WHERE tool = 'beta' UNION ALL SELECT location, line, 'gamma' FROM v_finding WHERE tool = 'gamma' UNION ALL SELECT location, line, 'truth' FROM v_truth UNION ALL SELECT CAST(doc_id AS STRING), line_no, 'lines' FROM v_line WHERE RX(line, '(password|token|secret)')",
     "J2_first_wins": "SELECT location, line, type, tool FROM (SELECT location, line, type, tool, row_number() OVER (PARTITION BY location, line, type ORDER BY CASE tool WHEN 'gamma' THEN 0 WHEN 'alpha' THEN 1 ELSE 2 END) AS r FROM (SELECT DISTINCT location, line, type, tool FROM v_finding) d) t WHERE r = 1",
     "J3_intersect": "SELECT location, cwe FROM v_finding WHERE tool = 'alpha' INTERSECT SELECT location, cwe FROM v_finding WHERE tool = 'beta'",
     "J3_except": "SELECT location, cwe, line FROM v_finding WHERE tool = 'alpha' EXCEPT SELECT location, cwe, line FROM v_finding WHERE tool = 'beta'",
     "J4_distinct": "SELECT DISTINCT repo, tool, severity FROM v_finding_all",
     "J5_overlay": "SELECT name, kind FROM (SELECT name, kind, row_number() OVER (PARTITION BY name ORDER BY precedence DESC) AS r FROM (SELECT raw AS name, kind, 1 AS precedence FROM sink_alias UNION ALL SELECT 'path', 'overlaid', 2 UNION ALL SELECT 'new', 'overlaid', 2) u) t WHERE r = 1",
-    "J6_frame_difference": "SELECT p_brand, p_size, a - b AS left_over FROM (SELECT p_brand, p_size, count_if(p_partkey % 2 = 0) AS a, count_if(p_partkey % 2 = 1) AS b FROM part GROUP BY p_brand, p_size) t WHERE a > b",
+    "J6_multiset_difference": (
+        "SELECT p_brand || '|->' || CAST(p_size AS STRING) AS atom, count(*) AS left_over FROM (SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 0 EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 1) t GROUP BY p_brand, p_size",
+        "SELECT p_brand || '|->' || CAST(p_size AS STRING) AS atom, a - b AS left_over FROM (SELECT p_brand, p_size, count_if(p_partkey % 2 = 0) AS a, count_if(p_partkey % 2 = 1) AS b FROM part GROUP BY p_brand, p_size) t WHERE a > b",
+    ),
     # scalar functions
     "L1_cwe_normalise": "SELECT raw, CASE WHEN RX(raw, '[0-9]') THEN 'CWE-' || CAST(CAST(regexp_extract(raw, '([0-9]+)', 1) AS INT) AS STRING) END AS cwe FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'cwe_' || CAST(p_size AS STRING) WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN 'CWE-0' || CAST(p_size AS STRING) ELSE 'none' END AS raw FROM part) t",
     "L2_cwe_family": "SELECT cwe, CASE WHEN cwe IN ('CWE-89', 'CWE-79', 'CWE-78') THEN 'injection' WHEN cwe IN ('CWE-120', 'CWE-416', 'CWE-476') THEN 'memory' ELSE 'other' END AS family, count(*) AS n FROM v_finding GROUP BY cwe",
@@ -145,7 +178,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "L5_sarif_levels": "SELECT severity, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM v_finding GROUP BY severity",
     "L6_cache_key": "SELECT doc_id, line_no, source || ':' || CAST(line_no AS STRING) || ':' || substr(sha1(line), 1, 12) AS cache_key FROM v_line",
     "L8_strings": "SELECT doc_id, length(text) AS n, substr(text, 3, 5) AS part, instr(text, 'the') > 0 AS has_the, RX(text, '^[A-Z][a-z]+ ') AS matches, upper(substr(text, 1, 1)) || lower(substr(text, 2, 3)) AS head FROM documents",
-    "L9_bitvectors": "SELECT p_partkey, BITAND(p_partkey, 255) AS band, XOR(p_partkey, CAST(90 AS BIGINT)) AS bxor, BITAND(SHL(BITAND(p_partkey, 255), 3), 255) AS shl, SHR(BITAND(p_partkey, 255), 2) AS lshr, BITAND(p_partkey * 7 + 5, 255) AS wrapped, BITAND(p_partkey, 255) < 128 AS ult, CASE WHEN BITAND(p_partkey, 255) >= 128 THEN BITAND(p_partkey, 255) - 256 ELSE BITAND(p_partkey, 255) END AS signed_value FROM part",
+    "L9_bitvectors": "SELECT p_partkey, BITAND(p_partkey, 255) AS band, XOR(p_partkey, CAST(90 AS BIGINT)) AS bxor, BITAND(SHL(BITAND(p_partkey, 255), 3), 255) AS shl, SHR(BITAND(p_partkey, 255), 2) AS lshr, BITAND(p_partkey * 7 + 5, 255) AS wrapped, BITAND(p_partkey, 255) < 128 AS ult, BITAND(p_partkey * 7 - p_size, 255) AS subtracted, CAST(floor(BITAND(p_partkey, 255) / CAST(1 + BITAND(p_size, 15) AS DOUBLE)) AS BIGINT) AS udiv, BITAND(p_partkey, 255) % (1 + BITAND(p_size, 15)) AS urem, SIGNED(BITAND(p_partkey, 255)) % (1 + BITAND(p_size, 15)) AS srem, CAST(CHOP(SIGNED(BITAND(p_partkey, 255)) / CAST(1 + BITAND(p_size, 15) AS DOUBLE)) AS BIGINT) AS sdiv, BITAND(SHR(SIGNED(BITAND(p_partkey, 255)), 2), 255) AS ashr, 255 - BITAND(p_partkey, 255) AS bnot, BITAND(p_partkey, 255) < BITAND(p_size * 5, 255) AS less_u, SIGNED(BITAND(p_partkey, 255)) < SIGNED(BITAND(CAST(p_size AS BIGINT) * 5, 255)) AS less_s, SIGNED(BITAND(p_partkey, 255)) >= SIGNED(BITAND(CAST(p_size AS BIGINT) * 5, 255)) AS at_least_s, CASE WHEN BITAND(p_partkey, 255) >= 128 THEN BITAND(p_partkey, 255) - 256 ELSE BITAND(p_partkey, 255) END AS signed_value FROM part",
     "L10_arrays": (
         "SELECT p_partkey, CAST(coalesce(element_at(map_concat(map_filter(map(0, 10), (k, v) -> k <> p_size % 3), map(CAST(p_size % 3 AS INT), 7)), 0), -1) AS INT) AS selected FROM part",
         "SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 7 ELSE 10 END AS INT) AS selected FROM part",
@@ -161,11 +194,18 @@ SQL: dict[str, str | tuple[str, str]] = {
     "L18_dates": "SELECT DAYTEXT(o_orderdate) AS day, count(*) AS n, ISUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS final FROM orders GROUP BY DAYTEXT(o_orderdate)",
     "L19_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
     # streams, in their batch form
-    "N2_tumbling_counts": "SELECT event_type, FDIV(SECONDS(ts), 3600) AS hour, count(*) AS n FROM events GROUP BY event_type, FDIV(SECONDS(ts), 3600)",
+    "N2_tumbling_counts": (
+        "SELECT event_type, FDIV(SECONDS(w.start), 3600) AS hour, n FROM (SELECT event_type, window(ts, '1 hour') AS w, count(*) AS n FROM events GROUP BY event_type, window(ts, '1 hour')) t",
+        "SELECT event_type, FDIV(SECONDS(ts), 3600) AS hour, count(*) AS n FROM events GROUP BY event_type, FDIV(SECONDS(ts), 3600)",
+    ),
     "N3_sessions": "SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM (SELECT user_id, event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT user_id, event_id, ts, CASE WHEN SECONDS(ts) - lag(SECONDS(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800 THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, session",
     # external verdicts
-    "R1_merge_external": "SELECT location, line, type, CAST(CASE WHEN grounded THEN greatest(conf, 90) ELSE least(conf, 85) END AS INT) AS conf FROM (SELECT f.location, f.line, f.type, max(f.conf) AS conf, bool_or(g.location IS NOT NULL) AS grounded FROM v_finding f LEFT JOIN (SELECT DISTINCT location, line, type FROM v_finding WHERE tool = 'alpha') g ON f.location = g.location AND f.type = g.type AND abs(f.line - g.line) <= 3 WHERE f.tool = 'gamma' GROUP BY f.location, f.line, f.type) t",
-    "R4_verify_fix": "SELECT b.location, b.cwe, a.location IS NULL AS fixed FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE repo = 'repo0' AND cwe IS NOT NULL) b LEFT JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE repo = 'repo0' AND conf > 70 AND cwe IS NOT NULL) a ON a.location = b.location AND a.cwe = b.cwe",
+    "R1_merge_external": "SELECT location, line, type, CAST(CASE WHEN grounded THEN greatest(conf, 90) ELSE least(conf, 85) END AS INT) AS conf FROM (SELECT f.location, f.line, f.type, max(f.conf) AS conf, bool_or(g.location IS NOT NULL) AS grounded FROM "
+    + _spread("(SELECT location, line, type, max(conf) AS conf FROM v_finding WHERE tool = 'gamma' GROUP BY location, line, type) x", 3)
+    + " f LEFT JOIN "
+    + _bucketed("(SELECT DISTINCT location, line, type FROM v_finding WHERE tool = 'alpha') y", 3)
+    + " g ON f.location = g.location AND f.type = g.type AND f.bucket = g.bucket AND abs(f.line - g.line) <= 3 GROUP BY f.location, f.line, f.type) t",
+    "R4_verify_fix": "SELECT b.repo, b.location, b.cwe, a.location IS NULL AS fixed FROM (SELECT DISTINCT repo, location, cwe FROM v_finding WHERE cwe IS NOT NULL) b LEFT JOIN (SELECT DISTINCT repo, location, cwe FROM v_finding WHERE conf > 95 AND cwe IS NOT NULL) a ON a.repo = b.repo AND a.location = b.location AND a.cwe = b.cwe",
 }
 
 #: DuckDB spells semi and anti joins without LEFT.

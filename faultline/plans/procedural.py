@@ -47,12 +47,10 @@ TAINT_ORACLE = """SELECT k.type, v.cwe, v.severity, count(*) AS findings FROM (S
   AND NOT (p.p_size % 5 = 0 AND s.type = CASE WHEN p.p_size % 2 = 0 THEN 'sql_injection' ELSE 'xss' END)) k LEFT JOIN vuln v ON k.type = v.type GROUP BY k.type, v.cwe, v.severity"""
 
 
-CALLS = "SELECT DISTINCT CAST(substr(caller, 2) AS INT) AS src, CAST(substr(callee, 2) AS INT) AS dst FROM v_call WHERE (CAST(substr(caller, 2) AS INT) * 31 + CAST(substr(callee, 2) AS INT)) % 31 = 5"
-SPARSE = CALLS.replace("% 31", "% 97") + " AND CAST(substr(callee, 2) AS INT) % 3 = 0"
+CALLS = "SELECT DISTINCT CAST(substr(caller, 2) AS INT) AS src, CAST(substr(callee, 2) AS INT) AS dst FROM v_call"
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All calls. The oracles' CALLS and SPARSE are a part of them."""
     number = lambda c: F.substring(c, 2, 10).cast("int")
     return views.run(spark, sf_dir, "SELECT caller, callee FROM v_call").select(number("caller").alias("src"), number("callee").alias("dst")).distinct()
 
@@ -75,8 +73,8 @@ def sanitized_on_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.must_hold(nodes, _calls(spark, sf_dir), entry, kills)
 
 
-def unavoidable_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Procedures from which a call chain comes back to one of the first ten."""
+def callers_of_the_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Procedures from which a call chain leads to one of the first ten."""
     edges = _calls(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return fixpoint.reachable(spark.range(10).select(F.col("id").cast("int").alias("node")), edges).select("node")
 
@@ -124,6 +122,20 @@ def anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.anchored_clusters(rows, ["location", "cwe"], "line", 3).groupBy("location", "cwe", "anchor").agg(F.count("*").alias("n"))
 
 
+def truth_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and truths one to one: of the pairs of a file and weakness within five lines, the nearest first."""
+    pairs = views.run(
+        spark,
+        sf_dir,
+        """SELECT t.repo, t.cwe, t.location, t.line AS left_line, f.line AS right_line FROM
+      (SELECT *, FDIV(line, 5) + step AS bucket FROM (SELECT DISTINCT repo, cwe, location, line FROM v_truth WHERE status = 'true_positive') x CROSS JOIN (SELECT -1 AS step UNION ALL SELECT 0 UNION ALL SELECT 1) around) t
+      JOIN (SELECT *, FDIV(line, 5) AS bucket FROM (SELECT DISTINCT repo, cwe, location, line FROM v_finding) y) f
+      ON t.repo = f.repo AND t.cwe = f.cwe AND t.location = f.location AND t.bucket = f.bucket AND abs(t.line - f.line) <= 5""",
+    )
+    found = findings.greedy_matches(pairs, ["repo", "cwe", "location"])
+    return found.groupBy("repo", "cwe").agg(F.count("*").alias("matched"), F.sum(F.abs(F.col("left_line") - F.col("right_line"))).alias("lines_apart"))
+
+
 FORMULAS = """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'a |-> b * b |-> nil |- ls(a, nil)' WHEN 1 THEN 'a |-> b |- a |-> c' WHEN 2 THEN 'ls(a, b) * ls(b, nil) |- ls(a, nil)'
   WHEN 3 THEN 'a |-> b * a |-> c' WHEN 4 THEN 'tree(a) |- tree(b)' ELSE 'a |-> ' END AS formula FROM part"""
 
@@ -133,9 +145,9 @@ def entailments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", kernels.check("formula").alias("verdict"))
 
 
-def frames_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+def leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.run(spark, sf_dir, "SELECT p_partkey, 'x |-> ' || CASE WHEN p_size % 2 = 0 THEN 'y * z |-> w' ELSE 'y' END || ' |- x |-> y' AS formula FROM part")
-    return rows.select("p_partkey", kernels.frame_of("formula").alias("frame"))
+    return rows.select("p_partkey", kernels.leftover_of("formula").alias("leftover"))
 
 
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,28 +158,35 @@ def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable] = {
     "M2_entailment": entailments,
-    "M4_frame": frames_left,
+    "M4_leftover": leftovers,
     "A8_python_scan": source_scan,
     "F2_taint_findings": taint_findings,
     "F4_interprocedural": interprocedural,
     "F10_equality_classes": equality_classes,
     "D14_must_hold": sanitized_on_all_paths,
-    "G2_uncontrolled_recursion": unavoidable_recursion,
+    "F4_callers": callers_of_the_first,
     "F6_bfs_depth": bfs_depth,
     "F11_heap_paths": heap_paths,
     "G16_cookie_flags": cookie_flags,
     "A18_sarif_round_trip": sarif,
     "E6_anchored_clusters": anchored_clusters,
+    "C5_truth_matching": truth_matches,
 }
 
 ORACLES: dict[str, str] = {
+    "E6_anchored_clusters": """WITH RECURSIVE lines AS (SELECT DISTINCT location, cwe, line FROM v_finding WHERE cwe IS NOT NULL), anchors AS (SELECT location, cwe, min(line) AS anchor FROM lines GROUP BY location, cwe
+      UNION ALL SELECT l.location, l.cwe, min(l.line) FROM anchors a JOIN lines l ON l.location = a.location AND l.cwe = a.cwe AND l.line > a.anchor + 3 GROUP BY l.location, l.cwe)
+      SELECT a.location, a.cwe, CAST(a.anchor AS INT) AS anchor, count(*) AS n FROM anchors a JOIN lines l ON l.location = a.location AND l.cwe = a.cwe AND l.line BETWEEN a.anchor AND a.anchor + 3 GROUP BY a.location, a.cwe, a.anchor""",
+    "F6_bfs_depth": "WITH RECURSIVE walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < (SELECT count(*) FROM part)) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
+    "F11_heap_paths": "WITH RECURSIVE walk AS (SELECT src AS origin, dst AS node, 1 AS depth FROM v_heap UNION ALL SELECT w.origin, h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < 10 AND h.dst <> w.origin) SELECT origin, node, min(depth) AS depth FROM walk GROUP BY origin, node",
+    "G16_cookie_flags": "SELECT user_id, bool_or(event_type = 'view') AS http_only, bool_or(event_type = 'error') AS secure, CASE WHEN NOT bool_or(event_type = 'error') THEN 'CWE-614' WHEN NOT bool_or(event_type = 'view') THEN 'CWE-1004' ELSE 'none' END AS cwe FROM events GROUP BY user_id",
     "M2_entailment": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'valid' WHEN 3 THEN 'unsat' WHEN 4 THEN 'unknown' ELSE 'error' END AS verdict FROM part",
-    "M4_frame": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'z |-> w' END AS frame FROM part",
-    "A8_python_scan": "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS file, CAST(5 AS INT) AS line, 'command_injection' AS type, CAST(3 AS INT) AS source_line FROM part WHERE p_partkey < 300 AND p_partkey % 3 <> 0",
+    "M4_leftover": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'z |-> w' END AS leftover FROM part",
+    "A8_python_scan": "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS file, CAST(5 AS INT) AS line, 'command_injection' AS type, CAST(3 AS INT) AS source_line FROM part WHERE p_partkey % 3 <> 0",
     "F2_taint_findings": TAINT_ORACLE,
     "F4_interprocedural": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON w.node = e.src WHERE w.depth < 64) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
-    "F10_equality_classes": f"WITH RECURSIVE edge AS ({SPARSE}), either AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge), walk AS (SELECT src AS node, src AS label FROM either UNION SELECT b.dst, w.label FROM walk w JOIN either b ON w.node = b.src), least AS (SELECT node, min(label) AS component FROM walk GROUP BY node) SELECT component, count(*) AS members FROM least GROUP BY component",
+    "F10_equality_classes": f"WITH RECURSIVE edge AS ({CALLS}), either AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge), walk AS (SELECT src AS node, src AS label FROM either UNION SELECT b.dst, w.label FROM walk w JOIN either b ON w.node = b.src), least AS (SELECT node, min(label) AS component FROM walk GROUP BY node) SELECT component, count(*) AS members FROM least GROUP BY component",
     "D14_must_hold": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node UNION SELECT e.dst FROM walk w JOIN edge e ON w.node = e.src), fails AS (SELECT CAST(k.n AS INT) AS node, CAST(k.n // 60 AS INT) AS fact FROM (SELECT unnest(range(300)) AS n) k WHERE k.n % 60 = 0 UNION SELECT e.dst, f.fact FROM fails f JOIN edge e ON f.node = e.src) SELECT w.node, CAST(k.fact AS INT) AS fact FROM walk w CROSS JOIN (SELECT unnest(range(5)) AS fact) k WHERE NOT EXISTS (SELECT 1 FROM fails f WHERE f.node = w.node AND f.fact = k.fact)",
-    "G2_uncontrolled_recursion": f"WITH RECURSIVE edge AS ({CALLS}), back AS (SELECT CAST(n AS INT) AS node FROM (SELECT unnest(range(10)) AS n) k UNION SELECT e.src FROM back b JOIN edge e ON b.node = e.dst) SELECT node FROM back",
-    "A18_sarif_round_trip": "SELECT cwe AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM (SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE repo = 'repo1' AND cwe IS NOT NULL) t GROUP BY ALL",
+    "F4_callers": f"WITH RECURSIVE edge AS ({CALLS}), back AS (SELECT CAST(n AS INT) AS node FROM (SELECT unnest(range(10)) AS n) k UNION SELECT e.src FROM back b JOIN edge e ON b.node = e.dst) SELECT node FROM back",
+    "A18_sarif_round_trip": "SELECT cwe AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM (SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE cwe IS NOT NULL) t GROUP BY ALL",
 }

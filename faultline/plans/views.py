@@ -49,12 +49,14 @@ MACROS = {
     "FDIV": ("CAST(floor(({0}) / CAST({1} AS DOUBLE)) AS BIGINT)", "CAST(floor(({0}) / CAST({1} AS DOUBLE)) AS BIGINT)"),
     "RATIO": ("round(CAST({0} AS DOUBLE) / CAST({1} AS DOUBLE), 4)", "round(CAST({0} AS DOUBLE) / CAST({1} AS DOUBLE), 4)"),
     "DAYTEXT": ("CAST(CAST({0} AS DATE) AS STRING)", "CAST(CAST({0} AS DATE) AS STRING)"),
-    "SECONDS": ("CAST(unix_timestamp(CAST({0} AS TIMESTAMP)) AS BIGINT)", "CAST(epoch({0}) AS BIGINT)"),
+    "SECONDS": ("CAST(unix_timestamp(CAST({0} AS TIMESTAMP)) AS BIGINT)", "CAST(floor(epoch({0})) AS BIGINT)"),
     "LASTOF": ("last({0}, true)", "last_value({0} IGNORE NULLS)"),
     "BITAND": ("({0} & {1})", "({0} & {1})"),
     "SHL": ("shiftleft({0}, {1})", "({0} << {1})"),
     "SHR": ("shiftright({0}, {1})", "({0} >> {1})"),
     "XOR": ("({0} ^ {1})", "xor({0}, {1})"),
+    "SIGNED": ("(({0} + 128) % 256 - 128)", "(({0} + 128) % 256 - 128)"),
+    "CHOP": ("(CASE WHEN {0} < 0 THEN ceil({0}) ELSE floor({0}) END)", "trunc({0})"),
 }
 
 

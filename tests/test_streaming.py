@@ -9,16 +9,16 @@ def drain(df, name, mode="append"):
 
 def test_typestate_over_a_stream(spark, tmp_path):
     rows = [(1, 0, 1, "alloc"), (1, 0, 2, "free"), (1, 0, 3, "use"), (1, 0, 4, "free"), (1, 0, 5, "alloc"), (1, 0, 6, "use"), (2, 1, 1, "use")]
-    frame = spark.createDataFrame(rows, "proc long, var int, seq int, op string")
-    frame.write.parquet(str(tmp_path / "in"))
-    got = drain(flows.typestate(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))), "typestate")
+    given = spark.createDataFrame(rows, "proc long, var int, seq int, op string")
+    given.write.parquet(str(tmp_path / "in"))
+    got = drain(flows.typestate(spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))), "typestate")
     assert {tuple(r) for r in got} == {(1, 0, 3, "CWE-416"), (1, 0, 4, "CWE-415")}
 
 
 def test_windowed_counts(spark, tmp_path):
-    frame = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2024-01-01 01:10:00', 'a'")
-    frame.write.parquet(str(tmp_path / "in"))
-    got = drain(flows.windowed_counts(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))), "counts", "complete")
+    given = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2024-01-01 01:10:00', 'a'")
+    given.write.parquet(str(tmp_path / "in"))
+    got = drain(flows.windowed_counts(spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))), "counts", "complete")
     assert sorted(r.n for r in got) == [1, 2]
 
 
