@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 64
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, and every executor can read it again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share: in spark.checkpoint.dir; where that is unset, a temp folder in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/faultline/fixpoint-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/faultline/{name}-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, and every executor can read it again."""
+    path = new_folder(df.sparkSession, "fixpoint")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._faultline_path = path
+    return out
+
+
+def _drop(df: DataFrame) -> None:
+    """Deletes what _cut wrote, once nothing reads it any more."""
+    if path := getattr(df, "_faultline_path", None):
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, carried: list[str] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -28,7 +44,7 @@ def reachable(seeds: DataFrame, edges: DataFrame, carried: list[str] | None = No
     carried = carried or []
     key = ["node", *carried]
     shared = [c for c in carried if c in edges.columns]
-    edges = _cut(edges.select("src", "dst", *shared).distinct())
+    edges = _cut(edges.select("src", "dst", *shared).distinct())  # one shuffle; every round reads them again
     new = _cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     known = new
     for step in range(1, max_rounds + 1):

@@ -58,21 +58,12 @@ SQL: dict[str, str | tuple[str, str]] = {
     "B8_candidate_files": "SELECT p.doc_id FROM v_path p WHERE RX(p.text, '(password|token|secret|exec|eval)') OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id AND l.toxic = 1)",
     "B9_placeholder_values": "SELECT doc_id, line_no, regexp_extract(line, '(password|token|secret)[ ]*=[ ]*\"?([A-Za-z0-9]+)', 2) AS secret FROM v_line WHERE RX(line, '(password|token|secret)[ ]*=[ ]*\"?[A-Za-z0-9]{4,}') AND NOT RX(lower(line), '(changeme|placeholder|example|xxxx|[$][{])')",
     "B10_xss_return_suppression": "SELECT location, proc, line, type, tool FROM (SELECT DISTINCT location, proc, line, type, tool, max(CASE WHEN type <> 'xss' THEN 1 ELSE 0 END) OVER (PARTITION BY location, proc) AS other FROM v_finding) t WHERE NOT (type = 'xss' AND other = 1)",
-    "B11_contradictory_guards": "SELECT a.proc, a.var, a.seq FROM v_instr a WHERE a.op = 'sink' AND NOT EXISTS (SELECT 1 FROM v_instr b JOIN v_instr c ON b.proc = c.proc AND b.var = c.var AND b.op = 'use' AND c.op = 'assign' AND b.val = c.val WHERE b.proc = a.proc AND b.var = a.var AND b.seq < a.seq AND c.seq < a.seq)",
-    "B12_idor_selector": "SELECT DISTINCT location, proc, line FROM v_finding WHERE type = 'path_traversal' AND flow_len = 0 AND tool = 'alpha'",
-    "B13_owner_discharge": "SELECT DISTINCT f.location, f.proc, f.line FROM v_finding f LEFT ANTI JOIN (SELECT DISTINCT location, proc FROM v_finding WHERE type = 'custom_rule') o ON f.location = o.location AND f.proc = o.proc WHERE f.type = 'sql_injection'",
     "B14_bounded_allocation": "SELECT a.proc, a.seq, a.var FROM v_instr a LEFT ANTI JOIN (SELECT DISTINCT proc, var FROM v_instr WHERE op = 'use' AND val < 100) g ON a.proc = g.proc AND a.var = g.var WHERE a.op = 'alloc' AND a.val > 150",
-    "B15_dead_branches": "SELECT h.src, h.dst FROM v_heap h LEFT JOIN (SELECT DISTINCT p_partkey AS node FROM part WHERE p_size = 1) d ON h.dst = d.node WHERE d.node IS NULL",
-    "B16_validation_patterns": "SELECT doc_id, line_no, CASE WHEN RX(line, '[.][.]') THEN 'path' WHEN RX(line, 'https?://') THEN 'url' ELSE 'quote' END AS guards FROM v_line WHERE RX(line, '[.][.]|https?://|''')",
     "B17_format_strings": "SELECT doc_id, line_no, RX(line, '%[0-9.]*[sdn]') AS directive, RX(line, '%%%') AS escaped FROM v_line WHERE RX(line, '%')",
     "B18_grounding": f"SELECT DISTINCT f.location, f.line, f.type FROM {_spread('(SELECT DISTINCT location, line, type FROM v_finding WHERE tool = ' + chr(39) + 'alpha' + chr(39) + ') x', 3)} f LEFT SEMI JOIN {_bucketed('(SELECT DISTINCT location, line, type FROM v_finding WHERE tool = ' + chr(39) + 'beta' + chr(39) + ') y', 3)} g ON f.location = g.location AND f.type = g.type AND f.bucket = g.bucket AND abs(f.line - g.line) <= 3",
     "B19_triage": """SELECT f.location, f.line, f.cwe, CASE WHEN v.status = 'false_positive' AND v.conf >= 75 THEN 'drop' WHEN v.conf IS NULL OR v.conf >= 35 AND v.conf < 75 THEN 'escalate' ELSE 'keep' END AS decision
       FROM (SELECT DISTINCT location, line, cwe FROM v_finding WHERE cwe IS NOT NULL) f LEFT JOIN (SELECT location, line, cwe, min(status) AS status, CAST(min((line * 7 + length(location)) % 100) AS INT) AS conf FROM v_truth GROUP BY location, line, cwe) v ON f.location = v.location AND f.line = v.line AND f.cwe = v.cwe""",
     # joins
-    "C1_spec_priority": """SELECT caller, callee, spec FROM (SELECT c.caller, c.callee, s.spec, row_number() OVER (PARTITION BY c.caller, c.callee ORDER BY s.priority, s.spec) AS rn FROM v_call c JOIN
-      (SELECT 'p1' AS name, 'exact:p1' AS spec, 0 AS priority UNION ALL SELECT 'p2', 'exact:p2', 0 UNION ALL SELECT '1', 'suffix:1', 1 UNION ALL SELECT '2', 'suffix:2', 1 UNION ALL SELECT '', 'any', 2) s
-      ON (s.priority = 0 AND c.callee = s.name OR s.priority = 1 AND substr(c.callee, length(c.callee), 1) = s.name OR s.priority = 2)) t WHERE rn = 1""",
-    "C2_spec_application": "SELECT i.op, s.effect, count(*) AS n FROM v_instr i JOIN (SELECT 'assign' AS op, 'propagates' AS effect UNION ALL SELECT 'sink', 'sinks' UNION ALL SELECT 'alloc', 'sources' UNION ALL SELECT 'use', 'sanitizes') s ON i.op = s.op GROUP BY i.op, s.effect",
     "C3_taint_sink_check": """SELECT DISTINCT s.l_suppkey, k.kind FROM lineitem s JOIN (SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'html' ELSE 'shell' END AS kind FROM supplier) k ON s.l_suppkey = k.s_suppkey
       JOIN (SELECT o_orderkey FROM orders LEFT SEMI JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') c ON o_custkey = c_custkey) o ON s.l_orderkey = o.o_orderkey
       LEFT ANTI JOIN (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'sql' ELSE 'html' END AS kind FROM part WHERE p_size % 5 = 0) z ON s.l_partkey = z.p_partkey AND k.kind = z.kind
@@ -96,7 +87,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "C9_paired_twins": "SELECT proc, bool_or(repo = 'repo0') AS on_vulnerable, bool_or(repo = 'repo1') AS on_fixed, bool_or(repo = 'repo0') AND NOT bool_or(repo = 'repo1') AS right_verdict FROM v_finding WHERE type = 'xss' GROUP BY proc",
     "C10_argument_sink": "SELECT DISTINCT c.caller, c.callee FROM v_call c JOIN (SELECT DISTINCT 'p' || CAST(p_partkey % 300 AS STRING) AS callee FROM part WHERE p_size = 3) s ON c.callee = s.callee",
     "C11_callee_summary": "SELECT c.caller, count(*) AS frees FROM v_call c JOIN (SELECT DISTINCT 'p' || CAST(l_partkey % 300 AS STRING) AS callee FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) s ON c.callee = s.callee GROUP BY c.caller",
-    "C12_entry_points": "SELECT caller AS proc FROM (SELECT DISTINCT caller FROM v_call) a LEFT ANTI JOIN (SELECT DISTINCT 'c' || substr(callee, 2) AS callee FROM v_call WHERE CAST(substr(callee, 2) AS INT) % 3 <> 0) b ON a.caller = b.callee",
     "C13_additive_merge": "SELECT location, cwe, 'own' AS origin FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha' AND cwe IS NOT NULL) a UNION ALL SELECT g.location, g.cwe, 'added' FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'gamma' AND cwe IS NOT NULL) g LEFT ANTI JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha') a ON g.location = a.location AND g.cwe = a.cwe",
     "C14_heap_edges": "SELECT a.src, b.dst FROM v_heap a JOIN v_heap b ON a.dst = b.src",
     "C16_as_of": "SELECT event_id, user_id, CAST(LASTOF(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS last_signup FROM events",
@@ -135,21 +125,13 @@ SQL: dict[str, str | tuple[str, str]] = {
     "F7_matches_any": "WITH RECURSIVE up AS (SELECT child, parent, 1 AS depth FROM cwe_edge UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN cwe_edge e ON u.parent = e.child WHERE u.depth < 12) SELECT cwe, count(*) AS n FROM v_finding WHERE cwe IN (SELECT child FROM up WHERE parent IN ('CWE-74', 'CWE-118')) GROUP BY cwe",
     "F8_uninitialised_reads": "SELECT proc, seq, var FROM (SELECT proc, seq, var, op, count_if(op IN ('assign', 'alloc')) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS defs FROM v_instr) t WHERE op = 'use' AND defs = 0",
     "F9_leak_at_exit": "SELECT proc, var, seq FROM (SELECT proc, var, seq, op, row_number() OVER (PARTITION BY proc, var ORDER BY seq DESC) AS r FROM v_instr WHERE op IN ('alloc', 'free')) t WHERE r = 1 AND op = 'alloc'",
-    "F14_rule_of_three": "SELECT p_brand, p_type, bool_or(p_size < 3) AS raw_member, NOT bool_or(p_size > 48) AS no_copy FROM part GROUP BY p_brand, p_type HAVING bool_or(p_size < 3) AND NOT bool_or(p_size > 48)",
     # detectors
-    "G1_infinite_loop": "SELECT proc, var FROM (SELECT proc, var, bool_and(val > 10) AS always, CASE WHEN max(CASE WHEN op = 'sink' THEN 1 END) IS NULL THEN NULL ELSE bool_or(op = 'free') END AS can_exit FROM v_instr GROUP BY proc, var) t WHERE always AND can_exit IS NOT NULL AND NOT can_exit",
     "G3_constant_index": "SELECT i.proc, i.seq, i.var, CASE WHEN i.val - 60 < 0 THEN CASE WHEN i.op = 'assign' THEN 'CWE-124' ELSE 'CWE-127' END ELSE CASE WHEN i.op = 'assign' THEN 'CWE-787' ELSE 'CWE-125' END END AS cwe FROM v_instr i JOIN (SELECT proc, var, max(val) AS bound FROM v_instr WHERE op = 'alloc' GROUP BY proc, var) b ON i.proc = b.proc AND i.var = b.var WHERE i.op IN ('assign', 'use') AND (i.val - 60 < 0 OR i.val - 60 >= b.bound)",
-    "G4_loop_bound": "SELECT g.proc, g.seq, g.var, g.val AS i_max, b.bound FROM v_instr g JOIN (SELECT proc, var, min(val) AS first_value FROM v_instr WHERE op = 'assign' GROUP BY proc, var HAVING min(val) >= 0) s ON g.proc = s.proc AND g.var = s.var JOIN (SELECT proc, var, min(val) AS bound FROM v_instr WHERE op = 'alloc' GROUP BY proc, var) b ON g.proc = b.proc AND g.var = b.var WHERE g.op = 'use' AND s.first_value <= g.val AND g.val >= b.bound",
     "G5_tainted_index": "SELECT DISTINCT u.proc, u.var FROM v_instr u JOIN (SELECT DISTINCT proc, var FROM v_instr WHERE op = 'sink') t ON u.proc = t.proc AND u.var = t.var LEFT ANTI JOIN (SELECT DISTINCT proc, var FROM v_instr WHERE op = 'assign' AND val < 40) g ON u.proc = g.proc AND u.var = g.var WHERE u.op = 'use'",
     "G6_unchecked_return": "SELECT proc, seq, var FROM (SELECT proc, seq, var, op, lead(op) OVER (PARTITION BY proc, var ORDER BY seq) AS next_op FROM v_instr) t WHERE op = 'alloc' AND coalesce(next_op, 'none') <> 'use'",
     "G7_stack_size": "SELECT proc, seq, val * 16384 AS bytes FROM v_instr WHERE op = 'alloc' AND val * 16384 >= 1048576",
     "G8_world_writable": "SELECT o_orderkey, CAST(o_custkey % 512 AS INT) AS mode FROM orders WHERE BITAND(CAST(o_custkey % 512 AS INT), 2) <> 0",
-    "G9_divide_by_zero": "SELECT s.proc, s.seq, s.var FROM v_instr s JOIN (SELECT proc, var, max(val) AS v FROM v_instr WHERE op = 'assign' GROUP BY proc, var HAVING count(DISTINCT val % 4) = 1) c ON s.proc = c.proc AND s.var = c.var WHERE s.op = 'sink' AND c.v % 4 = 0",
-    "G10_null_dereference": "SELECT proc, seq, var FROM (SELECT proc, seq, var, op, LASTOF(CASE WHEN op IN ('assign', 'free', 'alloc') THEN CASE WHEN op = 'assign' AND val % 3 = 0 THEN 'null' ELSE 'set' END END) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM v_instr) t WHERE op = 'use' AND state = 'null'",
     "G11_heap_misuse": "SELECT proc, seq, var, CASE WHEN before IS NULL THEN 'CWE-590' WHEN before = 'free' THEN 'CWE-415' ELSE 'CWE-762' END AS cwe FROM (SELECT proc, seq, var, op, val, LASTOF(CASE WHEN op IN ('alloc', 'free') THEN op END) OVER w AS before, LASTOF(CASE WHEN op = 'alloc' THEN val END) OVER w AS made FROM v_instr WINDOW w AS (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) t WHERE op = 'free' AND (before IS NULL OR before = 'free' OR made % 2 <> val % 2)",
-    "G13_hardcoded_secrets": "SELECT doc_id, line_no, CASE WHEN RX(line, 'password') THEN 'CWE-259' WHEN RX(line, '(token|api_key)') THEN 'CWE-798' ELSE 'CWE-321' END AS cwe FROM v_line WHERE RX(line, '(password|token|secret|api_key)[ ]*=[ ]*\"?[A-Za-z0-9]{8,}')",
-    "G17_weak_algorithms": "SELECT doc_id, line_no, CASE WHEN RX(lower(line), '(md5|sha1)') THEN 'CWE-328' ELSE 'CWE-327' END AS cwe FROM v_line WHERE RX(lower(line), '(md5|sha1|des|rc4|ecb)[^a-z]') AND NOT RX(lower(line), '(gcm|ccm)')",
-    "G20_line_rules": "SELECT r.cwe, count(*) AS hits, count(DISTINCT l.doc_id) AS docs FROM v_line l JOIN (SELECT 'CWE-259' AS cwe, 'password' AS needle UNION ALL SELECT 'CWE-798', 'token' UNION ALL SELECT 'CWE-546', 'licen' UNION ALL SELECT 'CWE-1051', '@mail') r ON instr(lower(l.line), r.needle) > 0 GROUP BY r.cwe",
     "G21_buffer_sizes": "SELECT proc, seq, var, size_before, val FROM (SELECT proc, seq, var, op, val, LASTOF(CASE WHEN op = 'alloc' THEN val END) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS size_before FROM v_instr) t WHERE op = 'assign' AND val > size_before",
     # sorts and limits
     "H1_top_finding": (

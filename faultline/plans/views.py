@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import dims
+from ..operators.fixpoint import new_folder
+from . import cases
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -33,6 +35,8 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     ),
     "v_heap": "SELECT p_partkey AS src, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS dst FROM part",
     "v_path": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'src/main/java/A' WHEN 1 THEN 'node_modules/x/b' WHEN 2 THEN 'tests/unit/test_c' WHEN 3 THEN 'lib/vendor/d' WHEN 4 THEN 'app/e.generated' ELSE 'cmd/f' END || CAST(doc_id AS STRING) || CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.java' WHEN 2 THEN '.ts' WHEN 3 THEN '.cpp' WHEN 4 THEN '.cs' WHEN 5 THEN '.go' WHEN 6 THEN '.md' ELSE '' END AS path, text FROM documents",
+    "v_program": cases.program_view(),
+    "v_label": cases.label_view(),
     "vuln": dims.VULN,
     "cwe_edge": dims.CWE_EDGE,
     "sink_alias": dims.SINK_ALIAS,
@@ -113,5 +117,26 @@ def with_views(sql: str, which: int, sf_dir: str | None = None) -> str:
     return dialect(head + joined + body, which)
 
 
+#: Views that several queries read and that cost a shuffle: written once for each session and input.
+WRITTEN = ("v_finding",)
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """The table that make() gives, written to the shared folder by the first query that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        path = new_folder(spark, name)
+        make().write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(with_views(sql, 0, sf_dir))
+    text = with_views(sql, 0, sf_dir)
+    for name in WRITTEN:
+        if re.search(rf"\b{name} AS \(", text):
+            body = VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][0]
+            kept(spark, sf_dir, name, lambda body=body: spark.sql(with_views(body, 0, sf_dir)))
+            text = text.replace(f"{name} AS ({dialect(body, 0)})", f"{name} AS (SELECT * FROM parquet.`{_KEPT[spark.sparkContext.applicationId, sf_dir, name]}`)")
+    return spark.sql(text)
