@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -16,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a temp folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temp folder in local mode (tests), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -50,6 +54,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's JVM finds them unreachable; asks it to look now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold_of(doc_id) -> int:
     """crc32(doc_id as text) mod 3; 1 is the held-out third."""
     return zlib.crc32(str(doc_id).encode()) % 3

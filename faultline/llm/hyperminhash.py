@@ -6,8 +6,9 @@ give candidate buckets; at a Jaccard similarity of 0.8 a pair shares none with a
 collision-corrected estimate is more than SIGMAS standard errors below the threshold go; the rest are compared on full sets.
 
 Copies (equal sets) are one class from the start. Inside a band bucket, members are first compared with its smallest class.
-Buckets whose members do not all join by that are compared in blocks of at most BLOCK classes or BLOCK_BYTES of sets, only across components. So a group of
-near copies costs a comparison each, and no link between different components is left out.
+In a bucket whose members do not all join by that, those outside its largest component are compared with all others, in blocks
+of about BLOCK classes or BLOCK_BYTES of sets, only across components. So a group of near copies costs a comparison each and a
+copy of a set for each block of those that stay apart from it, and no link between different components is left out.
 
 Nulls and empty texts have empty sets: linked with nothing, n_shingles 0, component_id their own doc_id. A null doc_id counts
 as a document but never as a component_id (null if its component has no other). Rows with one doc_id are documents of their
@@ -23,16 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import discard, mix64, shingle_hashes, table, word_hashes, word_spans, written
+from .common import collect_garbage, discard, mix64, shingle_hashes, table, word_hashes, word_spans, written
 from .components import connected_components
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 5.0
-BLOCK, BLOCK_BYTES = 256, 1 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 EMPTY = np.uint16(0xFFFF)
 _PREFERENCE = mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(77)).reshape(REGISTERS, REGISTERS)
 
@@ -130,8 +130,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
             keys = [band_keys(np.frombuffer(r.as_py(), np.uint16)) for r in part.column(1)]
-            nodes = np.repeat(part.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], names=["band", "node"])
+            nodes, sizes = (np.repeat(part.column(c).to_numpy(), BANDS) for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(sizes)], names=["band", "node", "n_shingles"])
 
 
 def _stack(column) -> np.ndarray:
@@ -158,7 +158,7 @@ def _across(percent: int):
         regs = _stack(t.column("registers"))
         keys = np.stack([band_keys(r).view(np.int64) for r in regs])
         band = int(np.flatnonzero((keys == np.int64(t.column("band")[0].as_py())).all(0))[0])
-        one_block = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        one_block = t.column("kind")[0].as_py() == "among" and t.column("i")[0].as_py() == t.column("j")[0].as_py()
         root = {x: x for x in label.tolist()}
 
         def find(x: int) -> int:
@@ -221,13 +221,33 @@ def _set_table(nodes: DataFrame, docs: DataFrame, sketch: DataFrame, k: int, id_
     return written(found.mapInArrow(_sets_of(k), "node long, shingles binary"), "sets")
 
 
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components yet: band, node, label, n_shingles, minor (not of the bucket's largest
+    component), and in how many blocks the bucket's two kinds of members are dealt (a hash deals them, so no bucket is one task)."""
+    weight = F.greatest(8 * F.col("n_shingles"), F.lit(BLOCK_BYTES // BLOCK))
+    told = members.filter("n > 2").join(labels, "node", "left").select("band", "node", "n_shingles", F.coalesce("label", "node").alias("label"), weight.alias("weight"))
+    parts = told.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_BYTES)).cast("long")
+    whole = parts.groupBy("band").agg(F.max(F.struct("c", "label", "w")).alias("most"), F.sum("w").alias("w"), F.count("*").alias("components")).filter("components > 1")
+    whole = whole.select("band", F.col("most.label").alias("major"), blocks(F.col("most.w")).alias("majors"), blocks(F.col("w") - F.col("most.w")).alias("minors"))
+    return told.join(whole, "band").select("band", "node", "n_shingles", "label", (F.col("label") != F.col("major")).alias("minor"), "majors", "minors")
+
+
+#: The tasks that a member takes part in: every block of the others meets every block of its bucket, those of the largest component among themselves excepted.
+TASKS = """explode(if(minor,
+    concat(transform(sequence(0L, majors - 1), j -> named_struct('i', own, 'j', j, 'kind', 'across', 'side', 0)),
+           transform(sequence(0L, minors - 1), j -> named_struct('i', least(own, j), 'j', greatest(own, j), 'kind', 'among', 'side', if(own <= j, 0, 1)))),
+    transform(sequence(0L, minors - 1), i -> named_struct('i', i, 'j', own, 'kind', 'across', 'side', 1)))) AS task"""
+
+
 def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, node (class of equal sets; null for empty ones), label (component; null for unlinked classes)."""
     sketch = written(sketches(docs, k, id_col, text_col), "sketches")
     classes = written(sketch.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    bands = classes.select("node", "registers").mapInArrow(_band_rows, "band long, node long")
+    bands = classes.select("node", "registers", "n_shingles").mapInArrow(_band_rows, "band long, node long, n_shingles long")
     buckets = written(bands.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(bands.join(buckets, "band"), "members")
+    discard(buckets)
     stars = members.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     sized = lambda c, n: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
     likely = stars.join(sized("a", 1), "a").join(sized("b", 2), "b").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(_hopeful(percent), "a long, b long")
@@ -236,27 +256,26 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     sets = _set_table(nodes, docs, sketch, k, id_col, text_col)
     side = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
     links = written(likely.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    discard(likely)
+    discard(sets)
+    collect_garbage(docs.sparkSession)
     labels = written(connected_components(links), "labels")
 
     #: Buckets of three and more that the comparisons with their centers did not join.
-    told = members.filter("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = told.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    apart = written(told.join(apart, "band").select("band", "node", "label").join(classes.select("node", "n_shingles"), "node"), "apart")
+    apart = written(_apart(members, labels), "apart")
+    discard(members)
     if not apart.isEmpty():
-        place = Window.partitionBy("band").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
-        weight = F.greatest(8 * F.col("n_shingles"), F.lit(BLOCK_BYTES // BLOCK))
-        left = written(apart.withColumn("block", F.floor((F.sum(weight).over(place) - 1) / BLOCK_BYTES)), "blocks")
-        blocks = left.groupBy("band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        other = blocks.select("band", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-        pairs = blocks.join(other, "band").filter("block <= j AND NOT (low = high AND low2 = high2 AND low = low2)").select("band", F.col("block").alias("i"), "j")
-        sides = pairs.select("band", "i", "j", F.expr("explode(if(i = j, array(named_struct('side', 0, 'block', i)), array(named_struct('side', 0, 'block', i), named_struct('side', 1, 'block', j)))) AS s")).select("band", "i", "j", "s.side", "s.block")
-        sets2 = _set_table(apart.select("node").distinct(), docs, sketch, k, id_col, text_col).dropDuplicates(["node"])
-        rows = left.join(sides, ["band", "block"]).join(classes.select("node", "registers"), "node").join(sets2, "node").select("band", "i", "j", "side", "node", "label", "n_shingles", "registers", "shingles")
-        found = written(rows.groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long"), "across")
+        tasks = apart.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")))).select("band", "node", "label", "n_shingles", F.expr(TASKS)).select("band", "node", "label", "n_shingles", "task.*")
+        sets = _set_table(apart.select("node").distinct(), docs, sketch, k, id_col, text_col)
+        full = written(sets.dropDuplicates(["node"]).join(classes.select("node", "registers"), "node"), "full")
+        discard(sets)
+        found = written(tasks.join(full, "node").groupBy("band", "kind", "i", "j").applyInArrow(_across(percent), "a long, b long"), "across")
+        discard(full)
         if not found.isEmpty():
-            labels = written(connected_components(links.unionByName(found)), "labels")
-        discard(left)
-    for df in (classes, buckets, members, likely, sets, apart):
+            old, labels = labels, written(connected_components(links.unionByName(found)), "labels")
+            discard(old)
+        discard(found)
+    for df in (classes, apart, links):
         discard(df)
     return sketch.drop("registers").join(labels, "node", "left")
 

@@ -52,8 +52,8 @@ def cases():
 def test_equals_brute_force(spark, cell, monkeypatch):
     monkeypatch.setattr(V, "CELL", cell)
     rows = cases()
-    frame = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, n_links int")
-    got = sorted((tuple(r) for r in V.linked(frame).collect()), key=str)
+    given = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, n_links int")
+    got = sorted((tuple(r) for r in V.linked(given).collect()), key=str)
     want = brute(rows)
     assert [r[0] for r in got] == [r[0] for r in want]
     links = sum(r[1] for r in want)
@@ -64,9 +64,9 @@ def test_equals_brute_force(spark, cell, monkeypatch):
 
 
 def test_recall_on_the_given_embeddings(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = [(r.vec_id, list(r.embedding), r.label) for r in frame.collect()]
-    got = sorted((tuple(r) for r in V.linked(frame).collect()), key=str)
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in given.collect()]
+    got = sorted((tuple(r) for r in V.linked(given).collect()), key=str)
     assert got == brute(rows)
 
 
