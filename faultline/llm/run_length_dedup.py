@@ -8,8 +8,9 @@ have equal keys. Strings of a document with one key in a row form a segment. Key
 equal as a whole repeat as a whole. For the other keys, one of each distinct segment is indexed: a run-compressed
 Burrows-Wheeler transform with suffix-array samples at run ends and their common-prefix lengths. Inside a run the common
 prefix with the neighbouring suffix shrinks by one from position to position, so matching statistics stream over the text from
-the samples alone. Chunks hold whole keys and at most CHUNK_BYTES; a key with more distinct text than that has its strings
-hashed and counted one by one instead, a count that is combined before any shuffle.
+the samples alone. Chunks hold whole keys and at most CHUNK_BYTES. The segments of a key with more distinct text than
+that are cut by how far before the gram of the key their strings start, and keyed anew by all that the strings of such a range
+share, in ever smaller ranges (WIDTHS) until they fit: in the last, only equal strings share a key.
 
 A text of n bytes gives about n / 85 segments; of each, two 64-bit hashes and its place are shuffled. Texts travel compressed.
 
@@ -32,6 +33,8 @@ from .common import BYTE_TABLE, discard, mix64, table, written
 LENGTH, GRAM = 200, 32
 BLOCK_BYTES = 1 << 20
 CHUNK_BYTES = 2 << 20
+#: Ranges, in bytes, by which the keys that do not fit a chunk are refined, one after the other.
+WIDTHS = (32, 6, 1)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -69,6 +72,15 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - have :]) if width > have else out
 
 
+#: Low bits that give way to a gram's place: a fixed number, so that equal strings find the same gram in whatever text they stand.
+PLACE = np.uint64((1 << 32) - 1)
+
+
+def least_grams(h: np.ndarray, width: int) -> np.ndarray:
+    """Of each `width` grams in a row: the place of the first one with the least hash."""
+    return (sliding_least((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), width) & PLACE).astype(np.int64)
+
+
 def segments_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Segments of documents laid end to end at bounds: document, first string, number of strings, key, and whether its smallest gram moves in it (only then can strings of one segment be equal)."""
     width = length - GRAM + 1
@@ -76,9 +88,7 @@ def segments_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.n
     if len(data) < length:
         return none
     h = gram_hashes(data, GRAM)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    places = (np.uint64(1) << bits) - np.uint64(1)
-    least = (sliding_least((h & ~places) | np.arange(len(h), dtype=np.uint64), width) & places).astype(np.int64)
+    least = least_grams(h, width)
     valid = np.zeros(len(least) + 1, np.int32)
     sizes = np.diff(bounds) - length + 1
     has = sizes > 0
@@ -260,16 +270,47 @@ def _indexed(length: int):
     return run
 
 
-def _each_string(length: int):
-    """Rows (key, seg, bytes) -> a hash for each string."""
+SUB = "key long, seg long, lo int, n int, sub_key long, sub_seg long, raw binary"
+
+
+def refined(raw: bytes, length: int, width: int) -> list[tuple[int, int, int, int]]:
+    """A segment cut where its least gram moves, and by how far before that gram strings start, in ranges of `width` bytes: first
+    string, number of strings, key, hash of the bytes. The key is a hash of what all strings of that range around that gram
+    share, so equal strings keep equal keys; with a width of 1 it is a hash of the string."""
+    import xxhash
+
+    place = least_grams(gram_hashes(np.frombuffer(raw, np.uint8), GRAM), length - GRAM + 1)
+    at = np.arange(len(place))
+    part = (place - at) // width
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (part[1:] != part[:-1])]))
+    out = []
+    for i, j, p, r in zip(first.tolist(), [*first[1:].tolist(), len(place)], place[first].tolist(), part[first].tolist(), strict=True):
+        near, far = r * width, min((r + 1) * width, length - GRAM + 1) - 1
+        core = raw[p - near : p - far + length]
+        out.append((i, j - i, xxhash.xxh3_64_intdigest(core, seed=r + 1), xxhash.xxh3_64_intdigest(raw[i : j + length - 1])))
+    return out
+
 
+def _refined(length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, seg, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = gram_hashes(np.frombuffer(raw, np.uint8), length)
-                for at in range(0, len(h), 100_000):
-                    own = h[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(np.full(len(own), seg)), pa.array(np.arange(at, at + len(own), dtype=np.int32)), pa.array(own.view(np.int64))], names=["key", "seg", "lo", "gram"])
+                rows = refined(raw, length, width)
+                for at in range(0, len(rows), 5000):
+                    own = rows[at : at + 5000]
+                    lo, n, keys, segs = zip(*own, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([key] * len(own), pa.int64()),
+                            pa.array([seg] * len(own), pa.int64()),
+                            pa.array(lo, pa.int32()),
+                            pa.array(n, pa.int32()),
+                            pa.array(np.array(keys, np.uint64).view(np.int64)),
+                            pa.array(np.array(segs, np.uint64).view(np.int64)),
+                            pa.array([raw[i : i + m + length - 1] for i, m in zip(lo, n, strict=True)], pa.binary()),
+                        ],
+                        names=[c.split()[0] for c in SUB.split(", ")],
+                    )
 
     return run
 
@@ -331,6 +372,35 @@ def _cut(length: int, digest: bool):
     return run
 
 
+
+def _whole():
+    """One run of all strings of a segment."""
+    return F.array(F.struct(F.lit(0).alias("lo"), F.col("n")))
+
+
+def _repeats(pieces: DataFrame, length: int, chunk_bytes: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Of distinct segments (key, seg, raw): the runs of repeated strings in those that have some. Keys with more text than a
+    chunk holds are refined until they fit; with the last width, equal strings alone share a key."""
+    index = lambda df: df.select("key", "seg", "raw").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_indexed(length), FOUND).filter("size(hits) > 0")
+    if not widths:
+        return index(pieces)
+    huge = written(pieces.groupBy("key").agg(F.sum(F.length("raw")).alias("bytes")).filter(F.col("bytes") > chunk_bytes).select("key"), "huge")
+    if huge.isEmpty():
+        return index(pieces)
+    sub = written(pieces.join(huge, "key", "left_semi").mapInArrow(_refined(length, widths[0]), SUB), "refined")
+    again = sub.groupBy("sub_key").agg(F.count("*").alias("rows")).filter("rows > 1").select("sub_key")
+    kinds = written(sub.join(again, "sub_key", "left_semi").groupBy("sub_key", "sub_seg").agg(F.count("*").alias("times"), F.first("raw").alias("raw")), "kinds")
+    inner = written(_repeats(kinds.select(F.col("sub_key").alias("key"), F.col("sub_seg").alias("seg"), "raw"), length, chunk_bytes, widths[1:]), "hits")
+    found = inner.select(F.col("key").alias("sub_key"), F.col("seg").alias("sub_seg"), "hits")
+    told = sub.select("key", "seg", "lo", "n", "sub_key", "sub_seg").join(kinds.select("sub_key", "sub_seg", "times"), ["sub_key", "sub_seg"]).join(found, ["sub_key", "sub_seg"], "left")
+    runs = told.select("key", "seg", "lo", F.when(F.col("times") > 1, _whole()).otherwise(F.col("hits")).alias("hits")).filter("hits IS NOT NULL")
+    moved = F.transform("hits", lambda h: F.struct((h["lo"] + F.col("lo")).alias("lo"), h["n"].alias("n")))
+    large = written(runs.groupBy("key", "seg").agg(F.flatten(F.collect_list(moved)).alias("hits")), "large")
+    for df in (sub, kinds, inner):
+        discard(df)
+    return index(pieces.join(huge, "key", "left_anti")).unionByName(large)
+
+
 def _hits(packed: DataFrame, texts: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
     """uid, hits: the places of repeated strings in each document that has some."""
     found = written(texts.mapInArrow(_segment_rows(length), SEGMENTS), "segments")
@@ -341,20 +411,14 @@ def _hits(packed: DataFrame, texts: DataFrame, length: int, chunk_bytes: int) ->
     alike = again.filter("NOT mixed").select("uid", "lo", "n")
     mixed = again.filter("mixed")
     kinds = written(mixed.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("uid", "lo", "n")).alias("one")), "kinds")
-    huge = kinds.groupBy("key").agg(F.sum(F.col("one.n") + length).alias("bytes")).filter(F.col("bytes") > chunk_bytes).select("key", F.lit(True).alias("huge"))
     wanted = kinds.select("one.uid", F.struct("key", "seg", "one.lo", "one.n").alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted"))
     pieces = written(packed.dropDuplicates(["uid"]).join(wanted, "uid").select("packed", "wanted").mapInArrow(_pieces(length), "key long, seg long, raw binary"), "pieces")
-    sorted_out = pieces.join(huge, "key", "left")
-    small = sorted_out.filter("huge IS NULL").select("key", "seg", "raw").repartition("key").sortWithinPartitions("key", "seg").mapInArrow(_indexed(length), FOUND)
-    strings = sorted_out.filter("huge").select("key", "seg", "raw").mapInArrow(_each_string(length), "key long, seg long, lo int, gram long")
-    twice = strings.groupBy("key", "gram").agg(F.count("*").alias("times")).filter("times > 1").select("key", "gram")
-    large = strings.join(twice, ["key", "gram"]).groupBy("key", "seg").agg(F.collect_list(F.struct("lo", F.lit(1).alias("n"))).alias("hits"))
-    hits = written(small.filter("size(hits) > 0").unionByName(large), "hits")
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n")))
+    hits = written(_repeats(pieces, length, chunk_bytes), "hits")
+    discard(pieces)
     times = kinds.select("key", "seg", "times")
-    told = mixed.join(times, ["key", "seg"]).join(hits, ["key", "seg"], "left").select("uid", "lo", F.explode(F.when(F.col("times") > 1, whole).otherwise(F.col("hits"))).alias("h")).select("uid", (F.col("lo") + F.col("h.lo")).alias("lo"), "h.n")
+    told = mixed.join(times, ["key", "seg"]).join(hits, ["key", "seg"], "left").select("uid", "lo", F.explode(F.when(F.col("times") > 1, _whole()).otherwise(F.col("hits"))).alias("h")).select("uid", (F.col("lo") + F.col("h.lo")).alias("lo"), "h.n")
     out = written(alike.unionByName(told).groupBy("uid").agg(F.collect_set(F.struct("lo", "n")).alias("hits")), "places")
-    for df in (again, kinds, pieces, hits):
+    for df in (again, kinds, hits):
         discard(df)
     return out
 

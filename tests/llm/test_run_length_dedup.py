@@ -83,7 +83,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [R.CHUNK_BYTES, 2000])
+@pytest.mark.parametrize("chunk", [R.CHUNK_BYTES, 2000, 240])
 def test_equals_brute_force(spark, chunk):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, uid int")
