@@ -145,11 +145,6 @@ def entailments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", kernels.check("formula").alias("verdict"))
 
 
-def leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.run(spark, sf_dir, "SELECT p_partkey, 'x |-> ' || CASE WHEN p_size % 2 = 0 THEN 'y * z |-> w' ELSE 'y' END || ' |- x |-> y' AS formula FROM part")
-    return rows.select("p_partkey", kernels.leftover_of("formula").alias("leftover"))
-
-
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small program for each part; every third cleans its input first."""
     rows = views.run(spark, sf_dir, "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS filename, 'import os\ndef run():\n    a = input()\n    b = ' || CASE WHEN p_partkey % 3 = 0 THEN 'shlex.quote(a)' ELSE 'a + 1' END || '\n    os.system(b)\n' AS text FROM part")
@@ -158,7 +153,6 @@ def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable] = {
     "M2_entailment": entailments,
-    "M4_leftover": leftovers,
     "A8_python_scan": source_scan,
     "F2_taint_findings": taint_findings,
     "F4_interprocedural": interprocedural,
@@ -180,8 +174,7 @@ ORACLES: dict[str, str] = {
     "F6_bfs_depth": "WITH RECURSIVE walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < (SELECT count(*) FROM part)) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
     "F11_heap_paths": "WITH RECURSIVE walk AS (SELECT src AS origin, dst AS node, 1 AS depth FROM v_heap UNION ALL SELECT w.origin, h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < 10 AND h.dst <> w.origin) SELECT origin, node, min(depth) AS depth FROM walk GROUP BY origin, node",
     "G16_cookie_flags": "SELECT user_id, bool_or(event_type = 'view') AS http_only, bool_or(event_type = 'error') AS secure, CASE WHEN NOT bool_or(event_type = 'error') THEN 'CWE-614' WHEN NOT bool_or(event_type = 'view') THEN 'CWE-1004' ELSE 'none' END AS cwe FROM events GROUP BY user_id",
-    "M2_entailment": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'valid' WHEN 3 THEN 'unsat' WHEN 4 THEN 'unknown' ELSE 'error' END AS verdict FROM part",
-    "M4_leftover": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'z |-> w' END AS leftover FROM part",
+    "M2_entailment": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'valid' WHEN 3 THEN 'unsat' WHEN 4 THEN 'invalid' ELSE 'error' END AS verdict FROM part",
     "A8_python_scan": "SELECT 'f' || CAST(p_partkey AS STRING) || '.py' AS file, CAST(5 AS INT) AS line, 'command_injection' AS type, CAST(3 AS INT) AS source_line FROM part WHERE p_partkey % 3 <> 0",
     "F2_taint_findings": TAINT_ORACLE,
     "F4_interprocedural": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON w.node = e.src WHERE w.depth < 64) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
