@@ -165,14 +165,7 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT p_partkey, CAST(coalesce(element_at(map_concat(map_filter(map(0, 10), (k, v) -> k <> p_size % 3), map(CAST(p_size % 3 AS INT), 7)), 0), -1) AS INT) AS selected FROM part",
         "SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 7 ELSE 10 END AS INT) AS selected FROM part",
     ),
-    "L12_constant_folding": "SELECT a.proc, a.var, a.constant + b.constant AS folded FROM (SELECT proc, var, max(val) AS constant FROM v_instr WHERE op = 'assign' GROUP BY proc, var HAVING count(*) = 1) a JOIN (SELECT proc, var, max(val) AS constant FROM v_instr WHERE op = 'alloc' GROUP BY proc, var HAVING count(*) = 1) b ON a.proc = b.proc AND a.var = b.var",
-    "L13_c_literals": (
-        "SELECT p_partkey, CAST(conv(CAST(p_size AS STRING), 16, 10) AS BIGINT) AS from_hex FROM part",
-        "SELECT p_partkey, CAST((p_size // 10) * 16 + p_size % 10 AS BIGINT) AS from_hex FROM part",
-    ),
     "L15_previews": "SELECT doc_id, substr(text, 1, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS preview FROM documents",
-    "L16_reads": "SELECT doc_id, line_no, regexp_extract(line, '([A-Za-z_]+)=', 1) AS target FROM v_line WHERE RX(line, '[A-Za-z_]+=')",
-    "L17_inline_sanitizers": "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN RX(line, '@[a-z0-9]+[.]') THEN 'mail' WHEN RX(line, '[(][0-9]+[)]') THEN 'paren' WHEN RX(line, '[0-9]{12,}') THEN 'digits' END AS kind FROM v_line) t WHERE kind IS NOT NULL GROUP BY kind",
     "L18_dates": "SELECT DAYTEXT(o_orderdate) AS day, count(*) AS n, ISUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS final FROM orders GROUP BY DAYTEXT(o_orderdate)",
     "L19_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
     # streams, in their batch form

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -25,27 +25,43 @@ def distinct_findings(found: DataFrame, time: str = "ts", late: str = "1 hour",
     return found.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def typestate(instructions: DataFrame) -> DataFrame:
-    """(proc, var, seq, cwe) of frees and uses after a free. State is the last lifetime operation of each (proc, var); rows of a batch go by seq."""
+class LastOperation(StatefulProcessor):
+    """State of a (proc, var): its last lifetime operation. Rows of a batch go by seq."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "op string")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else ""
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else ""
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         out = []
-        for seq, op in zip(rows.seq, rows.op, strict=True):
+        for seq, op in zip(batch.seq, batch.op, strict=True):
             if last == "free" and op in ("free", "use"):
                 out.append((*key, seq, "CWE-415" if op == "free" else "CWE-416"))
             if op in ("alloc", "free"):
                 last = op
-        state.update((last,))
+        self.last.update((last,))
         yield pd.DataFrame(out, columns=["proc", "var", "seq", "cwe"])
 
-    return instructions.groupBy("proc", "var").applyInPandasWithState(step, "proc long, var int, seq int, cwe string", "last string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def typestate(instructions: DataFrame) -> DataFrame:
+    """(proc, var, seq, cwe) of frees and uses after a free. The state store must be RocksDB, which holds states beyond memory."""
+    instructions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return instructions.groupBy("proc", "var").transformWithStateInPandas(LastOperation(), "proc long, var int, seq int, cwe string", "append", "none")
+
+
+def scan_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str, pattern: str = "*.*") -> StreamingQuery:
+    """Scans each source that arrives below path and appends its findings to out; a restart takes up at the checkpoint."""
+    from ..scan.engine import scan
 
+    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select(F.input_file_name().alias("filename"), F.col("value").alias("text"))
+    return files.writeStream.foreachBatch(lambda batch, _: scan(batch).filter("error IS NULL").write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def scan_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Scans each Python source that arrives below path and appends its findings to out; a restart takes up at the checkpoint."""
-    from ..sources.python_source import scan
 
-    files = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.py").load(path).select(F.input_file_name().alias("filename"), F.col("value").alias("text"))
-    return files.writeStream.foreachBatch(lambda batch, _: scan(batch).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """All that a stream has now, appended to a table."""
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
