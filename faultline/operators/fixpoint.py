@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds of the searches whose rounds grow with the logarithm of a diameter; beyond it something is wrong.
 MAX_ROUNDS = 64
 
 
@@ -39,22 +40,29 @@ def _drop(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, carried: list[str] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, *carried, depth): nodes reachable from the seeds (node, *carried) over edges (src, dst, and any carried column that edges restrict), with the least number of steps. Cycles end when a round adds nothing; running out of rounds is an error, never a silent cut."""
+def reachable(seeds: DataFrame, edges: DataFrame, carried: list[str] | None = None, max_rounds: int | None = None) -> DataFrame:
+    """(node, *carried, depth): nodes reachable from the seeds (node, *carried) over edges (src, dst, and any carried column that edges restrict), with the least number of steps. A round that adds nothing ends it, on cycles too; there is no bound unless one is given, and running out of it is an error, never a silent cut."""
     carried = carried or []
     key = ["node", *carried]
     shared = [c for c in carried if c in edges.columns]
     edges = _cut(edges.select("src", "dst", *shared).distinct())  # one shuffle; every round reads them again
     new = _cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-    known = new
-    for step in range(1, max_rounds + 1):
+    known, parts = new, [new]
+    step = 0
+    while max_rounds is None or step < max_rounds:
+        step += 1
         moved = new.withColumnRenamed("node", "src").join(edges, ["src", *shared]).select(F.col("dst").alias("node"), *carried).distinct()
         new = _cut(moved.join(known, key, "left_anti").withColumn("depth", F.lit(step)))
         if new.isEmpty():
+            _drop(edges)
             return known
         known = known.unionByName(new)
-        if step % 8 == 0:
+        parts.append(new)
+        if len(parts) == 8:
             known = _cut(known)
+            for p in parts[:-1]:
+                _drop(p)
+            parts = [known]
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 
@@ -75,13 +83,12 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 
-def must_hold(nodes: DataFrame, edges: DataFrame, entry: DataFrame, kills: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, fact) that hold on every path from the entry. The complement is iterated, as it only grows: a fact may fail at a node if it fails at a predecessor or is killed there. entry: (node, fact) that hold at the start; kills: (node, fact)."""
-    facts = entry.select("fact").distinct()
-    starts = entry.select("node").distinct()
-    at_start = starts.crossJoin(facts).join(entry, ["node", "fact"], "left_anti")
-    fails = reachable(at_start.unionByName(kills.select("node", "fact")), edges, ["fact"], max_rounds).select("node", "fact")
-    reached = reachable(starts, edges, max_rounds=max_rounds).select("node")
-    return nodes.select("node").join(reached, "node", "left_semi").crossJoin(facts).join(fails, ["node", "fact"], "left_anti")
-
-
+def must_hold(nodes: DataFrame, edges: DataFrame, entry: DataFrame, kills: DataFrame) -> DataFrame:
+    """(node, fact) that hold on every path from the entry. The complement is iterated, as it only grows: a fact may fail at a node if it fails at a predecessor or is killed there. entry: (node, fact) that hold at the start; kills: (node, fact). Each node's failing facts are set against the array of all facts, which is small: facts of one analysis, not of the data."""
+    facts = entry.groupBy().agg(F.array_sort(F.collect_set("fact")).alias("facts"))
+    starts = entry.groupBy("node").agg(F.collect_set("fact").alias("have"))
+    at_start = starts.join(F.broadcast(facts)).select("node", F.explode(F.array_except("facts", "have")).alias("fact"))
+    fails = reachable(at_start.unionByName(kills.select("node", "fact")), edges, ["fact"]).groupBy("node").agg(F.collect_set("fact").alias("failing"))
+    reached = reachable(starts.select("node"), edges).select("node")
+    held = nodes.select("node").join(reached, "node", "left_semi").join(fails, "node", "left").join(F.broadcast(facts))
+    return held.select("node", F.explode(F.array_except("facts", F.coalesce("failing", F.expr("slice(facts, 1, 0)")))).alias("fact"))
