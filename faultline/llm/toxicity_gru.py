@@ -6,8 +6,8 @@ score is that of its highest window; all windows of the whole text count. A run
 space, say) enters as consecutive overlapping pieces.
 
 Training takes at most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents (the first by a hash of doc_id), none of the
-held-out third. Embeddings start from shrunk log-odds of words and character groups in them. In training a document is its
-TRAIN_WINDOWS highest windows by those odds; the maximum of their logits carries the loss.
+held-out third. Embeddings start from shrunk log-odds of words and character groups in them. In training, too, a document is all
+of its windows: each step scores them, and the highest carries the loss.
 
 Nulls: rows with a null label or doc_id teach nothing; a text without words, null included, scores 0. Without both classes to
 learn from, every score is 0. Repeated rows are scored alike. An empty table gives no rows.
@@ -29,7 +29,8 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, DIM = 8, 6
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 MAX_TOXIC, MAX_CLEAN = 1500, 6000
-TRAIN_WINDOWS = 4
+#: Windows that training scores at once.
+AT_ONCE = 4096
 #: So often the loss on a set-aside part of the training documents is taken; the parameters with the least are kept.
 CHECK_STEPS = 32
 #: Steps of embeddings against those of the layers: small, or single documents are learnt by heart.
@@ -227,11 +228,10 @@ class ToxicityModel:
         vocab: dict[str, int] = {}
         for i, t in enumerate(texts):
             if words := words_of(t):
-                own = sorted(set(words))
-                hint = dict(zip(own, net.inputs(word_features(own))[:, [0, DIM]].sum(1).tolist(), strict=True))
-                best = sorted(window_starts(len(words)).tolist(), key=lambda b: -max(hint[w] for w in words[b : b + WINDOW]))[:TRAIN_WINDOWS]
-                windows += [np.array([vocab.setdefault(w, len(vocab)) for w in words[b : b + WINDOW]]) for b in best]
-                owner += [i] * len(best)
+                ids = np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int32)
+                own = [ids[b : b + WINDOW] for b in window_starts(len(words)).tolist()]
+                windows += own
+                owner += [i] * len(own)
         if not windows:
             return None
         word, grams, starts = word_features(list(vocab))
@@ -243,10 +243,9 @@ class ToxicityModel:
         check, have = have[held[have]], have[~held[have]]
         weight = np.where(y > 0, 1, clean_weight).astype(np.float32)
 
-        def laid(own: np.ndarray) -> tuple:
-            """Inputs of the windows of some documents: words used, their features and rows, places, mask, first window of each."""
-            rows = [windows[j] for i in own for j in range(first[i], first[i + 1])]
-            cuts = np.cumsum([0, *(first[own + 1] - first[own])])[:-1]
+        def laid(chosen: list[int]) -> tuple:
+            """Inputs of some windows: words used, their features and rows, places, mask, gates."""
+            rows = [windows[j] for j in chosen]
             used, flat = np.unique(np.concatenate(rows), return_inverse=True)
             mask = (np.arange(WINDOW)[:, None] < np.array([len(r) for r in rows])).astype(np.float32)
             index = np.zeros((len(rows), WINDOW), np.int64)
@@ -255,14 +254,35 @@ class ToxicityModel:
             feats = word[used], np.concatenate([grams[bounds[i] : bounds[i + 1]] for i in used]), np.cumsum(sizes) - sizes
             table_x = net.inputs(feats)
             x = table_x[index.T]
-            return feats, sizes, table_x, index.T, mask, cuts, x, np.concatenate([x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"]], 2)
+            return feats, sizes, table_x, index.T, mask, x
+
+        def gates_of(x: np.ndarray) -> np.ndarray:
+            return np.concatenate([x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"]], 2)
+
+        def highest(own: np.ndarray) -> tuple[list[int], np.ndarray]:
+            """The highest of all windows of some documents, and its logit."""
+            every = [j for i in own for j in range(first[i], first[i + 1])]
+            used, flat = np.unique(np.concatenate([windows[j] for j in every]), return_inverse=True)
+            sizes = bounds[used + 1] - bounds[used]
+            table = net.projected(net.inputs((word[used], np.concatenate([grams[bounds[i] : bounds[i + 1]] for i in used]), np.cumsum(sizes) - sizes)))
+            lengths = np.array([len(windows[j]) for j in every])
+            starts = np.cumsum(lengths) - lengths
+            logits = []
+            for at in range(0, len(every), AT_ONCE):
+                n = lengths[at : at + AT_ONCE]
+                mask = (np.arange(WINDOW)[:, None] < n).astype(np.float32)
+                where = np.minimum(starts[at : at + AT_ONCE] + np.arange(WINDOW)[:, None], len(flat) - 1)
+                logits.append(net.forward(table[flat[where]], mask))
+            logit = np.concatenate(logits)
+            cuts = np.cumsum([0, *(first[own + 1] - first[own])])[:-1]
+            high = [int(c + np.argmax(logit[c:e])) for c, e in zip(cuts, [*cuts[1:], len(logit)], strict=True)]
+            return [every[h] for h in high], logit[high]
 
         def loss(own: np.ndarray) -> float:
             total = 0.0
             for at in range(0, len(own), batch):
                 part = own[at : at + batch]
-                *_, mask, cuts, _, gates = laid(part)
-                top = np.maximum.reduceat(net.forward(gates, mask), cuts)
+                top = highest(part)[1]
                 total += float((weight[part] * np.logaddexp(0, np.where(y[part] > 0, -top, top))).sum())
             return total / weight[own].sum()
 
@@ -274,13 +294,10 @@ class ToxicityModel:
             for at in range(0, len(have), batch):
                 rate = 0.02 * 0.1 ** min(1, step / steps)
                 own = have[at : at + batch]
-                feats, sizes, table_x, index, mask, cuts, x, gates = laid(own)
+                feats, sizes, table_x, index, mask, x = laid(highest(own)[0])
                 keep: dict = {}
-                logit = net.forward(gates, mask, keep)
-                top = np.maximum.reduceat(logit, cuts)
-                high = np.array([c + int(np.argmax(logit[c:e])) for c, e in zip(cuts, [*cuts[1:], len(logit)], strict=True)])
-                dlogit = np.zeros(len(logit), np.float32)
-                dlogit[high] = weight[own] * (sigmoid(top) - y[own]) / weight[own].sum()
+                top = net.forward(gates_of(x), mask, keep)
+                dlogit = (weight[own] * (sigmoid(top) - y[own]) / weight[own].sum()).astype(np.float32)
                 grads, dx = net.backward(keep, mask, x, dlogit)
                 step += 1
                 for name, grad in grads.items():
