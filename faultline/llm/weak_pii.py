@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,6 @@ LOOSE = re.compile(
     r"""|(?P<hex>(?<!\w)[0-9a-f]{18,}(?!\w))""",
     re.I,
 )
-TRIGGER = re.compile("[0-9]|\\bat\\b|[=:]")
 PHONE_WORDS = re.compile(r"\b(?:tel|phone|call|mobile|fax|cell|whatsapp|telefon|teléfono|téléphone)\b", re.I)
 ID_WORDS = re.compile(r"\b(?:ssn|social|iban|passport|account|konto|cuenta|compte|card|id)\b", re.I)
 SECRET_WORDS = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|credential|bearer)\b", re.I)
@@ -99,11 +99,10 @@ PATTERNS = 3 ** len(LABELERS) * 2**FEATURES
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, tuple[int, ...], int]]:
     """(start, end, kind, votes of -1, 0, 1, feature bits). Kinds of base spans keep their names."""
     found = list(base)
-    if TRIGGER.search(text):
-        for m in LOOSE.finditer(text):
-            kind = m.lastgroup if m["value"] is None else "secret"
-            s, e = m.span("value") if kind == "secret" else m.span()
-            found.append((s, e, {"spelled": "spelled_email", "hex": "secret", "number": "number"}.get(kind, kind)))
+    for m in LOOSE.finditer(text):
+        kind = m.lastgroup if m["value"] is None else "secret"
+        s, e = m.span("value") if kind == "secret" else m.span()
+        found.append((s, e, {"spelled": "spelled_email", "hex": "secret", "number": "number"}.get(kind, kind)))
     out = []
     for s, e, kind in found:
         body, before, after = text[s:e], text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
@@ -181,11 +180,16 @@ def _chosen(decide: np.ndarray):
             rows = []
             for base, extra in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = [(b["start"], b["stop"], b["kind"]) for b in base]
-                taken = sorted(spans)
+                starts, furthest = [], []  # of base spans by start: the furthest end so far
+                for s, e, _ in sorted(spans):
+                    starts.append(s)
+                    furthest.append(max(e, furthest[-1] if furthest else e))
+                end = 0
                 for x in sorted(extra, key=lambda x: (x["start"], -x["stop"])):
-                    if x["kind"] not in KINDS and decide[x["features"]] and all(x["stop"] <= s or e <= x["start"] for s, e, _ in taken):
+                    before = bisect_left(starts, x["stop"])
+                    if x["kind"] not in KINDS and decide[x["features"]] and x["start"] >= end and (not before or furthest[before - 1] <= x["start"]):
                         spans.append((x["start"], x["stop"], x["kind"]))
-                        taken.append(spans[-1])
+                        end = x["stop"]
                 rank = {k: i for i, k in enumerate((*KINDS, "phone_like", "secret", "spelled_email", "number"))}
                 rows.append([{"start": s, "stop": e, "kind": k} for s, e, k in sorted(spans, key=lambda x: (x[0], rank[x[2]]))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(SPAN))], names=["row", "base", "spans"])

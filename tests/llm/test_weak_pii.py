@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -89,3 +90,46 @@ def test_long_secrets_are_proposed_whole():
         assert (start, start + len(secret), "secret") in [c[:3] for c in P.candidates(text, [])]
     for text in ("a" * 300_000, "a" * 300_000 + "z", "token=" + "a" * 300_000, "token=" * 50_000):
         P.candidates(text, [])
+
+
+def test_spelled_addresses_need_no_digit_near():
+    for text in ("john AT example DOT com", "write to john (at) example (dot) com now", "JOHN at EXAMPLE dot ORG"):
+        assert [c[2] for c in P.candidates(text, [])] == ["spelled_email"], text
+    assert [c[2] for c in P.candidates("x abcdefabcdefabcdefab y", [])] == ["secret"]
+
+
+def test_added_spans_are_right_and_most_are_found(spark):
+    """Planted secrets, spelled addresses and telephone numbers among numbers that mean something else."""
+    r = random.Random(12)
+    rows, wanted = [], {}
+    for i in range(1200):
+        kind = i % 6
+        value = {0: "".join(r.choices("abcdef0123456789", k=32)), 1: f"anna{i} at mail{i} dot org", 2: f"{r.randint(200, 999)} {r.randint(200, 999)} {r.randint(1000, 9999)}"}.get(kind)
+        if kind == 0:
+            before, after = r.choice(["api_key = ", "password: ", "token="]), " kept"
+        elif kind == 1:
+            before, after = "write to ", " soon"
+        elif kind == 2:
+            before, after = r.choice(["call ", "phone: ", "tel "]), " today"
+        else:
+            before, after = {3: ("chapter ", f"{r.randint(1, 20)}.{r.randint(1, 9)} of the book"), 4: ("in the year ", f"{r.randint(1900, 2020)}-{r.randint(10, 12)}"), 5: ("version ", f"{r.randint(1, 9)}.{r.randint(10, 40)}.{r.randint(10, 99)}")}[kind]
+        text = f"line {i % 7}: {before}{value or ''}{after}"
+        if value:
+            start = text.index(value)
+            wanted[i] = (start, start + len(value))
+        rows.append((i, text))
+    got = {x.row if "row" in x else x.doc_id: [(s["start"], s["stop"]) for s in x.spans if s["kind"] not in P.KINDS] for x in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(any(s < e2 and s2 < e for s, e in got[i]) for i, (s2, e2) in wanted.items())
+    wrong = sum(len(v) for i, v in got.items() if i not in wanted)
+    assert hits >= 0.9 * len(wanted)
+    assert hits >= 0.9 * (hits + wrong)
+
+
+def test_choice_is_linear_and_spans_do_not_touch():
+    decide = np.ones(1 << P.FEATURES, bool)
+    text = "token=abcdefgh1 " * 20_000 + "a@b.co"
+    base = P.base_spans(text)
+    extra = [{"start": s, "stop": e, "kind": k, "votes": 0, "features": f} for s, e, k, _, f in P.candidates(text, base)]
+    batch = pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([[{"start": s, "stop": e, "kind": k} for s, e, k in base]], pa.list_(P.SPAN)), pa.array([extra], pa.list_(P.EXTRA))], names=["row", "base", "extra"])
+    spans = next(P._chosen(decide)(iter([batch]))).column(2).to_pylist()[0]
+    assert len(spans) == 20_001 and all(a["stop"] <= b["start"] for a, b in zip(spans, spans[1:], strict=False))
