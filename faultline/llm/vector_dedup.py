@@ -1,8 +1,9 @@
 """Operator 6. Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors link when their labels are equal and their cosine, in double precision, reaches the threshold. Equal vectors are one
-point with a weight. The points of a label go to the cells of their OVERLAP nearest centers (k-means on a bounded sample); a
-cell beyond CELL points is dealt into slices by a hash. In each slice a flat graph is built: nearest candidates, pruned so that
+point with a weight. The points of a label go to the cells of their OVERLAP nearest centers (k-means on a sample of about
+SAMPLE vectors, of 64 a label at least; a label of at most CELL points is one cell); a cell beyond CELL points is dealt into
+slices by a hash. In each slice a flat graph is built: nearest candidates, pruned so that
 an edge goes where no kept neighbour is ALPHA times closer. The adjacency lists of a point from all its slices are united.
 Each point is a query in every cell that can be the nearest one of a vector within the threshold: nearer the border to its own
 cell than such a vector can be away. A link counts where the other end is in its nearest cell, so each end counts it once.
@@ -24,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import table, written
 from .components import connected_components
@@ -215,11 +215,11 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", v
     points = v.filter("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("weight")).withColumn("dim", F.size("vector"))
     points = written(points, "points")
 
-    sizes = points.groupBy("label", "dim").count()
-    share = sizes.agg(F.count("*"), F.sum("count")).first()
-    per_group = max(64, SAMPLE // max(1, share[0]))
-    place = Window.partitionBy("label", "dim").orderBy(F.xxhash64("node"))
-    drawn = points.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= per_group).join(sizes, ["label", "dim"]).select("label", "dim", "count", "vector").limit(2 * SAMPLE).collect()
+    #: Only labels of more than one cell need centers; each of them gets its share of the sample, by a hash and not by a sort.
+    sizes = points.groupBy("label", "dim").count().filter(F.col("count") > CELL)
+    n_large = sizes.count()
+    part = F.greatest(F.lit(64.0), F.lit(SAMPLE / max(1, n_large))) / F.col("count") * 2**32
+    drawn = points.join(sizes, ["label", "dim"]).filter(F.pmod(F.xxhash64("node"), F.lit(2**32)) < part).select("label", "dim", "count", "vector").collect() if n_large else []
     groups: dict = {}
     for r in drawn:
         groups.setdefault((r["label"], r["dim"]), (r["count"], []))[1].append(r["vector"])
