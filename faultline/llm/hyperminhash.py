@@ -299,5 +299,17 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+#: Brute force by counts of shared shingles; components by reachability. A word ends at white space; A to Z alone are lowered.
+ORACLE = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+  s AS (SELECT DISTINCT i, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS g FROM d),
+  n AS (SELECT i, count(*) AS size FROM s GROUP BY i),
+  alike AS (SELECT a.i, b.i AS j, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.i < b.i GROUP BY a.i, b.i),
+  one AS (SELECT alike.i, alike.j FROM alike JOIN n x ON alike.i = x.i JOIN n y ON alike.j = y.i WHERE 100 * shared >= 80 * (x.size + y.size - shared)),
+  links AS (SELECT i, j FROM one UNION ALL SELECT j, i FROM one),
+  reach AS (SELECT i, i AS j FROM d UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+  least AS (SELECT r.i, min(d.doc_id) AS component_id FROM reach r JOIN d ON r.j = d.i GROUP BY r.i)
+  SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, least.component_id, d.doc_id IS NOT NULL AND d.doc_id = least.component_id AS kept FROM d JOIN least ON d.i = least.i LEFT JOIN n ON d.i = n.i"""
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)

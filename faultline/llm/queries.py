@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import chat_windows
+from . import chat_windows, hyperminhash, pipeline, run_length_dedup, vector_dedup
 from .chat_windows import op2_chat_windows
 from .hyperminhash import op8_hyperminhash
 from .pair_index_bpe import op3_pair_index_bpe
@@ -29,10 +27,10 @@ def queries() -> dict:
         "op8_hyperminhash": op8_hyperminhash,
         "op9_toxicity_gru": op9_toxicity_gru,
         "op10_weak_pii": op10_weak_pii,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op2_chat_windows": chat_windows.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op2_chat_windows": chat_windows.ORACLE, "op4_run_length_dedup": run_length_dedup.ORACLE, "op6_vector_dedup": vector_dedup.ORACLE, "op8_hyperminhash": hyperminhash.ORACLE, "pipeline": pipeline.ORACLE_SQL}
     return {k: v for k, v in known.items() if v}

@@ -438,5 +438,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _removed(docs, length, False)
 
 
+#: Brute force over all strings of 200 bytes, two hexadecimal digits a byte.
+ORACLE = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  starts AS MATERIALIZED (SELECT i, p, md5_number(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT i, h, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS p FROM d) x),
+  again AS (SELECT i, p FROM starts WHERE g IN (SELECT g FROM starts GROUP BY g HAVING count(*) > 1)),
+  marks AS (SELECT i, p, CASE WHEN p - lag(p) OVER w <= 200 THEN 0 ELSE 1 END AS fresh FROM again WINDOW w AS (PARTITION BY i ORDER BY p)),
+  runs AS (SELECT i, min(p) AS a, max(p) + 200 AS b FROM (SELECT i, p, sum(fresh) OVER (PARTITION BY i ORDER BY p ROWS UNBOUNDED PRECEDING) AS r FROM marks) y GROUP BY i, r),
+  cuts AS (SELECT i, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY i)
+  SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(range(0, n_spans + 1), lambda k: substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * ends[k] + 1 END, CASE WHEN k = n_spans THEN length(h) ELSE 2 * starts[k + 1] - CASE WHEN k = 0 THEN 0 ELSE 2 * ends[k] END END)), '')) END) AS kept_sha256
+  FROM d LEFT JOIN cuts ON d.i = cuts.i"""
+
+
 def op4_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _removed(table(spark, sf_dir, "documents"), LENGTH, True)

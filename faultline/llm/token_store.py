@@ -85,6 +85,23 @@ class EliasFano:
         at = _select_word(self.high, int(self.samples[i // SELECT_EVERY]), i % SELECT_EVERY)
         return (at - i) << self.low_bits | self._low(i)
 
+    def select_range(self, start: int, stop: int) -> np.ndarray:
+        """Entries start to stop, from the stretches between the samples around them; nothing before is read."""
+        parts = [np.zeros(0, np.int64)]
+        for b in range(start // SELECT_EVERY, -(-stop // SELECT_EVERY)) if stop > start else ():
+            first = int(self.samples[b])
+            last = int(self.samples[b + 1]) if b + 1 < len(self.samples) else 8 * len(self.high)
+            at = np.flatnonzero(np.unpackbits(self.high[first >> 3 : (last + 7) >> 3], bitorder="little")) + (first >> 3 << 3)
+            at = at[(at >= first) & (at < last)][: self.n - b * SELECT_EVERY]
+            i = np.arange(b * SELECT_EVERY, b * SELECT_EVERY + len(at))
+            low = np.zeros(len(at), np.int64)
+            if self.low_bits:
+                bit = i[:, None] * self.low_bits + np.arange(self.low_bits)
+                low = (self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            value = (at - i).astype(np.int64) << self.low_bits | low
+            parts.append(value[max(0, start - i[0]) : stop - i[0]])
+        return np.concatenate(parts)
+
     def all(self) -> np.ndarray:
         high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
         low = np.zeros(self.n, np.int64)
@@ -238,7 +255,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             ids = np.frombuffer(row["ids"], "<u2" if row["id_bytes"] == 2 else "<u4").astype("<u4")
-            ends = EliasFano(row["bounds"]).all()
+            bounds = EliasFano(row["bounds"])
+            ends = bounds.select_range(0, bounds.n)
             starts = np.concatenate([[0], ends[:-1]])
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["start"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

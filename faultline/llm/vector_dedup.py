@@ -261,5 +261,14 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", v
     return out.join(least, "group", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("group").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+#: Brute force over all pairs of a label; components by reachability.
+ORACLE = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+  sound AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+  links AS (SELECT a.i, b.i AS j, b.vec_id FROM sound a JOIN sound b ON a.label = b.label AND len(a.x) = len(b.x) AND a.i <> b.i WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+  reach AS (SELECT i, i AS j, vec_id FROM v UNION SELECT r.i, l.j, l.vec_id FROM reach r JOIN links l ON r.j = l.i),
+  least AS (SELECT i, min(vec_id) AS component_id FROM reach GROUP BY i)
+  SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.i = v.i) AS n_links, least.component_id, v.vec_id IS NOT NULL AND v.vec_id = least.component_id AS kept FROM v JOIN least ON v.i = least.i"""
+
+
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"))

@@ -53,3 +53,15 @@ def test_store_over_small_tables(spark, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == want
     S.write_token_store(docs.limit(0), str(tmp_path / "e"), PATH)
     assert S.digests(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 1000])
+def test_ranges_are_read_from_the_samples(n):
+    g = np.random.default_rng(n)
+    for top in (0, 3, 10**9):
+        values = np.sort(g.integers(0, top + 1, n))
+        ef = S.EliasFano(S.EliasFano.encode(values))
+        assert ef.select_range(0, n).tolist() == values.tolist() == [ef.select(i) for i in range(n)]
+        for _ in range(10):
+            a, b = sorted(g.integers(0, n + 1, 2).tolist())
+            assert ef.select_range(a, b).tolist() == values[a:b].tolist()
