@@ -1,47 +1,5 @@
-"""A corpus pipeline: each stage works on all that the one before it kept.
+"""The corpus pipeline of faultline.llm.pipeline, at the place where the driver looks for it."""
 
-toxicity drops the documents that score at least 0.7; dedup keeps one document of each near-duplicate group (five-word
-shingles, similarity 0.8); decontaminate drops documents with a benchmark passage (similarity 0.8); pii masks personal data;
-encode returns token ids. Null and empty texts pass every stage as they are; encode gives them no ids.
-"""
+from faultline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from faultline.llm import hyperminhash, pair_index_bpe, simhash_decontam, toxicity_gru, weak_pii
-from faultline.llm.common import table, written
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity_gru.without_toxic(docs, toxicity_gru.trained(docs, table(spark, sf_dir, "labels")))
-
-
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hyperminhash.one_of_each(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return weak_pii.masked(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and decoded text."""
-    return pair_index_bpe.encoded_with_digests(docs, pair_index_bpe.default_path())
-
-
-STAGES = [("toxicity", toxicity), ("dedup", dedup), ("decontaminate", decontaminate), ("pii", pii), ("encode", encode)]
-
-#: Trained models, sketches and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
