@@ -41,3 +41,17 @@ def findings(facts: DataFrame, rows: DataFrame, language: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in SINK_TYPES.items() for x in pair])
     sinks = named.filter("op = 'call' AND role = 'sink'").withColumn("r", F.explode("reads")).select("file", "proc", "line", F.coalesce(kinds[F.col("kind")], F.lit("taint_flow")).alias("type"), node("r").alias("node"))
     return sinks.join(tainted, "node").groupBy("file", "proc", "line", "type").agg(F.min("source_line").alias("source_line"))
+
+
+def argument_sinks(facts: DataFrame, rows: DataFrame, language: str) -> DataFrame:
+    """file, callee, place, line: calls of functions of the same file whose argument of a place is a tainted variable, where the
+    callee's parameter of that place is handed to a sink. Joins on (file, procedure, variable) and on (file, callee, place)."""
+    rows = rows.filter(F.col("language") == language)
+    facts = facts.filter("error IS NULL")
+    named = _cut(looked_up(facts.filter("callee IS NOT NULL").select("file", "proc", "seq", "op", "line", "callee", "target", "reads"), rows, ["file", "proc", "seq", "op"]).drop("args"))
+    sinks = named.filter("op = 'call' AND role = 'sink'").select("file", "proc", F.explode("reads").alias("name"))
+    params = facts.select("file", "proc", F.posexplode("params").alias("place", "name")).distinct()
+    exposed = params.join(sinks, ["file", "proc", "name"], "left_semi").select("file", F.col("proc").alias("callee"), "place")
+    tainted = named.filter("op = 'assign' AND role = 'source'").select("file", "proc", F.col("target").alias("name")).distinct()
+    given = facts.filter("op = 'call'").select("file", "proc", "callee", "line", F.posexplode("args").alias("place", "name"))
+    return given.join(tainted, ["file", "proc", "name"], "left_semi").join(exposed, ["file", "callee", "place"]).select("file", "callee", "place", "line").distinct()

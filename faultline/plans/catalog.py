@@ -85,8 +85,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "C8_tool_agreement": """SELECT cwe, count_if(a AND b) AS both_tools, count_if(a AND NOT b) AS only_left, count_if(b AND NOT a) AS only_right FROM (SELECT coalesce(x.cwe, y.cwe) AS cwe, x.location IS NOT NULL AS a, y.location IS NOT NULL AS b FROM
       (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha' AND cwe IS NOT NULL AND conf >= 80) x FULL OUTER JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'beta' AND cwe IS NOT NULL AND conf >= 80) y ON x.location = y.location AND x.cwe = y.cwe) t GROUP BY cwe""",
     "C9_paired_twins": "SELECT proc, bool_or(repo = 'repo0') AS on_vulnerable, bool_or(repo = 'repo1') AS on_fixed, bool_or(repo = 'repo0') AND NOT bool_or(repo = 'repo1') AS right_verdict FROM v_finding WHERE type = 'xss' GROUP BY proc",
-    "C10_argument_sink": "SELECT DISTINCT c.caller, c.callee FROM v_call c JOIN (SELECT DISTINCT 'p' || CAST(p_partkey % 300 AS STRING) AS callee FROM part WHERE p_size = 3) s ON c.callee = s.callee",
-    "C11_callee_summary": "SELECT c.caller, count(*) AS frees FROM v_call c JOIN (SELECT DISTINCT 'p' || CAST(l_partkey % 300 AS STRING) AS callee FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) s ON c.callee = s.callee GROUP BY c.caller",
     "C13_additive_merge": "SELECT location, cwe, 'own' AS origin FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha' AND cwe IS NOT NULL) a UNION ALL SELECT g.location, g.cwe, 'added' FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'gamma' AND cwe IS NOT NULL) g LEFT ANTI JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha') a ON g.location = a.location AND g.cwe = a.cwe",
     "C14_heap_edges": "SELECT a.src, b.dst FROM v_heap a JOIN v_heap b ON a.dst = b.src",
     "C16_as_of": "SELECT event_id, user_id, CAST(LASTOF(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS last_signup FROM events",
@@ -116,7 +114,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "E6_chained_clusters": "SELECT location, cwe, cluster, min(line) AS first_line, max(line) AS last_line, count(*) AS n FROM (SELECT location, cwe, line, CAST(sum(fresh) OVER (PARTITION BY location, cwe ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM (SELECT location, cwe, line, CASE WHEN line - lag(line) OVER (PARTITION BY location, cwe ORDER BY line) <= 3 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT location, cwe, line FROM v_finding WHERE cwe IS NOT NULL) d) e) g GROUP BY location, cwe, cluster",
     "E7_typestate": "SELECT proc, seq, var, CASE WHEN op = 'free' THEN 'CWE-415' ELSE 'CWE-416' END AS cwe FROM (SELECT proc, seq, var, op, LASTOF(CASE WHEN op IN ('alloc', 'free') THEN op END) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v_instr) t WHERE before = 'free' AND op IN ('free', 'use')",
     "E8_guard_invalidation": "SELECT proc, seq, var FROM (SELECT proc, seq, var, op, max(CASE WHEN op = 'assign' THEN seq END) OVER w AS written, max(CASE WHEN op = 'use' THEN seq END) OVER w AS guarded FROM v_instr WINDOW w AS (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) t WHERE op = 'sink' AND guarded IS NOT NULL AND (written IS NULL OR written < guarded)",
-    "E9_context_snippet": "SELECT doc_id, line_no, coalesce(lag(line) OVER w, '') || ' >> ' || line || ' << ' || coalesce(lead(line) OVER w, '') AS snippet FROM v_line WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)",
+    "E9_context_snippet": "SELECT doc_id, line_no, AROUNDROWS(CAST(line_no AS STRING) || ': ' || substr(line, 1, 80), PARTITION BY doc_id ORDER BY line_no) AS snippet, '> ' || line AS marked FROM v_line WHERE line <> ''",
     "E10_line_budget": "SELECT doc_id, line_no FROM (SELECT doc_id, line_no, CAST(sum(length(line) + 8) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM v_line) t WHERE used <= 1200",
     "E11_stability_histogram": "SELECT detected, count(*) AS procs FROM (SELECT proc, count(DISTINCT repo) AS detected FROM v_finding WHERE severity = 'critical' AND witness GROUP BY proc) t GROUP BY detected",
     "E12_ranks": "SELECT p_partkey, CAST(ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS INT) AS quartile, cume_dist() OVER (PARTITION BY p_brand ORDER BY p_size) AS share, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INT) AS size_rank, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next_part FROM part",

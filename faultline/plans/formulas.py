@@ -219,6 +219,29 @@ _register(
     """'a' || CASE p_size % 4 WHEN 0 THEN '"' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END || CAST(p_partkey AS STRING)""",
 )
 
+_register(
+    "M1_parse",
+    f"""concat('a', {M}, ' |-> (b, nil) * ls(c, d) & e != ', p_size, CASE p_partkey % 3 WHEN 0 THEN ' | emp' WHEN 1 THEN ' | ' ELSE ' | exists q. q |-> a' END)""",
+    kernels.tree,
+    "tree",
+    f"""CASE WHEN p_partkey % 3 = 1 THEN NULL ELSE '(or (and (star (cell a' || CAST({M} AS STRING) || ' b nil) (pred ls c d)) (!= e ' || CAST(p_size AS STRING) || ')) ' || CASE p_partkey % 3 WHEN 0 THEN 'emp)' ELSE '(exists (''q'',) (cell q a)))' END END""",
+)
+_register(
+    "F12_unfolding",
+    """concat(CASE p_partkey % 4 WHEN 0 THEN 'ls(x, nil)' WHEN 1 THEN 'tree(x)' WHEN 2 THEN 'ls(x, nil) & x != nil' ELSE 'tree(x) * list(y)' END, ';', p_size % 8)""",
+    kernels.unfolded,
+    "heaps",
+    """CAST(CASE p_partkey % 4 WHEN 0 THEN least(6, p_size % 8) + 1 WHEN 1 THEN list_extract([1, 2, 4, 9, 23, 65, 197], least(6, p_size % 8) + 1) WHEN 2 THEN least(6, p_size % 8)
+      ELSE list_sum(list_transform(range(least(6, p_size % 8) + 1), lambda i: list_extract([1, 1, 2, 5, 14, 42, 132], i + 1) * (least(6, p_size % 8) + 1 - i))) END AS STRING)""",
+)
+_register(
+    "M17_model_search",
+    f"""concat({_chain('xI |-> xJ', K)}, ' |- ls(x0, x', {M}, ')')""",
+    kernels.model,
+    "found",
+    f"CASE WHEN {M} <= {K} THEN 'none' ELSE 'model' END",
+)
+
 _LSEG = "(define-fun-rec lseg ((i R) (o R)) Bool (or (and (= i o) (_ emp R R)) (exists ((u R)) (and (distinct i o) (sep (pto i u) (lseg u o))))))"
 _register(
     "M18_slcomp_cases",

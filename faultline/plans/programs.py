@@ -247,6 +247,35 @@ def graph_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["F6_flow_graphs"] = graph_depths
 ORACLES["F6_flow_graphs"] = f"SELECT filename, CAST(3 + k + CASE shape WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 4 END AS BIGINT) AS n_edges, CAST(CASE WHEN shape IN (1, 3) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM ({CHAIN}) c"
 
+#: A function whose parameter of one place reaches a sink, called with the tainted value in another or the same place.
+ARGUMENTS = "SELECT p_partkey, CAST(p_size % 3 AS INT) AS used, CAST(p_partkey % 3 AS INT) AS given, 'src/p' || CAST(p_partkey AS STRING) || '.py' AS filename FROM part"
+
+
+def argument_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that hand a tainted variable to a parameter that the callee hands to a sink, by joins on callee and place."""
+    text = f"""SELECT filename, concat('def f(a, b, c):\\n    eval(', element_at(array('a', 'b', 'c'), used + 1), ')\\ndef g():\\n    x = input()\\n    f(', array_join(transform(sequence(0, 2), i -> if(i = given, 'x', '0')), ', '), ')\\n') AS text FROM ({ARGUMENTS}) q"""
+    rows = views.kept(spark, sf_dir, "argument_facts", lambda: engine.facts(views.run(spark, sf_dir, text)))
+    return relational_taint.argument_sinks(rows, specs.table(spark), "python").select(F.col("file").alias("filename"), "callee", "place", "line")
+
+
+QUERIES["C10_argument_sinks"] = argument_sinks
+ORACLES["C10_argument_sinks"] = f"SELECT filename, 'f' AS callee, given AS place, CAST(5 AS INT) AS line FROM ({ARGUMENTS}) q WHERE used = given"
+
+#: Wrappers around free, each calling the next; what the outermost is called with is freed.
+WRAPPERS = "SELECT p_partkey, CAST(p_size % 4 AS INT) AS k, CAST(p_partkey % 2 AS INT) AS place, 'src/w' || CAST(p_partkey AS STRING) || '.c' AS filename FROM part"
+
+
+def callee_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters that a function frees, through any number of functions of its file."""
+    text = f"""SELECT filename, concat('void w0(char *p, char *q) {{ free(', if(place = 0, 'p', 'q'), '); }}\\n', array_join(transform(sequence(1, 3), i -> if(i <= k, concat('void w', i, '(char *p, char *q) {{ w', i - 1, '(p, q); }}\\n'), '')), ''), 'void other(char *p) {{ puts(p); }}\\n') AS text FROM ({WRAPPERS}) q""".replace("{{", "{").replace("}}", "}")
+    return engine.summaries(views.run(spark, sf_dir, text)).select(F.col("file").alias("filename"), "proc", "frees")
+
+
+QUERIES["C11_callee_summaries"] = callee_summaries
+ORACLES["C11_callee_summaries"] = f"SELECT filename, 'w' || CAST(i AS STRING) AS proc, place AS frees FROM ({WRAPPERS}) q JOIN (VALUES (0), (1), (2), (3)) AS n(i) ON i <= k"
+QUERIES["F15_function_summaries"] = lambda spark, sf_dir: callee_summaries(spark, sf_dir).groupBy("proc", "frees").agg(F.count("*").alias("n"))
+ORACLES["F15_function_summaries"] = f"SELECT proc, frees, count(*) AS n FROM ({ORACLES['C11_callee_summaries']}) t GROUP BY proc, frees"
+
 #: A C line for each part, by its number, and the weakness that the line rules give it.
 C_LINES = (
     ("char *t = strtok(s, x);", 676),

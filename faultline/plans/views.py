@@ -55,6 +55,7 @@ MACROS = {
     "DAYTEXT": ("CAST(CAST({0} AS DATE) AS STRING)", "CAST(CAST({0} AS DATE) AS STRING)"),
     "SECONDS": ("CAST(unix_timestamp(CAST({0} AS TIMESTAMP)) AS BIGINT)", "CAST(floor(epoch({0})) AS BIGINT)"),
     "LASTOF": ("last({0}, true)", "last_value({0} IGNORE NULLS)"),
+    "AROUNDROWS": ("concat_ws(' / ', collect_list({0}) OVER ({1} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))", "array_to_string(list({0}) OVER ({1} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' / ')"),
     "BITAND": ("({0} & {1})", "({0} & {1})"),
     "SHL": ("shiftleft({0}, {1})", "({0} << {1})"),
     "SHR": ("shiftright({0}, {1})", "({0} >> {1})"),
