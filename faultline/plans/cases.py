@@ -442,9 +442,9 @@ public class DQQ {
 ---
 public class EQQ {
   void go() {
-    Cipher a = Cipher.getInstance("DES/CBC/PKCS5Padding"); //! weak_cryptography
+    Cipher a = Cipher.getInstance("DES/CBC/PKCS5Padding"); //! weak_crypto
     Cipher b = Cipher.getInstance("AES/GCM/NoPadding");
-    Cipher c = Cipher.getInstance("AES/ECB/PKCS5Padding"); //! weak_cryptography
+    Cipher c = Cipher.getInstance("AES/ECB/PKCS5Padding"); //! weak_crypto
     MessageDigest d = MessageDigest.getInstance("MD5"); //! weak_hash
     MessageDigest e = MessageDigest.getInstance("SHA-512");
   }
@@ -580,7 +580,7 @@ public class HashQQ {
   void Go() {
     var a = MD5.Create(); //! weak_hash
     var b = SHA256.Create();
-    var d = DES.Create(); //! weak_cryptography
+    var d = DES.Create(); //! weak_crypto
   }
 }
 ---

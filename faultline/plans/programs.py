@@ -46,7 +46,7 @@ for _name, _types, _where in (
     ("B12_idor_programs", ["idor"], "true"),
     ("B14_unbounded_allocation", ["unbounded_allocation"], "true"),
     ("B17_scanf_and_formats", ["format_string", "buffer_overflow"], NATIVE),
-    ("C4_usage_sinks", ["weak_hash", "weak_cryptography", "insecure_random", "csrf", "dangerous_function"], "true"),
+    ("C4_usage_sinks", ["weak_hash", "weak_crypto", "insecure_random", "csrf", "dangerous_function"], "true"),
     ("F1_path_findings", ["command_injection", "sql_injection", "code_injection"], "true"),
     ("F8_uninitialised_programs", ["uninitialized_var"], "true"),
     ("F13_heap_programs", ["use_after_free", "double_free", "null_dereference", "memory_leak", "invalid_free", "mismatched_free", "return_stack_address"], NATIVE),
@@ -65,7 +65,7 @@ for _name, _types, _where in (
     ("G14_regex_dos", ["regex_dos"], "true"),
     ("G15_prototype_pollution", ["prototype_pollution"], "true"),
     ("G16_cookies_and_deserializers", ["insecure_cookie", "insecure_cookie_httponly", "deserialization", "csrf"], "true"),
-    ("G17_weak_algorithms", ["weak_hash", "weak_cryptography"], "true"),
+    ("G17_weak_algorithms", ["weak_hash", "weak_crypto"], "true"),
     ("G18_markup_sinks", ["xss"], SCRIPT),
     ("G19_request_bindings", ["sql_injection"], f"({JAVA} OR {SHARP})"),
     ("G21_buffer_copies", ["buffer_overflow"], "true"),

@@ -40,7 +40,7 @@ SINK_TYPES = {
     "header": "header_injection",
     "secret": "secret_exposure",
     "debug": "debug_enabled",
-    "weak_crypto": "weak_cryptography",
+    "weak_crypto": "weak_crypto",
     "hardcoded_secret": "hardcoded_secret",
     "insecure_random": "insecure_random",
     "weak_hash": "weak_hash",
