@@ -240,8 +240,9 @@ TASKS = """explode(if(minor,
     transform(sequence(0L, minors - 1), i -> named_struct('i', i, 'j', own, 'kind', 'across', 'side', 1)))) AS task"""
 
 
-def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (class of equal sets; null for empty ones), label (component; null for unlinked classes)."""
+def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", held: list | None = None) -> DataFrame:
+    """doc_id, n_shingles, node (class of equal sets; null for empty ones), label (component; null for unlinked classes). The
+    tables that the result reads are added to `held`, for a caller that is done with it."""
     sketch = written(sketches(docs, k, id_col, text_col), "sketches")
     classes = written(sketch.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
     bands = classes.select("node", "registers", "n_shingles").mapInArrow(_band_rows, "band long, node long, n_shingles long")
@@ -277,12 +278,14 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
         discard(found)
     for df in (classes, apart, links):
         discard(df)
+    if held is not None:
+        held += [sketch, labels]
     return sketch.drop("registers").join(labels, "node", "left")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", held: list | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
-    rows = labelled(docs, k, percent, id_col, text_col).withColumn("group", F.coalesce("label", "node"))
+    rows = labelled(docs, k, percent, id_col, text_col, held).withColumn("group", F.coalesce("label", "node"))
     least = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -290,7 +293,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, that stay: of each component the one with the smallest doc_id. Rows without a doc_id stay; of rows alike in doc_id and text one stays."""
-    found = written(near_duplicates(docs, k, percent).select("doc_id", "component_id", "kept"), "kept")
+    held: list[DataFrame] = []
+    found = written(near_duplicates(docs, k, percent, held=held).select("doc_id", "component_id", "kept"), "kept")
+    for df in held:
+        discard(df)
     gone = found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))
