@@ -106,7 +106,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "D16_tools_per_cluster": "SELECT location, cwe, SETOF(tool) AS tools, count(DISTINCT tool) AS n_tools FROM v_finding WHERE cwe IS NOT NULL GROUP BY location, cwe",
     "D17_cube": "SELECT tool, severity, count(*) AS n, count(DISTINCT location) AS files FROM v_finding GROUP BY CUBE (tool, severity)",
     # windows
-    "E1_dedup_line": f"SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY location, line, proc, coalesce(cwe, type) ORDER BY {_BETTER}) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY location, line, proc, type ORDER BY {_BETTER}) AS r1 FROM v_ranked) a WHERE r1 = 1) b WHERE r2 = 1",
+    "E1_dedup_line": f"SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY location, line, proc, coalesce(cwe, type) ORDER BY {_BETTER}) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY location, line, proc, type ORDER BY {_BETTER}) AS r1 FROM (SELECT /*+ REPARTITION(location, line, proc) */ * FROM v_ranked) z) a WHERE r1 = 1) b WHERE r2 = 1",
     "E2_dedup_bucket": f"SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY location, FDIV(line, 5), cwe ORDER BY {_BETTER}) AS r FROM v_ranked WHERE cwe IS NOT NULL) a WHERE r = 1 UNION ALL SELECT {_COLUMNS} FROM v_ranked WHERE cwe IS NULL",
     "E3_dedup_file": f"SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY location, cwe ORDER BY {_BETTER}) AS r FROM v_ranked WHERE cwe IS NOT NULL) a WHERE r = 1",
     "E4_dedup_idor": f"SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY location, proc, flow_len, cwe ORDER BY {_BETTER}) AS r FROM v_ranked WHERE type = 'path_traversal') a WHERE r = 1",
