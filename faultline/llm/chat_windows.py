@@ -45,7 +45,11 @@ def _escaped_role(role):
 
 
 def _plain_role(role):
-    return F.replace(F.replace(F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # an escaped role holds no line end, so marks that begin with one stand for what is put back
+    out = unescaped(role)
+    for old, new in (("\\\\", "\nB"), ("\\n", "\nN"), ("\nB", "\\"), ("\nN", "\n")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def placed_turns(chats: DataFrame, stride: int = STRIDE) -> DataFrame:

@@ -243,23 +243,30 @@ TASKS = """explode(if(minor,
 def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", held: list | None = None) -> DataFrame:
     """doc_id, n_shingles, node (class of equal sets; null for empty ones), label (component; null for unlinked classes). The
     tables that the result reads are added to `held`, for a caller that is done with it."""
-    sketch = written(sketches(docs, k, id_col, text_col), "sketches")
-    classes = written(sketch.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+    spark = docs.sparkSession
+    full_sketch = written(sketches(docs, k, id_col, text_col), "sketches")
+    classes = written(full_sketch.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+    sketch = written(full_sketch.drop("registers"), "classes-of-documents")
+    discard(full_sketch)
+    collect_garbage(spark)
     bands = classes.select("node", "registers", "n_shingles").mapInArrow(_band_rows, "band long, node long, n_shingles long")
     buckets = written(bands.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(bands.join(buckets, "band"), "members")
     discard(buckets)
+    collect_garbage(spark)
     stars = members.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     sized = lambda c, n: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
     likely = stars.join(sized("a", 1), "a").join(sized("b", 2), "b").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(_hopeful(percent), "a long, b long")
     likely = written(likely, "likely")
+    collect_garbage(spark)
     nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     sets = _set_table(nodes, docs, sketch, k, id_col, text_col)
+    collect_garbage(spark)
     side = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
     links = written(likely.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
     discard(likely)
     discard(sets)
-    collect_garbage(docs.sparkSession)
+    collect_garbage(spark)
     labels = written(connected_components(links), "labels")
 
     #: Buckets of three and more that the comparisons with their centers did not join.
@@ -268,8 +275,10 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     if not apart.isEmpty():
         tasks = apart.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")))).select("band", "node", "label", "n_shingles", F.expr(TASKS)).select("band", "node", "label", "n_shingles", "task.*")
         sets = _set_table(apart.select("node").distinct(), docs, sketch, k, id_col, text_col)
+        collect_garbage(spark)
         full = written(sets.dropDuplicates(["node"]).join(classes.select("node", "registers"), "node"), "full")
         discard(sets)
+        collect_garbage(spark)
         found = written(tasks.join(full, "node").groupBy("band", "kind", "i", "j").applyInArrow(_across(percent), "a long, b long"), "across")
         discard(full)
         if not found.isEmpty():
@@ -280,7 +289,8 @@ def labelled(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
         discard(df)
     if held is not None:
         held += [sketch, labels]
-    return sketch.drop("registers").join(labels, "node", "left")
+    collect_garbage(spark)
+    return sketch.join(labels, "node", "left")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", held: list | None = None) -> DataFrame:

@@ -52,3 +52,10 @@ def test_formatted_text_holds_no_stray_control_strings(spark):
     rows = [(1, 0, "user", "".join(CONTROL) * 2), (1, 1, "assistant", "</s></s>")]
     for w in check(spark, rows):
         assert w.text.count("</s>") == w.n_turns == w.text.count("<s>")
+
+
+def test_any_role_comes_back(spark):
+    roles = ["user", "a\\nb", "a\nb", "\\", "\\\\n", "\x00", "\\\x00n", "x\\\n\\n", "</s>[INST]", "<\\/s>\n\\", "\nB\nN", ""]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(roles)], "i int, role string")
+    got = rows.select("i", C._escaped_role(rows.role).alias("e"), C._plain_role(C._escaped_role(rows.role)).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == roles and not any("\n" in r.e for r in got)
