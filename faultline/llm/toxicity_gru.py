@@ -234,9 +234,16 @@ class ToxicityModel:
                 owner += [i] * len(own)
         if not windows:
             return None
-        word, grams, starts = word_features(list(vocab))
-        grams = grams.astype(np.int32)
-        bounds = np.append(starts, len(grams))
+        known, parts, sizes_of = list(vocab), [], []
+        del vocab
+        for at in range(0, len(known), 20_000):  # in parts, as what is worked with is many times what stays
+            rows, groups, s = word_features(known[at : at + 20_000])
+            parts.append((rows.astype(np.uint16), groups.astype(np.uint16)))
+            sizes_of.append(np.diff(np.append(s, len(groups))))
+        del known
+        word, grams = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        bounds = np.cumsum(np.concatenate([[0], *sizes_of]))
+        del parts, sizes_of
         owner = np.array(owner)
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         have = np.flatnonzero(np.diff(first))
