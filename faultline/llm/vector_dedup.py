@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .components import connected_components
 
 COSINE = 0.93
@@ -243,19 +243,23 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", v
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), *(pa.array(f, pa.bool_()) for f in (homes, bases, asks)), part.column(0), part.column(2), part.column(3)], names=["cell", "home", "base", "ask", "node", "vector", "weight"])
 
     placed = points.select("node", "label", "vector", "weight", "dim").mapInArrow(assign, "cell string, home boolean, base boolean, ask boolean, node long, vector array<double>, weight long")
-    placed = written(placed, "placed")
+    placed = cells = written(placed, "placed")
     dealt = lambda flag: F.greatest(F.lit(1), F.ceil(F.count_if(flag) / (OVERLAP * CELL)))
     slices = placed.groupBy("cell").agg(dealt("base").alias("slices"), dealt("ask").alias("parts"))
     placed = placed.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     lists = placed.filter("base").groupBy("cell", "slice").applyInArrow(_graph, "node long, near array<long>")
     united = lists.select("node", F.explode("near").alias("n")).groupBy("node").agg(F.collect_set("n").alias("near"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    base = placed.filter("base").join(written(united, "adjacency"), "node", "left").withColumn("part", each("parts")).select("cell", "slice", "part", F.lit(0).alias("side"), "home", "node", "vector", "weight", "near")
+    united = written(united, "adjacency")
+    base = placed.filter("base").join(united, "node", "left").withColumn("part", each("parts")).select("cell", "slice", "part", F.lit(0).alias("side"), "home", "node", "vector", "weight", "near")
     ask = placed.filter("ask").withColumn("slice", each("slices")).select("cell", "slice", "part", F.lit(1).alias("side"), "home", "node", "vector", "weight", F.lit(None).cast("array<long>").alias("near"))
     found = written(base.unionByName(ask).groupBy("cell", "slice", "part").applyInArrow(_search(cosine), "node long, links long, peer long"), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))
     labels = written(connected_components(found, "node", "peer"), "labels")
     of_node = points.select("node", "weight").join(counts, "node", "left").join(labels, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("group"))
+    of_node = written(of_node, "links-of-points")
+    for df in (cells, united, found, labels, points):
+        discard(df)
     out = rows.join(of_node, "node", "left")
     least = out.filter("group IS NOT NULL").groupBy("group").agg(F.min("vec_id").alias("least"))
     return out.join(least, "group", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("group").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
