@@ -77,8 +77,10 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = _cut(step.join(jump, "label").select("node", F.least("label", "further").alias("label")))
         changed = not new.join(labels, ["node", "label"], "left_anti").isEmpty()
+        _drop(labels)
         labels = new
         if not changed:
+            _drop(both)
             return labels
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
