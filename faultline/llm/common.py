@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import string
 import tempfile
 import uuid
 import zlib
@@ -69,6 +70,12 @@ def fold_column(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3
 
 
+def ascii_lower(text):
+    """text with A-Z lower-cased and nothing else. lower() is the fast way where no other character of the text has another lower case."""
+    rest = F.regexp_replace(text, "[A-Z]+", "")
+    return F.when(F.lower(rest) == rest, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
