@@ -1,15 +1,17 @@
 """Operator 7. Benchmark decontamination by SimHash of item-sized windows.
 
 An item is the bag of its SHINGLE-word shingles (all its words as one, if it has fewer), lower-cased as A-Z and cut at white
-space. A document is read in windows of the item's own length in words. A fingerprint has BITS bits: the signs of the summed
-shingle hashes. BLOCKS blocks of a fingerprint key an index of items; a window looks up every block value within the block's
-share of the radius, so each item within RADIUS bits is found for certain. Found items are verified by weighted similarity,
-the sum of smaller over the sum of larger shingle counts, of at least `percent`.
+space. A document is read in windows of the item's own length in words. The second and each further occurrence of a shingle in
+a bag count as shingles of their own, so a bag is a set and every element of it weighs the same. A fingerprint has BITS bits:
+the signs of the summed element hashes. BLOCKS blocks of a fingerprint key an index of items; a window looks up every block
+value within the block's share of the radius, so each item within RADIUS bits is found for certain. Found items are verified by
+weighted similarity, the sum of smaller over the sum of larger shingle counts, of at least `percent`.
 
 Of windows that start at every word, those are fingerprinted that can reach the threshold with any item of that length: at
 least so many of their shingles must be shingles of such items, whatever their order. That count slides over the document and
-loses no window. At a weighted similarity of 0.8 the two differ in 39 of 256 bits on average; RADIUS lies over four standard
-deviations above that (a chance of 2e-5 to miss one window; neighbours count too).
+loses no window. Items of at most FEW elements are not left to a fingerprint, whose bits would hang on too few signs: they are
+found by any shared shingle and verified. Above that, two sets of similarity 0.8 differ in 78 of 512 bits on average, whatever
+words they repeat; RADIUS lies six standard deviations above. The chance to miss a window is below 1e-6 for sets of any sizes.
 
 Items are sent to all executors while they take at most MAX_ITEM_BYTES; beyond that they are dealt with in as many parts, each
 in a pass of its own over the documents.
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import mix64, shingle_hashes, table, word_hashes, word_spans
 
 SHINGLE = 5
-BITS, BLOCKS = 256, 32
-RADIUS = 63
+BITS, BLOCKS = 512, 64
+RADIUS = 127
 MAX_ITEM_BYTES = 8_000_000
+#: Elements of the bags that are verified without a fingerprint.
+FEW = 24
 #: Words of a document whose windows are fingerprinted at once.
 STRETCH = 4096
 _SALTS = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +58,17 @@ def bit_signs(hashes: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
+def elements(hashes: np.ndarray) -> np.ndarray:
+    """The bag as a set: the hash of a shingle for its first occurrence, and another one for each further."""
+    x, n = np.unique(hashes, return_counts=True)
+    if len(x) == len(hashes):
+        return hashes
+    which = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+    x = np.repeat(x, n)
+    with np.errstate(over="ignore"):
+        return np.where(which > 0, mix64(x + which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), x)
+
+
 def fingerprints(signs: np.ndarray) -> np.ndarray:
     """Packed fingerprints of rows of summed signs; a sum of 0 counts as set."""
     return np.packbits(signs >= 0, axis=-1)
@@ -79,20 +94,24 @@ class ItemIndex:
                 self.ids.append(item_id)
                 self.bags.append(bag)
                 self.words.append(n)
-        self.prints = np.array([fingerprints(bit_signs(b).sum(0, dtype=np.int32)) for b in self.bags], np.uint8).reshape(-1, BITS // 8)
+        self.prints = np.array([fingerprints(bit_signs(elements(b)).sum(0, dtype=np.int32)) for b in self.bags], np.uint8).reshape(-1, BITS // 8)
         size = BITS // BLOCKS
         spare = RADIUS // BLOCKS
         near = [sum(1 << i for i in flips) for k in range(spare + 1) for flips in combinations(range(size), k)]
         self.blocks: list[dict[int, set[int]]] = [defaultdict(set) for _ in range(BLOCKS)]
         for i, p in enumerate(self.prints):
-            for block, value in zip(self.blocks, p.tolist(), strict=True):
-                for flip in near:
-                    block[value ^ flip].add(i)
+            if len(self.bags[i]) > FEW:
+                for block, value in zip(self.blocks, p.tolist(), strict=True):
+                    for flip in near:
+                        block[value ^ flip].add(i)
         self.shingles_of = [min(SHINGLE, n) for n in self.words]
         self.lengths: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for bag, n, k in zip(self.bags, self.words, self.shingles_of, strict=True):
-            for h in bag.tolist():
+        self.short: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i, (bag, n, k) in enumerate(zip(self.bags, self.words, self.shingles_of, strict=True)):
+            for h in set(bag.tolist()):
                 self.lengths[k, h].add(n)
+                if len(bag) <= FEW:
+                    self.short[n, h].add(i)
         self.known = {k: np.array(sorted({h for bag, n in zip(self.bags, self.shingles_of, strict=True) if n == k for h in bag.tolist()}), np.uint64) for k in sorted(set(self.shingles_of))}
 
     def found(self, prints: np.ndarray) -> list[np.ndarray]:
@@ -105,6 +124,29 @@ class ItemIndex:
             out.append(near[apart <= RADIUS])
         return out
 
+    def _near(self, h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The items whose fingerprints are near those of the windows. Signs slide over a stretch; a window that repeats a shingle is summed by itself, equal ones once."""
+        order = np.argsort(h, kind="stable")
+        before = np.full(len(h), -1)
+        same = h[order[1:]] == h[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        known: dict[bytes, np.ndarray] = {}
+        for b in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(begins // STRETCH)) + 1):
+            s, e = begins[b], ends[b]
+            low = int(s[0])
+            sums = np.zeros((int(e.max()) - low + 1, BITS), np.int32)
+            np.cumsum(bit_signs(h[low : int(e.max())]), axis=0, dtype=np.int32, out=sums[1:])
+            prints = fingerprints(sums[e - low] - sums[s - low])
+            for x, y, p in zip(s.tolist(), e.tolist(), prints, strict=True):
+                if (before[x:y] >= x).any():
+                    own = np.sort(h[x:y])
+                    p = known.get(own.tobytes())
+                    if p is None:
+                        p = known[own.tobytes()] = fingerprints(bit_signs(elements(own)).sum(0, dtype=np.int32))
+                        if len(known) > STRETCH:
+                            known = {}
+                yield x, y, self.found(p[None])[0]
+
     def matches(self, text: str | None, percent: int) -> list[tuple[int, int, int, int, int]]:
         """(item_id, start, stop, low, high): the best window in bytes for each matching item, with its similarity as low / high; the first of equals."""
         data = np.frombuffer((text or "").encode(), np.uint8)
@@ -135,17 +177,15 @@ class ItemIndex:
             h = bags[k]
             size = n - k + 1
             ends_at = np.minimum(begins + size, len(h))
-            for b in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(begins // STRETCH)) + 1):
-                s, e = begins[b], ends_at[b]
-                low = int(s[0])
-                sums = np.zeros((int(e.max()) - low + 1, BITS), np.int32)
-                np.cumsum(bit_signs(h[low : int(e.max())]), axis=0, dtype=np.int32, out=sums[1:])
-                for x, y, near in zip(s.tolist(), e.tolist(), self.found(fingerprints(sums[e - low] - sums[s - low])), strict=True):
-                    for i in near.tolist():
-                        if self.words[i] == n:
-                            less, more = weighted_similarity(h[x:y], self.bags[i])
-                            if 100 * less >= percent * more and (i not in best or less * best[i][3] > best[i][2] * more):
-                                best[i] = (x, min(x + n, len(words)), less, more)
+            if size <= FEW:
+                found = ((x, y, set().union(*(self.short.get((n, v), ()) for v in set(h[x:y].tolist())))) for x, y in zip(begins.tolist(), ends_at.tolist(), strict=True))
+            else:
+                found = ((x, y, [i for i in near.tolist() if self.words[i] == n]) for x, y, near in self._near(h, begins, ends_at))
+            for x, y, near in found:
+                for i in near:
+                    less, more = weighted_similarity(h[x:y], self.bags[i])
+                    if 100 * less >= percent * more and (i not in best or less * best[i][3] > best[i][2] * more):
+                        best[i] = (x, min(x + n, len(words)), less, more)
         return [(self.ids[i], int(starts[x]), int(ends[y - 1]), less, more) for i, (x, y, less, more) in sorted(best.items())]
 
 

@@ -82,14 +82,61 @@ def test_index_finds_all_within_the_radius():
     docs, items = cases()
     index = S.ItemIndex(items)
     r = random.Random(1)
-    for p in index.prints:
+    long = [i for i, b in enumerate(index.bags) if len(b) > S.FEW]
+    for p in index.prints[long]:
         q = p.copy()
         for bit in r.sample(range(S.BITS), S.RADIUS):
             q[bit // 8] ^= 1 << bit % 8
-        want = {i for i, x in enumerate(index.prints) if sum(int(a ^ b).bit_count() for a, b in zip(x, q, strict=True)) <= S.RADIUS}
+        want = {i for i, x in enumerate(index.prints) if i in long and sum(int(a ^ b).bit_count() for a, b in zip(x, q, strict=True)) <= S.RADIUS}
         assert set(index.found(q[None])[0].tolist()) == want and want
 
 
+def test_items_of_repeated_words_with_other_tails(spark):
+    """Heavy shingles: words repeated with a period of 1 to 6, some of them replaced or cut, at any similarity around the threshold."""
+    r = random.Random(3)
+    items, docs = [], []
+    for period in range(1, 7):
+        for n in (6, 9, 13, 21, 25, 33, 40, 60, 90):
+            unit = [f"p{period}n{n}u{i}" for i in range(period)]
+            item = (unit * n)[:n]
+            items.append((len(items), " ".join(item)))
+            for changed in (0, 1, 2, 3):
+                for where in ("front", "end", "any"):
+                    w = list(item)
+                    for j in range(changed):
+                        at = {"front": j, "end": n - 1 - j, "any": r.randrange(n)}[where]
+                        w[at] = f"z{r.randrange(10**6)}"
+                    around = [f"q{r.randrange(10**6)}" for _ in range(r.choice([0, 7]))]
+                    docs.append((len(docs), " ".join(around + w + around)))
+            docs.append((len(docs), " ".join((unit * n * 3)[: n * 2 + 1])))
+    want = brute(docs, items)
+    got = S.contaminated(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g.doc_id, g.item_id) for g in got} == want and len(want) > 300
+
+
+def test_the_worst_bag_loses_one_window_in_many():
+    """The chance that one bit of two sets at the threshold differs, exactly, for all sizes that go by fingerprint."""
+    from math import comb
+
+    def differs(shared, a, b):
+        def sign_sums(n):
+            return {2 * i - n: comb(n, i) / 2**n for i in range(n + 1)}
+
+        total = 0.0
+        for s, p in sign_sums(shared).items():
+            up = [sum(q for t, q in sign_sums(m).items() if s + t >= 0) for m in (a, b)]
+            total += p * (up[0] * (1 - up[1]) + up[1] * (1 - up[0]))
+        return total
+
+    worst = 0.0
+    for n in range(S.FEW + 1, 90):
+        for m in range(n * 4 // 5, n + 1):
+            shared = min(m, -(-80 * (n + m) // 180))
+            q = differs(shared, m - shared, n - shared)
+            worst = max(worst, sum(comb(S.BITS, i) * q**i * (1 - q) ** (S.BITS - i) for i in range(S.RADIUS + 1, S.BITS + 1)))
+    assert worst < 1e-6
+
+
 def test_parts_and_empty_tables(spark):
     docs, items = cases()
     held = spark.createDataFrame(items, "item_id long, text string")
