@@ -80,11 +80,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 #: Candidates beyond the base patterns.
 LOOSE = re.compile(
     r"""(?P<secret>\b(?:password|passwd|pwd|secret|token|api[_-]?key|key)\b\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_+/=.-]{8,}))"""
-    r"""|(?P<spelled>\b[a-z0-9._-]{1,64}\s?(?:\(at\)|\[at\]|\sat\s)\s?[a-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[a-z]{2,10}\b)"""
-    r"""|(?P<number>(?<![\w+])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,6}){1,5}(?!\w))"""
+    r"""|(?P<number>(?<![\w+])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,6})+(?!\w))"""
     r"""|(?P<hex>(?<!\w)[0-9a-f]{18,}(?!\w))""",
     re.I,
 )
+#: The tail of a spelled-out address; what stands before it is read backwards, so its length has no bound and costs no second look.
+SPELLED = re.compile(r"\s?(?:\(at\)|\[at\]|\sat\s)\s?[a-z0-9-]+(?:\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[a-z0-9-]+)*\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[a-z]{2,}\b", re.I)
+SPELLED_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
 PHONE_WORDS = re.compile(r"\b(?:tel|phone|call|mobile|fax|cell|whatsapp|telefon|teléfono|téléphone)\b", re.I)
 ID_WORDS = re.compile(r"\b(?:ssn|social|iban|passport|account|konto|cuenta|compte|card|id)\b", re.I)
 SECRET_WORDS = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|credential|bearer)\b", re.I)
@@ -96,13 +98,28 @@ FEATURES = 12
 PATTERNS = 3 ** len(LABELERS) * 2**FEATURES
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spelled-out addresses: a letter or digit, any more of SPELLED_LOCAL, and the tail."""
+    last = 0
+    for m in SPELLED.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in SPELLED_LOCAL:
+            start -= 1
+        while start < m.start() and text[start] in "._-":
+            start += 1
+        if start < m.start():
+            yield start, m.end()
+            last = m.end()
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, tuple[int, ...], int]]:
     """(start, end, kind, votes of -1, 0, 1, feature bits). Kinds of base spans keep their names."""
     found = list(base)
     for m in LOOSE.finditer(text):
         kind = m.lastgroup if m["value"] is None else "secret"
         s, e = m.span("value") if kind == "secret" else m.span()
-        found.append((s, e, {"spelled": "spelled_email", "hex": "secret", "number": "number"}.get(kind, kind)))
+        found.append((s, e, {"hex": "secret", "number": "number"}.get(kind, kind)))
+    found += [(s, e, "spelled_email") for s, e in _spelled(text)]
     out = []
     for s, e, kind in found:
         body, before, after = text[s:e], text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]

@@ -119,12 +119,33 @@ def test_added_spans_are_right_and_most_are_found(spark):
             wanted[i] = (start, start + len(value))
         rows.append((i, text))
     got = {x.row if "row" in x else x.doc_id: [(s["start"], s["stop"]) for s in x.spans if s["kind"] not in P.KINDS] for x in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    hits = sum(any(s < e2 and s2 < e for s, e in got[i]) for i, (s2, e2) in wanted.items())
-    wrong = sum(len(v) for i, v in got.items() if i not in wanted)
+    hits = sum(span in got[i] for i, span in wanted.items())  # from the first to the last character
+    wrong = sum(len(v) for v in got.values()) - hits
     assert hits >= 0.9 * len(wanted)
     assert hits >= 0.9 * (hits + wrong)
 
 
+def test_added_spans_have_no_longest_one():
+    for value, before, after in (("x" * 89, "to ", ""), ("a.b-c_" * 3000 + "z", "to ", "")):
+        text = f"{before}{value} at mail dot example dot org{after} now"
+        assert [c[:3] for c in P.candidates(text, [])] == [(len(before), len(text) - 4, "spelled_email")]
+    number = " ".join(str(i % 90 + 10) for i in range(5000))
+    assert [c[:2] for c in P.candidates(f"x {number}; y", [])] == [(2, 2 + len(number))]
+    assert [c[2] for c in P.candidates("11 22 33 44 55 66 77 88 99", [])] == ["number"]
+    long = "m" * 300 + " at " + "n" * 300 + " dot " + "o" * 300
+    assert [c[:3] for c in P.candidates(long, [])] == [(0, len(long), "spelled_email")]
+    assert not P.candidates("... at home dot com"[3:], []) and not P.candidates("._- at x", [])
+
+
+def test_candidates_are_found_in_linear_time():
+    import time
+
+    for text in ("a." * 200_000, "a at " * 100_000, "a at b dot " * 60_000, "12 " * 200_000 + "x", "12-" * 200_000, "b (at) c" * 60_000):
+        began = time.process_time()
+        P.candidates(text, [])
+        assert time.process_time() - began < 20
+
+
 def test_choice_is_linear_and_spans_do_not_touch():
     decide = np.ones(1 << P.FEATURES, bool)
     text = "token=abcdefgh1 " * 20_000 + "a@b.co"
