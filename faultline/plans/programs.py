@@ -15,9 +15,14 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read; the programs are made of parts."""
+    return spark.read.parquet(views.kept(spark, sf_dir, name, make, ["part"]))
+
+
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in all labelled programs, written once for each session and input."""
-    return views.kept(spark, sf_dir, "scanned", lambda: engine.scan(views.run(spark, sf_dir, "SELECT filename, text FROM v_program")))
+    return _kept(spark, sf_dir, "scanned", lambda: engine.scan(views.run(spark, sf_dir, "SELECT filename, text FROM v_program")))
 
 
 def _labelled(name: str, types: list[str] | None, condition: str = "true") -> None:
@@ -99,7 +104,7 @@ ORACLES["F2_chain_findings"] = f"""SELECT filename, CAST(4 + k + CASE shape WHEN
 def chain_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same programs by joins over their instructions: candidate names against the spec rows, flow edges to a fixpoint, sinks.
     Flow-insensitive: an assignment never cleans."""
-    rows = views.kept(spark, sf_dir, "chain_facts", lambda: engine.facts(views.run(spark, sf_dir, _chain_text())))
+    rows = _kept(spark, sf_dir, "chain_facts", lambda: engine.facts(views.run(spark, sf_dir, _chain_text())))
     return relational_taint.findings(rows, specs.table(spark), "python").select(F.col("file").alias("filename"), "line", "type", "source_line")
 
 
@@ -254,7 +259,7 @@ ARGUMENTS = "SELECT p_partkey, CAST(p_size % 3 AS INT) AS used, CAST(p_partkey %
 def argument_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that hand a tainted variable to a parameter that the callee hands to a sink, by joins on callee and place."""
     text = f"""SELECT filename, concat('def f(a, b, c):\\n    eval(', element_at(array('a', 'b', 'c'), used + 1), ')\\ndef g():\\n    x = input()\\n    f(', array_join(transform(sequence(0, 2), i -> if(i = given, 'x', '0')), ', '), ')\\n') AS text FROM ({ARGUMENTS}) q"""
-    rows = views.kept(spark, sf_dir, "argument_facts", lambda: engine.facts(views.run(spark, sf_dir, text)))
+    rows = _kept(spark, sf_dir, "argument_facts", lambda: engine.facts(views.run(spark, sf_dir, text)))
     return relational_taint.argument_sinks(rows, specs.table(spark), "python").select(F.col("file").alias("filename"), "callee", "place", "line")
 
 

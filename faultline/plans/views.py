@@ -34,6 +34,15 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         "SELECT doc_id, source, CAST(unnest(range(1, len(p) + 1)) AS INT) AS line_no, unnest(p) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents)",
     ),
     "v_heap": "SELECT p_partkey AS src, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS dst FROM part",
+    # Programs: an order is a procedure (or a heap), its line items are statements (or cells). Node 0 is the entry, size + 1 the exit.
+    "v_stmt": """SELECT l_orderkey AS proc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS node, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS size,
+      CASE (l_partkey + 3 * l_suppkey + l_linenumber) % 12 WHEN 0 THEN 'source' WHEN 1 THEN 'source' WHEN 2 THEN 'const' WHEN 3 THEN 'copy' WHEN 4 THEN 'copy' WHEN 5 THEN 'add' WHEN 6 THEN 'free' WHEN 7 THEN 'call' WHEN 8 THEN 'sink' WHEN 9 THEN 'branch' WHEN 10 THEN 'loop' ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'return' ELSE 'call' END END AS op,
+      CAST(l_partkey % 4 AS INT) AS tgt, CAST((l_suppkey + l_linenumber) % 4 AS INT) AS src, CAST(l_quantity AS INT) AS val, CAST((l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM orders) AS BIGINT) AS callee, l_partkey AS pk, l_suppkey AS sk FROM lineitem""",
+    "v_step": """SELECT proc, 0 AS src, 1 AS dst, 'next' AS label FROM v_stmt WHERE node = 1
+      UNION ALL SELECT proc, node, CASE WHEN op = 'return' THEN size + 1 ELSE node + 1 END, CASE op WHEN 'branch' THEN 'true' WHEN 'loop' THEN 'false' ELSE 'next' END FROM v_stmt
+      UNION ALL SELECT proc, node, least(node + 2 + val % 3, size + 1), 'false' FROM v_stmt WHERE op = 'branch'
+      UNION ALL SELECT proc, node, greatest(1, node - val % 3), 'true' FROM v_stmt WHERE op = 'loop'""",
+    "v_cell": "SELECT proc * 1000000 + node AS cell, proc * 1000000 + pk % size + 1 AS next, proc * 1000000 + sk % size + 1 AS prev FROM v_stmt",
     "v_path": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'src/main/java/A' WHEN 1 THEN 'node_modules/x/b' WHEN 2 THEN 'tests/unit/test_c' WHEN 3 THEN 'lib/vendor/d' WHEN 4 THEN 'app/e.generated' ELSE 'cmd/f' END || CAST(doc_id AS STRING) || CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.java' WHEN 2 THEN '.ts' WHEN 3 THEN '.cpp' WHEN 4 THEN '.cs' WHEN 5 THEN '.go' WHEN 6 THEN '.md' ELSE '' END AS path, text FROM documents",
     "v_program": cases.program_view(),
     "v_label": cases.label_view(),
@@ -119,18 +128,32 @@ def with_views(sql: str, which: int, sf_dir: str | None = None) -> str:
 
 
 #: Views that several queries read and that cost a shuffle: written once for each session and input.
-WRITTEN = ("v_finding",)
+WRITTEN = ("v_finding", "v_stmt")
 _KEPT: dict[tuple, str] = {}
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The table that make() gives, written to the shared folder by the first query that asks for it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
+def _state(spark: SparkSession, sf_dir: str, tables: list[str]) -> tuple:
+    """When the tables' files were written, and their sizes."""
+    out = []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        out += [(t, len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0))]
+    return tuple(out)
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make, tables: list[str]) -> str:
+    """Where the table that make() gives lies: written to the shared folder by the first query that asks for it, and again if one of the tables that it is made of has changed."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    state = _state(spark, sf_dir, tables)
+    if _KEPT.get(at, (None,))[0] != state:
         path = new_folder(spark, name)
         make().write.parquet(path)
-        _KEPT[key] = path
-    return spark.read.parquet(_KEPT[key])
+        if at in _KEPT:
+            old = spark._jvm.org.apache.hadoop.fs.Path(_KEPT[at][1])
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _KEPT[at] = (state, path)
+    return _KEPT[at][1]
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -138,6 +161,7 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in WRITTEN:
         if re.search(rf"\b{name} AS \(", text):
             body = VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][0]
-            kept(spark, sf_dir, name, lambda body=body: spark.sql(with_views(body, 0, sf_dir)))
-            text = text.replace(f"{name} AS ({dialect(body, 0)})", f"{name} AS (SELECT * FROM parquet.`{_KEPT[spark.sparkContext.applicationId, sf_dir, name]}`)")
+            whole = with_views(body, 0, sf_dir)
+            path = kept(spark, sf_dir, name, lambda whole=whole: spark.sql(whole), sorted(set(re.findall(r"/(\w+)\.parquet`", whole))))
+            text = text.replace(f"{name} AS ({dialect(body, 0)})", f"{name} AS (SELECT * FROM parquet.`{path}`)")
     return spark.sql(text)
