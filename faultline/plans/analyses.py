@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import flow, graphs, tabulation
+from ..operators import constants, flow, graphs, intervals, matching, tabulation
 from . import views
 
 #: Statements that set their target, and those that read their source.
@@ -258,6 +258,161 @@ OVERLAPS_SQL = """WITH RECURSIVE way AS (SELECT cell AS node, cell AS head FROM
 DOUBLY_LINKED = "SELECT a.cell, a.next, b.prev = a.cell AS doubly_linked FROM v_cell a JOIN v_cell b ON b.cell = a.next"
 
 
+#: Constants: an argument may be anything, other variables begin as 0; what is read or returned by a call may be anything.
+SETTING = """SELECT proc, node, tgt AS var, CASE WHEN op IN ('copy', 'add') THEN src END AS left, CASE WHEN op = 'add' AND val % 4 = 0 THEN tgt END AS right,
+    CASE WHEN op = 'const' THEN val % 3 WHEN op = 'copy' THEN 0 WHEN op = 'add' THEN val % 5 - 2 END AS plus FROM v_stmt WHERE op IN ('source', 'const', 'copy', 'add', 'call')"""
+TESTING = "SELECT proc, node, src AS var, val % 3 AS least FROM v_stmt WHERE op IN ('branch', 'loop')"
+BEGINNING = f"SELECT p.proc, 0 AS node, v.var, CASE WHEN v.var = {ARGUMENT} THEN NULL ELSE 0 END AS value FROM (SELECT DISTINCT proc FROM v_stmt) p CROSS JOIN {VARIABLES} v"
+
+
+def _constants(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return constants.constants(_steps(spark, sf_dir), *(_sql(spark, sf_dir, x) for x in (ENTRIES, SETTING, TESTING, BEGINNING)))
+
+
+def constant_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variables that have one value where a node begins."""
+    return _constants(spark, sf_dir)[0].filter("value IS NOT NULL")
+
+
+def dead_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that are never taken, and whether their node is reached at all."""
+    values, opened = _constants(spark, sf_dir)
+    reached = values.select("proc", F.col("node").alias("src")).distinct().withColumn("reached", F.lit(True))
+    dead = _steps(spark, sf_dir).distinct().join(opened, ["proc", "src", "dst", "label"], "left_anti")
+    return dead.join(reached, ["proc", "src"], "left").select("proc", "src", "dst", "label", F.coalesce("reached", F.lit(False)).alias("reached"))
+
+
+def zero_divisors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sinks that divide by a variable that is 0 on every way that can be taken."""
+    uses = _sql(spark, sf_dir, "SELECT proc, node, src AS var FROM v_stmt WHERE op = 'sink'")
+    return uses.join(_constants(spark, sf_dir)[0].filter("value = 0"), ["proc", "node", "var"]).select("proc", "node", "var")
+
+
+CONSTANTS_SQL = f"""WITH RECURSIVE sets AS ({SETTING}), tests AS ({TESTING}),
+  v(proc, node, var, value) USING KEY (proc, node, var) AS (SELECT proc, node, var, CAST(value AS BIGINT) AS value FROM ({BEGINNING}) b UNION (
+    SELECT c.proc, c.node, c.var, CASE WHEN h.proc IS NULL THEN c.value END AS value FROM (
+      SELECT o.proc, e.dst AS node, o.var, CASE WHEN count(o.value) = count(*) AND min(o.value) = max(o.value) THEN min(o.value) END AS value FROM (
+        SELECT r.proc, r.node, r.var, CASE WHEN s.proc IS NULL THEN r.value ELSE s.plus + CASE WHEN s.left IS NULL THEN 0 ELSE a.value END + CASE WHEN s.right IS NULL THEN 0 ELSE b.value END END AS value
+        FROM (SELECT DISTINCT proc, node FROM v) d JOIN recurring.v r ON r.proc = d.proc AND r.node = d.node LEFT JOIN sets s ON s.proc = r.proc AND s.node = r.node AND s.var = r.var
+          LEFT JOIN recurring.v a ON a.proc = r.proc AND a.node = r.node AND a.var = s.left LEFT JOIN recurring.v b ON b.proc = r.proc AND b.node = r.node AND b.var = s.right) o
+      JOIN v_step e ON e.proc = o.proc AND e.src = o.node LEFT JOIN tests t ON t.proc = e.proc AND t.node = e.src LEFT JOIN recurring.v x ON x.proc = t.proc AND x.node = t.node AND x.var = t.var
+      WHERE x.value IS NULL OR e.label = CASE WHEN x.value >= t.least THEN 'true' ELSE 'false' END GROUP BY o.proc, e.dst, o.var) c
+    LEFT JOIN recurring.v h ON h.proc = c.proc AND h.node = c.node AND h.var = c.var WHERE h.proc IS NULL OR (h.value IS NOT NULL AND (c.value IS NULL OR c.value <> h.value))))"""
+VALUES_SQL = f"{CONSTANTS_SQL} SELECT proc, node, var, value FROM v WHERE value IS NOT NULL"
+DEAD_SQL = f"""{CONSTANTS_SQL} SELECT DISTINCT e.proc, e.src, e.dst, e.label, r.proc IS NOT NULL AS reached FROM v_step e LEFT JOIN (SELECT DISTINCT proc, node FROM v) r ON r.proc = e.proc AND r.node = e.src LEFT JOIN tests t ON t.proc = e.proc AND t.node = e.src
+  LEFT JOIN v x ON x.proc = t.proc AND x.node = t.node AND x.var = t.var WHERE r.proc IS NULL OR (x.value IS NOT NULL AND e.label <> CASE WHEN x.value >= t.least THEN 'true' ELSE 'false' END)"""
+ZERO_SQL = f"{CONSTANTS_SQL} SELECT s.proc, s.node, s.src AS var FROM v_stmt s JOIN v ON v.proc = s.proc AND v.node = s.node AND v.var = s.src WHERE s.op = 'sink' AND v.value = 0"
+
+
+#: Findings and truths of one repository and weakness; a truth's path may lack the first folders, or have others.
+FOUND = "SELECT DISTINCT repo, cwe, location AS path, line FROM v_finding WHERE cwe IS NOT NULL"
+TRUTHS = """SELECT DISTINCT repo, cwe, CASE (line + length(location)) % 3 WHEN 0 THEN location WHEN 1 THEN substr(location, 5) ELSE 'checkout/' || BASENAME(location) END AS path, line FROM v_truth WHERE status = 'true_positive'"""
+#: Truths and findings within five lines whose paths are equal, or one the end of the other, or whose files have one name.
+NEAR = f"""SELECT t.repo, t.cwe, t.file, t.path AS t_path, t.line AS t_line, f.path AS f_path, f.line AS f_line, abs(t.line - f.line) AS gap, CASE WHEN t.path = f.path THEN 0 WHEN ENDSIN(t.path, f.path) OR ENDSIN(f.path, t.path) THEN 1 ELSE 2 END AS kind
+    FROM (SELECT *, FDIV(line, 5) + step AS bucket FROM (SELECT *, BASENAME(path) AS file FROM ({TRUTHS}) x) x CROSS JOIN (VALUES (-1), (0), (1)) AS a(step)) t
+    JOIN (SELECT *, FDIV(line, 5) AS bucket FROM (SELECT *, BASENAME(path) AS file FROM ({FOUND}) y) y) f ON t.repo = f.repo AND t.cwe = f.cwe AND t.file = f.file AND t.bucket = f.bucket AND abs(t.line - f.line) <= 5"""
+
+
+def _greedy(spark: SparkSession, sf_dir: str, rank: list[str]) -> DataFrame:
+    pairs = _sql(spark, sf_dir, NEAR)
+    end = lambda c: F.struct(F.col(f"{c}_path").alias("path"), F.col(f"{c}_line").alias("line"))
+    best = matching.one_to_one(pairs.select("repo", "cwe", "file", end("f").alias("left"), end("t").alias("right"), *rank), ["repo", "cwe", "file"], rank)
+    return best.select("repo", "cwe", F.col("left.path").alias("f_path"), F.col("left.line").alias("f_line"), F.col("right.path").alias("t_path"), F.col("right.line").alias("t_line"))
+
+
+def nearest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and truths one to one, of the pairs of a repository, weakness and file name the best path first, then the nearest line."""
+    return _greedy(spark, sf_dir, ["kind", "gap"])
+
+
+def ordered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a loop over findings in order would match them, each with the first truth that is left."""
+    return _greedy(spark, sf_dir, [])
+
+
+def _greedy_sql(order: str) -> str:
+    """The loop itself: in each step every key takes its best pair whose ends are both free."""
+    return f"""WITH RECURSIVE near AS (SELECT repo, cwe, file, {{'a': f_path, 'b': f_line}} AS l, {{'a': t_path, 'b': t_line}} AS r, row_number() OVER (PARTITION BY repo, cwe, file ORDER BY {order} f_path, f_line, t_path, t_line) AS n FROM ({NEAR}) p),
+  step AS (SELECT repo, cwe, file, min(n) AS n, [min_by(l, n)] AS ls, [min_by(r, n)] AS rs FROM near GROUP BY repo, cwe, file
+    UNION ALL SELECT repo, cwe, file, min(n), list_append(any_value(ls), min_by(l, n)), list_append(any_value(rs), min_by(r, n)) FROM (SELECT s.repo, s.cwe, s.file, s.ls, s.rs, p.n, p.l, p.r FROM step s JOIN near p ON p.repo = s.repo AND p.cwe = s.cwe AND p.file = s.file AND p.n > s.n WHERE NOT list_contains(s.ls, p.l) AND NOT list_contains(s.rs, p.r)) q GROUP BY repo, cwe, file)
+  SELECT s.repo, s.cwe, p.l.a AS f_path, p.l.b AS f_line, p.r.a AS t_path, p.r.b AS t_line FROM step s JOIN near p ON p.repo = s.repo AND p.cwe = s.cwe AND p.file = s.file AND p.n = s.n"""
+
+
+#: Folds proposed for a heap: runs of its cells; the longer goes first, then the one that begins first.
+FOLDS = "SELECT proc AS heap, node AS first, CAST(least(node + val % 3, size) AS INT) AS last FROM v_stmt WHERE op <> 'return'"
+
+
+def disjoint_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: of the folds of all heaps those that a greedy choice takes, no cell in two of them."""
+    wants = _sql(spark, sf_dir, FOLDS).select(F.struct("heap", "first", "last").alias("proposal"), F.struct((F.col("first") - F.col("last")).alias("short"), "first").alias("rank"), F.explode(F.sequence("first", "last")).alias("cell"))
+    return matching.greedy_disjoint(wants.select("proposal", "rank", F.struct("proposal.heap", "cell").alias("thing"))).select("proposal.*")
+
+
+FOLDS_SQL = f"""WITH RECURSIVE fold AS (SELECT heap, first, last, row_number() OVER (PARTITION BY heap ORDER BY last - first DESC, first) AS n FROM ({FOLDS}) f),
+  step AS (SELECT heap, CAST(1 AS BIGINT) AS n, range(CAST(min_by(first, n) AS BIGINT), CAST(min_by(last, n) + 1 AS BIGINT)) AS used FROM fold GROUP BY heap
+    UNION ALL SELECT heap, min(n), list_concat(any_value(used), range(CAST(min_by(first, n) AS BIGINT), CAST(min_by(last, n) + 1 AS BIGINT))) FROM (SELECT s.heap, s.used, f.n, f.first, f.last FROM step s JOIN fold f ON f.heap = s.heap AND f.n > s.n WHERE NOT list_has_any(s.used, range(CAST(f.first AS BIGINT), CAST(f.last + 1 AS BIGINT)))) q GROUP BY heap)
+  SELECT f.heap, f.first, f.last FROM step s JOIN fold f ON f.heap = s.heap AND f.n = s.n"""
+
+
+#: Cases: spans of lines of any length, and the weaknesses that count for them.
+CASES = "SELECT location, min(line) AS start_line, max(line) AS stop_line, max(line + conf) % 4 AS accepts FROM v_finding GROUP BY location, proc"
+ACCEPTED = "((accepts = 0 AND cwe IN ('CWE-89', 'CWE-22')) OR (accepts = 1 AND cwe IN ('CWE-79', 'CWE-78')) OR (accepts = 2 AND cwe = 'CWE-416') OR (accepts = 3 AND cwe IS NOT NULL))"
+HITS = "SELECT DISTINCT location, line, cwe FROM v_finding WHERE cwe IS NOT NULL"
+
+
+def case_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings within ten lines of each case whose weakness the case accepts."""
+    cases = _sql(spark, sf_dir, f"SELECT *, start_line - 10 AS lo, stop_line + 10 AS hi FROM (SELECT DISTINCT * FROM ({CASES}) c) d")
+    hits = _sql(spark, sf_dir, f"SELECT location, cwe, line, line AS at FROM ({HITS}) f")
+    found = intervals.overlap_join(cases, hits, ["location"], ("lo", "hi"), ("line", "at")).filter(ACCEPTED)
+    return found.groupBy("location", "start_line", "stop_line", "accepts").agg(F.count("*").alias("hits"), F.min("line").alias("first_hit"))
+
+
+CASES_SQL = f"SELECT c.location, c.start_line, c.stop_line, c.accepts, count(*) AS hits, min(h.line) AS first_hit FROM (SELECT DISTINCT * FROM ({CASES}) x) c JOIN ({HITS}) h ON h.location = c.location AND h.line BETWEEN c.start_line - 10 AND c.stop_line + 10 AND {ACCEPTED} GROUP BY c.location, c.start_line, c.stop_line, c.accepts"
+
+#: Longer procedures, a part each: variables begin, loops guard them by a bound over a span of statements, they go up by one, and index arrays.
+PART_STMT = """SELECT l_partkey AS proc, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS INT) AS node, CAST(l_suppkey % 3 AS INT) AS var, CAST(l_quantity AS INT) AS val,
+    CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'begin' WHEN 1 THEN 'loop' WHEN 2 THEN 'up' WHEN 3 THEN 'index' ELSE 'other' END AS op FROM lineitem"""
+LOOPS = f"SELECT g.proc, g.var, g.node AS lo, g.node + g.val % 24 AS hi, g.val AS bound, max(i.node) AS begun FROM ({PART_STMT}) g JOIN ({PART_STMT}) i ON i.proc = g.proc AND i.var = g.var AND i.op = 'begin' AND i.node < g.node WHERE g.op = 'loop' GROUP BY g.proc, g.var, g.node, g.val"
+ROOM = 12
+
+
+def loop_overflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of a variable as an index inside a loop that begins it with a constant, lets it go up by one, and guards it by more than the array holds."""
+    loops = _sql(spark, sf_dir, LOOPS)
+    at = lambda op, name: _sql(spark, sf_dir, f"SELECT proc, var, node AS {name}, node AS {name}_end, val AS {name}_val FROM ({PART_STMT}) s WHERE op = '{op}'")
+    counted = intervals.overlap_join(loops, at("up", "up"), ["proc", "var"], ("lo", "hi"), ("up", "up_end"), "left_semi")
+    used = intervals.overlap_join(counted, at("index", "used"), ["proc", "var"], ("lo", "hi"), ("used", "used_end"))
+    return used.withColumn("room", F.col("used_val") % ROOM + 1).filter("bound > room").select("proc", "var", F.col("lo").alias("loop"), "used", "begun", "bound", "room")
+
+
+LOOPS_SQL = f"""SELECT g.proc, g.var, g.lo AS loop, u.node AS used, g.begun, g.bound, u.val % {ROOM} + 1 AS room FROM ({LOOPS}) g JOIN ({PART_STMT}) u ON u.proc = g.proc AND u.var = g.var AND u.op = 'index' AND u.node BETWEEN g.lo AND g.hi
+  WHERE g.bound > u.val % {ROOM} + 1 AND EXISTS (SELECT 1 FROM ({PART_STMT}) p WHERE p.proc = g.proc AND p.var = g.var AND p.op = 'up' AND p.node BETWEEN g.lo AND g.hi)"""
+
+#: The same procedures as lines of C, and null dereferences found in them.
+C_LINES = f"""SELECT proc, node AS line, CASE op WHEN 'loop' THEN 'while (v' || CAST(var AS STRING) || ' != NULL) {{' WHEN 'begin' THEN 'if (v' || CAST(var AS STRING) || ') return;' WHEN 'up' THEN 'if(v' || CAST(var AS STRING) || ' == NULL) v = 0;' WHEN 'index' THEN 'use(v' || CAST(var AS STRING) || '[0]);' ELSE 'int n = ' || CAST(val AS STRING) || ';' END AS text FROM ({PART_STMT}) s"""
+DEREFS = f"SELECT proc, node AS place, 'v' || CAST(var AS STRING) AS name, CASE WHEN val % 10 = 0 THEN 200 ELSE 70 + val % 31 END AS conf FROM ({PART_STMT}) s WHERE op = 'index'"
+#: Whether the text checks the variable, by a test of it or by comparing it with NULL.
+TESTED = "(text LIKE '%if (' || name || '%' OR text LIKE '%if(' || name || '%')"
+COMPARED = "(text LIKE '%' || name || ' != NULL%' OR text LIKE '%' || name || ' == NULL%')"
+
+
+def null_check_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: confidence of null dereferences, times 0.6 for a test of the variable among the lines from four before to two after, and
+    again for a comparison with NULL; kept from 0.7 on. Confidence in hundredths."""
+    found = _sql(spark, sf_dir, f"SELECT *, place - 4 AS lo, place + 2 AS hi FROM ({DEREFS}) d")
+    lines = _sql(spark, sf_dir, f"SELECT proc, line, line AS line_end, text FROM ({C_LINES}) c")
+    near = intervals.overlap_join(found, lines, ["proc"], ("lo", "hi"), ("line", "line_end"))
+    judged = near.groupBy("proc", "place", "name", "conf").agg(F.bool_or(F.expr(TESTED)).alias("tested"), F.bool_or(F.expr(COMPARED)).alias("compared"))
+    factor = lambda c: F.when(F.col(c), 6).otherwise(10)
+    conf = F.col("conf") * factor("tested") * factor("compared")
+    return judged.select("proc", "place", "name", "tested", "compared", conf.cast("bigint").alias("confidence"), (conf >= 7000).alias("kept"))
+
+
+DISCOUNT_SQL = f"""SELECT proc, place, name, tested, compared, CAST(conf * CASE WHEN tested THEN 6 ELSE 10 END * CASE WHEN compared THEN 6 ELSE 10 END AS BIGINT) AS confidence, conf * CASE WHEN tested THEN 6 ELSE 10 END * CASE WHEN compared THEN 6 ELSE 10 END >= 7000 AS kept FROM (
+  SELECT d.proc, d.place, d.name, d.conf, bool_or({TESTED}) AS tested, bool_or({COMPARED}) AS compared FROM ({DEREFS}) d JOIN ({C_LINES}) c ON c.proc = d.proc AND c.line BETWEEN d.place - 4 AND d.place + 2 GROUP BY d.proc, d.place, d.name, d.conf) j"""
+
+
 QUERIES: dict[str, Callable] = {
     "F8_reaching_definitions": reaching_definitions,
     "F9_ownership_at_exits": ownership_at_exits,
@@ -265,6 +420,15 @@ QUERIES: dict[str, Callable] = {
     "F6_dominators": dominators,
     "G2_unavoidable_recursion": uncontrolled_recursion,
     "F6_flow_order": flow_order,
+    "C5_nearest_matches": nearest_matches,
+    "C5_ordered_matches": ordered_matches,
+    "H7_disjoint_folds": disjoint_folds,
+    "C7_case_hits": case_hits,
+    "G4_loop_bound": loop_overflows,
+    "B2_checked_on_lines": null_check_discount,
+    "L12_constants": constant_values,
+    "B15_dead_branches": dead_branches,
+    "G9_zero_divisors": zero_divisors,
     "F4_matched_calls": matched_calls,
     "D10_procedure_summaries": procedure_summaries,
     "C11_freeing_calls": freeing_calls,
@@ -282,6 +446,15 @@ ORACLES: dict[str, str] = {
     "F6_dominators": DOMINATORS_SQL,
     "G2_unavoidable_recursion": RECURSION_SQL,
     "F6_flow_order": ORDER_SQL,
+    "C5_nearest_matches": _greedy_sql("kind, gap,"),
+    "C5_ordered_matches": _greedy_sql(""),
+    "H7_disjoint_folds": FOLDS_SQL,
+    "C7_case_hits": CASES_SQL,
+    "G4_loop_bound": LOOPS_SQL,
+    "B2_checked_on_lines": DISCOUNT_SQL,
+    "L12_constants": VALUES_SQL,
+    "B15_dead_branches": DEAD_SQL,
+    "G9_zero_divisors": ZERO_SQL,
     "F4_matched_calls": MATCHED_SQL,
     "D10_procedure_summaries": SUMMARIES_SQL,
     "C11_freeing_calls": FREEING_SQL,
