@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import constants, flow, graphs, intervals, matching, tabulation
+from ..operators import access_paths, constants, flow, graphs, intervals, matching, sketches, tabulation
 from . import views
 
 #: Statements that set their target, and those that read their source.
@@ -413,6 +413,73 @@ DISCOUNT_SQL = f"""SELECT proc, place, name, tested, compared, CAST(conf * CASE
   SELECT d.proc, d.place, d.name, d.conf, bool_or({TESTED}) AS tested, bool_or({COMPARED}) AS compared FROM ({DEREFS}) d JOIN ({C_LINES}) c ON c.proc = d.proc AND c.line BETWEEN d.place - 4 AND d.place + 2 GROUP BY d.proc, d.place, d.name, d.conf) j"""
 
 
+#: Assignments between access paths of three variables: an order is a class, its items' numbers tell constructor (0), methods (1) and destructor (2).
+SELECTORS = "CASE {0} % 7 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'a.b' WHEN 4 THEN 'a.0' WHEN 5 THEN 'b.a' ELSE 'c' END"
+STRATUM = "CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 5 THEN 1 ELSE 2 END"
+ASSIGNED = f"SELECT DISTINCT l_orderkey AS scope, {STRATUM} AS stratum, CAST(l_partkey % 3 AS INT) AS var, {SELECTORS.format('l_suppkey')} AS path, CAST((l_suppkey + l_linenumber) % 3 AS INT) AS from_var, {SELECTORS.format('(l_partkey + l_linenumber)')} AS from_path FROM lineitem"
+TAINTS = f"SELECT l_orderkey AS scope, CAST(l_suppkey % 3 AS INT) AS var, {SELECTORS.format('(l_suppkey + l_partkey)')} AS path, min({STRATUM}) AS stratum FROM lineitem WHERE (l_partkey + l_linenumber) % 4 = 0 GROUP BY l_orderkey, l_suppkey % 3, {SELECTORS.format('(l_suppkey + l_partkey)')}"
+MOVED = access_paths.moved("path", "from_path", "to_path")
+
+
+def _tainted_paths(spark: SparkSession, sf_dir: str, strata: bool) -> DataFrame:
+    taints, assigned = _sql(spark, sf_dir, TAINTS), _sql(spark, sf_dir, ASSIGNED)
+    if not strata:
+        taints, assigned = taints.withColumn("stratum", F.lit(0)), assigned.withColumn("stratum", F.lit(0))
+    return access_paths.access_paths(taints, assigned, views.dialect(MOVED, 0))
+
+
+def field_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the tainted access paths of each scope, whatever the order of its assignments."""
+    return _tainted_paths(spark, sf_dir, False).select("scope", "var", "path")
+
+
+def member_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the same with constructor, methods and destructor one after the other: from which of them on is a path tainted."""
+    return _tainted_paths(spark, sf_dir, True)
+
+
+def _paths_sql(strata: bool) -> str:
+    at = "stratum" if strata else "0 AS stratum"
+    return f"""WITH RECURSIVE moves AS (SELECT DISTINCT scope, {at}, var, path AS to_path, from_var, from_path FROM ({ASSIGNED}) a), walk AS (SELECT scope, var, path, {at} FROM ({TAINTS}) t
+    UNION SELECT w.scope, m.var, {access_paths.moved("w.path", "m.from_path", "m.to_path")}, m.stratum FROM walk w JOIN moves m ON m.scope = w.scope AND m.from_var = w.var AND w.stratum <= m.stratum WHERE {access_paths.below("w.path", "m.from_path")} OR {access_paths.below("m.from_path", "w.path")})"""
+
+
+#: Lists, a part each: what is pushed at the end, taken from the front, and read by its index.
+QUEUE = """SELECT l_partkey AS list, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS INT) AS at_row, CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'pop' WHEN 1 THEN 'read' ELSE 'push' END AS op, l_suppkey % 3 = 0 AS tainted, CAST(l_suppkey % 4 AS INT) AS index FROM lineitem"""
+
+
+def queue_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """for each read of a list the element that its index names after all pops so far, and whether it is tainted."""
+    return access_paths.queue_elements(_sql(spark, sf_dir, QUEUE).withColumnRenamed("at_row", "at")).withColumnRenamed("at", "at_row")
+
+
+QUEUE_SQL = f"""WITH RECURSIVE ops AS ({QUEUE}), run AS (SELECT list, 0 AS at_row, CAST([] AS INT[]) AS held, CAST(NULL AS INT) AS index, CAST(NULL AS INT) AS element, false AS is_read FROM (SELECT DISTINCT list FROM ops) d
+    UNION ALL SELECT o.list, o.at_row, CASE o.op WHEN 'push' THEN list_append(r.held, o.at_row) WHEN 'pop' THEN r.held[2:] ELSE r.held END, o.index, CASE WHEN o.op = 'read' THEN r.held[o.index + 1] END, o.op = 'read' FROM run r JOIN ops o ON o.list = r.list AND o.at_row = r.at_row + 1)
+  SELECT r.list, r.at_row, r.index, r.element, coalesce(e.tainted, false) AS tainted FROM run r LEFT JOIN ops e ON e.list = r.list AND e.at_row = r.element WHERE r.is_read"""
+
+
+#: Findings by tool, weakness and month.
+DAILY = "SELECT l_suppkey % 3 AS tool, l_suppkey % 8 AS cwe, CAST(l_shipdate AS DATE) AS day, l_orderkey AS place, CAST(l_quantity AS BIGINT) AS amount, CAST(l_partkey % 40 AS STRING) AS rule FROM lineitem"
+#: What estimates may be off by: relative for distinct counts, in rank for quantiles.
+HLL_ERROR, KLL_ERROR = 0.08, 0.03
+
+
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by (tool, weakness, day), rolled up to tools without the findings, and held to exact figures: are all within their bounds."""
+    rows = _sql(spark, sf_dir, DAILY)
+    daily = sketches.sketched(rows, ["tool", "cwe", "day"], F.col("place"), F.col("amount"), F.col("rule"))
+    tools = sketches.estimated(sketches.rolled_up(sketches.rolled_up(daily, ["tool", "cwe"]), ["tool"]), ["tool"])
+    exact = rows.groupBy("tool").agg(F.count_distinct("place").alias("d"))
+    most = rows.groupBy("tool", "rule").count().groupBy("tool").agg(F.max("count").alias("most"))
+    rank = rows.join(tools.select("tool", "p50", "p95"), "tool").groupBy("tool").agg(*[f(F.when(F.expr(f"amount {o} {p}"), 1).otherwise(0)).alias(f"{p}_{n}") for p in ("p50", "p95") for n, o, f in (("below", "<", F.avg), ("upto", "<=", F.avg))])
+    all_in = tools.join(exact, "tool").join(most, "tool").join(rank.withColumnRenamed("tool", "t"), F.col("tool") == F.col("t"))
+    held = lambda p, q: ((F.col(f"{p}_below") <= q + KLL_ERROR) & (F.col(f"{p}_upto") >= q - KLL_ERROR)).alias(f"{p}_holds")
+    return all_in.select("tool", "n", (F.abs(F.col("distinct_places") - F.col("d")) <= F.greatest(F.lit(2), HLL_ERROR * F.col("d"))).alias("distinct_holds"), held("p50", 0.5), held("p95", 0.95), (F.col("top")[0]["count"] == F.col("most")).alias("top_holds"))
+
+
+SKETCH_SQL = f"SELECT tool, count(*) AS n, true AS distinct_holds, true AS p50_holds, true AS p95_holds, true AS top_holds FROM ({DAILY}) d GROUP BY tool"
+
+
 QUERIES: dict[str, Callable] = {
     "F8_reaching_definitions": reaching_definitions,
     "F9_ownership_at_exits": ownership_at_exits,
@@ -420,6 +487,10 @@ QUERIES: dict[str, Callable] = {
     "F6_dominators": dominators,
     "G2_unavoidable_recursion": uncontrolled_recursion,
     "F6_flow_order": flow_order,
+    "F3_field_taint": field_taint,
+    "F5_member_strata": member_strata,
+    "F3_queue_elements": queue_reads,
+    "D17_sketch_rollup": sketch_rollup,
     "C5_nearest_matches": nearest_matches,
     "C5_ordered_matches": ordered_matches,
     "H7_disjoint_folds": disjoint_folds,
@@ -446,6 +517,10 @@ ORACLES: dict[str, str] = {
     "F6_dominators": DOMINATORS_SQL,
     "G2_unavoidable_recursion": RECURSION_SQL,
     "F6_flow_order": ORDER_SQL,
+    "F3_field_taint": _paths_sql(False) + " SELECT DISTINCT scope, var, path FROM walk",
+    "F5_member_strata": _paths_sql(True) + " SELECT scope, var, path, min(stratum) AS stratum FROM walk GROUP BY scope, var, path",
+    "F3_queue_elements": QUEUE_SQL,
+    "D17_sketch_rollup": SKETCH_SQL,
     "C5_nearest_matches": _greedy_sql("kind, gap,"),
     "C5_ordered_matches": _greedy_sql(""),
     "H7_disjoint_folds": FOLDS_SQL,

@@ -65,6 +65,7 @@ MACROS = {
     "SECONDS": ("CAST(unix_timestamp(CAST({0} AS TIMESTAMP)) AS BIGINT)", "CAST(floor(epoch({0})) AS BIGINT)"),
     "LASTOF": ("last({0}, true)", "last_value({0} IGNORE NULLS)"),
     "AROUNDROWS": ("concat_ws(' / ', collect_list({0}) OVER ({1} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))", "array_to_string(list({0}) OVER ({1} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' / ')"),
+    "RXONE": ("regexp_extract({0}, {1}, 1)", "regexp_extract({0}, {1}, 1)"),
     "ENDSIN": ("endswith({0}, {1})", "suffix({0}, {1})"),
     "BASENAME": ("substring_index({0}, '/', -1)", "list_last(string_split({0}, '/'))"),
     "BITAND": ("({0} & {1})", "({0} & {1})"),
