@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators.fixpoint import new_folder
 from ..scan import engine
-from ..sources import readers
+from ..sources import readers, sarif
 from . import cases, views
 
 QUERIES: dict[str, Callable] = {}
@@ -52,6 +52,21 @@ ORACLES["A10_sarif_files"] = """SELECT p_partkey, CAST(0 AS INT) AS result_index
   UNION ALL SELECT p_partkey, 1, 'xss', 'fail', NULL, '', NULL, NULL, NULL, 'CWE-79' FROM part"""
 
 
+def sarif_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written and read again as files of the SARIF data source; the filter on levels is applied by the reader."""
+    sarif.register(spark)
+    folder = new_folder(spark, "sarif-source")
+    found = views.run(spark, sf_dir, "SELECT DISTINCT location, line, type, cwe, severity FROM v_finding")
+    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
+    found.select(F.coalesce("cwe", "type").alias("rule_id"), level.alias("level"), F.col("type").alias("message"), "location", "line").write.format("sarif").mode("append").save(folder)
+    read = spark.read.format("sarif").option("rangeBytes", 1 << 18).load(folder).filter("level = 'error'")
+    return read.groupBy("rule_id", "location").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.min("message").alias("type"))
+
+
+QUERIES["A18_sarif_source"] = sarif_source
+ORACLES["A18_sarif_source"] = "SELECT coalesce(cwe, type) AS rule_id, location, count(*) AS n, min(line) AS first_line, min(type) AS type FROM (SELECT DISTINCT location, line, type, cwe, severity FROM v_finding) f WHERE severity IN ('critical', 'high') GROUP BY coalesce(cwe, type), location"
+
+
 def scanner_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = """SELECT p_partkey, concat('{"results": [{"check_id": "r', p_size % 7, '", "path": "p/', p_brand, '", "start": {"line": ', p_size, '}, "extra": {"severity": "ERROR", "metadata": {"cwe": ',
       CASE p_partkey % 4 WHEN 0 THEN concat('"CWE-', p_size, ': Some Text"') WHEN 1 THEN concat('["CWE-', p_size, ': a", "cwe_0', p_size, '", "none"]') WHEN 2 THEN '"no number"' ELSE concat('"', p_size, '"') END, '}}}, {"check_id": "x", "path": "q"}]}') AS text FROM part"""

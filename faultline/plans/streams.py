@@ -26,6 +26,66 @@ def typestate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.drained(flows.typestate(rows), new_folder(spark, "typestate"), new_folder(spark, "typestate-state")).select("proc", "seq", "var", "cwe")
 
 
+def _in_parts(spark: SparkSession, df: DataFrame, name: str, run: Callable[[DataFrame], DataFrame], parts: int = 3, last: int = 1) -> DataFrame:
+    """What a stream gives for rows that arrive in parts (column part, from 1): a file and a trigger each; before the last parts the query is stopped, and a new one takes up at its checkpoint."""
+    folder, out, checkpoint = (new_folder(spark, f"{name}-{x}") for x in ("in", "out", "checkpoint"))
+    body = df.drop("part")
+    for some in (range(1, parts - last + 1), range(parts - last + 1, parts + 1)):
+        for k in some:
+            df.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(body.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        found = flows.drained(run(arriving), out, checkpoint)
+    return found
+
+
+#: Events in thirds of all time; of the first sixth some arrive with the last third, when all that they belong to is closed.
+TIMES = "SELECT min(SECONDS(ts)) AS lo, max(SECONDS(ts)) AS hi FROM events"
+LATE = "event_id % 50 = 7 AND 6 * (SECONDS(ts) - lo) < hi - lo"
+PARTED = f"SELECT e.event_id, e.user_id, e.event_type, e.ts, CASE WHEN {LATE} OR 3 * (SECONDS(ts) - lo) >= 2 * (hi - lo) THEN 3 WHEN 3 * (SECONDS(ts) - lo) >= hi - lo THEN 2 ELSE 1 END AS part FROM events e CROSS JOIN ({TIMES}) t"
+IN_TIME = f"SELECT e.*, SECONDS(ts) AS s, hi FROM events e CROSS JOIN ({TIMES}) t WHERE NOT ({LATE})"
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by hour and type of event, late rows left out, the query restarted before the last part; hours that the watermark has not closed are not out yet."""
+    rows = views.run(spark, sf_dir, PARTED)
+    found = _in_parts(spark, rows.withColumn("ts", F.col("ts").cast("timestamp")), "windows", flows.windowed_counts)
+    return found.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+QUERIES["N2_stream_windows"] = windows
+ORACLES["N2_stream_windows"] = f"SELECT FDIV(s, 3600) * 3600 AS start, event_type, count(*) AS n FROM ({IN_TIME}) e GROUP BY FDIV(s, 3600), event_type HAVING FDIV(s, 3600) * 3600 + 3600 <= max(hi) - 600"
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users with a gap of 30 minutes, over parts and a restart."""
+    rows = views.run(spark, sf_dir, PARTED)
+    found = _in_parts(spark, rows.withColumn("ts", F.col("ts").cast("timestamp")), "sessions", flows.sessions)
+    return found.select(F.unix_timestamp("start").alias("start"), "user_id", "n")
+
+
+QUERIES["N3_stream_sessions"] = user_sessions
+ORACLES["N3_stream_sessions"] = f"""SELECT min(s) AS start, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+  SELECT user_id, s, event_id, hi, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) < 1800 THEN 0 ELSE 1 END AS fresh FROM ({IN_TIME}) e) f) g GROUP BY user_id, session HAVING max(s) + 1800 <= max(hi) - 600"""
+
+#: When a finding was made, in minutes of 5,000.
+MINUTE = "CAST((line * 97 + conf * 31 + length(location) * 13 + flow_len * 7) % 5000 AS BIGINT)"
+MADE = f"SELECT location, type, line, tool, min({MINUTE}) AS m FROM v_finding GROUP BY location, type, line, tool"
+
+
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one tool that another confirms within three lines and twenty minutes, both as streams."""
+    rows = views.run(spark, sf_dir, f"SELECT location, type, line, tool, timestamp_seconds(1700000000 + 60 * m) AS ts, CAST(m * 3 / 5000 AS INT) + 1 AS part FROM ({MADE}) f WHERE tool IN ('alpha', 'beta')")
+
+    def run(arriving: DataFrame) -> DataFrame:
+        return flows.near_findings(arriving.filter("tool = 'alpha'"), arriving.filter("tool = 'beta'"))
+
+    return _in_parts(spark, rows, "grounding", run).select("location", "type", "line", "other_line")
+
+
+QUERIES["B18_stream_grounding"] = grounding
+ORACLES["B18_stream_grounding"] = f"SELECT a.location, a.type, a.line, b.line AS other_line FROM ({MADE}) a JOIN ({MADE}) b ON a.location = b.location AND a.type = b.type AND abs(a.line - b.line) <= 3 AND abs(a.m - b.m) <= 20 WHERE a.tool = 'alpha' AND b.tool = 'beta'"
+
+
 QUERIES["N4_stream_typestate"] = typestate
 ORACLES["N4_stream_typestate"] = catalog.SQL["E7_typestate"]
 

@@ -49,7 +49,7 @@ def read_sarif(texts: DataFrame, rules: DataFrame, column: str = "text") -> Data
         at["region"]["startLine"].alias("line"),
         F.array_min(F.map_values(prints)).alias("fingerprint"),
     )
-    return out.join(F.broadcast(rules), "rule_id", "left")
+    return out.join(rules, "rule_id", "left")
 
 
 def read_scanner_json(texts: DataFrame, column: str = "text") -> DataFrame:

@@ -25,6 +25,18 @@ def distinct_findings(found: DataFrame, time: str = "ts", late: str = "1 hour",
     return found.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def near_findings(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("location", "type"), lines: int = 3, apart: str = "20 minutes", late: str = "30 minutes") -> DataFrame:
+    """Pairs of findings of two streams, each with (keys, line, ts): equal keys, lines at most so far apart, times at most apart.
+    With watermarks on both sides and a band on time the join drops from its state what no row to come can meet."""
+    a = left.withWatermark("ts", late).select(*keys, "line", "ts").alias("a")
+    b = right.withWatermark("ts", late).select(*keys, "line", "ts").alias("b")
+    same = F.abs(F.col("a.line") - F.col("b.line")) <= lines
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    band = F.expr(f"b.ts >= a.ts - INTERVAL {apart} AND b.ts <= a.ts + INTERVAL {apart}")
+    return a.join(b, same & band).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.line").alias("line"), F.col("b.line").alias("other_line"), F.col("a.ts").alias("ts"))
+
+
 class LastOperation(StatefulProcessor):
     """State of a (proc, var): its last lifetime operation. Rows of a batch go by seq."""
 
@@ -48,7 +60,7 @@ class LastOperation(StatefulProcessor):
 
 
 def typestate(instructions: DataFrame) -> DataFrame:
-    """(proc, var, seq, cwe) of frees and uses after a free. The state store must be RocksDB, which holds states beyond memory."""
+    """(proc, var, seq, cwe) of frees and uses after a free. The state store must be RocksDB, which holds states beyond memory; the session is set to it."""
     instructions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return instructions.groupBy("proc", "var").transformWithStateInPandas(LastOperation(), "proc long, var int, seq int, cwe string", "append", "none")
 
