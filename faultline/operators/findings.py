@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .matching import one_to_one
 
 SARIF = "struct<version:string,runs:array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,name:string>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>>"
 
@@ -45,23 +44,6 @@ def anchored_clusters(rows: DataFrame, keys: list[str], line: str, reach: int) -
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one matches inside each key, nearest first: pairs (keys, left_line int, right_line int). A key's pairs come as one
-    sorted array, and many keys to a batch."""
-    row = T.StructType([T.StructField("gap", T.IntegerType()), T.StructField("left_line", T.IntegerType()), T.StructField("right_line", T.IntegerType())])
-
-    @F.pandas_udf(T.ArrayType(row))
-    def match(column: pd.Series) -> pd.Series:
-        out = []
-        for ranked in column:
-            left, right, kept = set(), set(), []
-            for p in ranked:
-                if p["left_line"] not in left and p["right_line"] not in right:
-                    left.add(p["left_line"])
-                    right.add(p["right_line"])
-                    kept.append(p)
-            out.append(kept)
-        return pd.Series(out)
-
-    lines = F.struct(F.abs(F.col("left_line") - F.col("right_line")).cast("int").alias("gap"), F.col("left_line").cast("int").alias("left_line"), F.col("right_line").cast("int").alias("right_line"))
-    grouped = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(lines)).alias("ranked"))
-    return grouped.select(*keys, F.explode(match("ranked")).alias("m")).select(*keys, "m.left_line", "m.right_line")
+    """One-to-one matches inside each key, nearest first: pairs (keys, left_line int, right_line int). Ties go by left_line, then right_line."""
+    near = pairs.select(*keys, F.col("left_line").alias("left"), F.col("right_line").alias("right"), F.abs(F.col("left_line") - F.col("right_line")).alias("gap"))
+    return one_to_one(near, keys, ["gap"]).select(*keys, F.col("left").alias("left_line"), F.col("right").alias("right_line"))

@@ -10,19 +10,34 @@ from ..scan.specs import SINK_TYPES
 from .fixpoint import _cut, reachable
 
 
+# receivers' types that a method is looked up under when its own name is not listed, in this order.
+TYPE_PREFIXES = (
+    "str", "bytes", "list", "dict", "set", "object", "ConfigParser", "configparser.ConfigParser", "request", "response", "session", "connection", "statement", "PreparedStatement",
+    "Statement", "Runtime", "runtime", "ProcessBuilder", "processBuilder", "URLDecoder", "URLEncoder", "java.net.URLDecoder", "java.net.URLEncoder", "Base64", "java.util.Base64", "String",
+    "StringBuilder", "StringBuffer", "MessageDigest", "Cipher", "SecretKeySpec", "ObjectInputStream", "ObjectOutputStream", "FileInputStream", "FileOutputStream", "File", "DocumentBuilder",
+    "SAXParser", "XMLReader", "XPath", "xpath", "DirContext", "ldapTemplate",
+)
+
+
 def candidates(callee: str = "callee"):
-    """The dotted suffixes of a call's name, the whole name first: what a row may be listed under."""
+    """What a call's name may be listed under: its dotted suffixes, the whole name first, and then its method under any type ("*.method")."""
     parts = F.split(F.col(callee), "[.]")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(i.alias("cut"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("candidate")))
+    suffixes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(i.alias("cut"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("candidate")))
+    typed = F.array(F.struct(F.size(parts).alias("cut"), F.concat(F.lit("*."), F.element_at(parts, -1)).alias("candidate")))
+    return F.when(F.size(parts) > 1, F.concat(suffixes, typed)).otherwise(suffixes)
 
 
 def looked_up(sites: DataFrame, rows: DataFrame, key: list[str], callee: str = "callee") -> DataFrame:
-    """The row of each role that a call site takes: the longest listed suffix, a later table's row before an earlier one's. Sites are
-    exploded into candidate names and joined on them; the rows are few and broadcast by size."""
+    """The row of each role that a call site takes: the longest listed suffix, else the first type that lists the method; a later
+    table's row before an earlier one's. Sites are exploded into candidate names and joined on them. Rows of a listed type are also
+    filed under "*.method", so that a site asks once for all types; the rows are few and broadcast by size."""
     named = sites.withColumn("c", F.explode(candidates(callee))).select(*sites.columns, "c.cut", "c.candidate")
-    hit = named.join(rows.select(F.col("name").alias("candidate"), "role", "kind", "args", "precedence"), "candidate")
-    best = Window.partitionBy(*key, "role").orderBy("cut", F.desc("precedence"), "kind")
-    return hit.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r").withColumnRenamed("candidate", "spec_name")
+    listed = rows.select(F.col("name").alias("spec_name"), "role", "kind", "args", "precedence")
+    owner, method = F.regexp_extract("spec_name", r"^(.*)[.][^.]*$", 1), F.substring_index("spec_name", ".", -1)
+    typed = listed.withColumn("type_rank", F.array_position(F.array(*map(F.lit, TYPE_PREFIXES)), owner).cast("int")).filter("type_rank > 0").withColumn("candidate", F.concat(F.lit("*."), method))
+    hit = named.join(listed.withColumn("type_rank", F.lit(0)).withColumn("candidate", F.col("spec_name")).unionByName(typed), "candidate").drop("candidate")
+    best = Window.partitionBy(*key, "role").orderBy("cut", "type_rank", F.desc("precedence"), "kind")
+    return hit.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r", "type_rank")
 
 
 def findings(facts: DataFrame, rows: DataFrame, language: str) -> DataFrame:

@@ -54,12 +54,13 @@ SQL: dict[str, str | tuple[str, str]] = {
     "B4_fail_on": "SELECT repo, bool_or(rank >= 5) AS fails_critical, bool_or(rank >= 3) AS fails_medium, CAST(CASE WHEN bool_or(rank >= 4) THEN 1 ELSE 0 END AS INT) AS exit_code FROM v_ranked GROUP BY repo",
     "B5_severity_and_cwe": "SELECT f.type, coalesce(upper(v.severity), 'MEDIUM') AS severity, v.cwe, count(*) AS n FROM v_finding f LEFT JOIN vuln v ON f.type = v.type GROUP BY f.type, v.severity, v.cwe",
     "B6_sink_to_type": "SELECT k.kind, coalesce(v.type, 'taint_flow') AS type FROM (SELECT DISTINCT lower(event_type) AS kind FROM events UNION SELECT type AS kind FROM v_finding) k LEFT JOIN vuln v ON k.kind = v.type",
-    "B7_sink_alias": "SELECT raw.kind AS raw_kind, coalesce(a.kind, raw.kind) AS kind FROM (SELECT 'code' AS kind UNION ALL SELECT 'xxe' UNION ALL SELECT 'path' UNION ALL SELECT 'sql' UNION ALL SELECT 'redos' UNION ALL SELECT 'ssl') raw LEFT JOIN sink_alias a ON raw.kind = a.raw",
+    "B7_sink_alias": "SELECT raw.kind AS raw_kind, coalesce(a.kind, raw.kind) AS kind, count(*) AS calls FROM (SELECT CASE l_suppkey % 6 WHEN 0 THEN 'code' WHEN 1 THEN 'xxe' WHEN 2 THEN 'path' WHEN 3 THEN 'sql' WHEN 4 THEN 'redos' ELSE 'ssl' END AS kind FROM lineitem) raw LEFT JOIN sink_alias a ON raw.kind = a.raw GROUP BY raw.kind, coalesce(a.kind, raw.kind)",
     "B8_candidate_files": "SELECT p.doc_id FROM v_path p WHERE RX(p.text, '(password|token|secret|exec|eval)') OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id AND l.toxic = 1)",
     "B9_placeholder_values": "SELECT doc_id, line_no, regexp_extract(line, '(password|token|secret)[ ]*=[ ]*\"?([A-Za-z0-9]+)', 2) AS secret FROM v_line WHERE RX(line, '(password|token|secret)[ ]*=[ ]*\"?[A-Za-z0-9]{4,}') AND NOT RX(lower(line), '(changeme|placeholder|example|xxxx|[$][{])')",
     "B10_xss_return_suppression": "SELECT location, proc, line, type, tool FROM (SELECT DISTINCT location, proc, line, type, tool, max(CASE WHEN type <> 'xss' THEN 1 ELSE 0 END) OVER (PARTITION BY location, proc) AS other FROM v_finding) t WHERE NOT (type = 'xss' AND other = 1)",
     "B14_bounded_allocation": "SELECT a.proc, a.seq, a.var FROM v_instr a LEFT ANTI JOIN (SELECT DISTINCT proc, var FROM v_instr WHERE op = 'use' AND val < 100) g ON a.proc = g.proc AND a.var = g.var WHERE a.op = 'alloc' AND a.val > 150",
     "B17_format_strings": "SELECT doc_id, line_no, RX(line, '%[0-9.]*[sdn]') AS directive, RX(line, '%%%') AS escaped FROM v_line WHERE RX(line, '%')",
+    "B17_unbounded_directives": "SELECT call, directive, (POSITION('%s' IN directive) > 0 OR POSITION('%[' IN directive) > 0) AS unbounded, count(*) AS calls FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'scanf' WHEN 1 THEN 'sscanf' ELSE 'fscanf' END AS call, CASE l_suppkey % 6 WHEN 0 THEN '%s' WHEN 1 THEN '%' || CAST(l_partkey % 9 + 1 AS STRING) || 's' WHEN 2 THEN '%[a-z]' WHEN 3 THEN '%7[^,]' WHEN 4 THEN '%d %s' ELSE '%d' END AS directive FROM lineitem) c GROUP BY call, directive, (POSITION('%s' IN directive) > 0 OR POSITION('%[' IN directive) > 0)",
     "B18_grounding": f"SELECT DISTINCT f.location, f.line, f.type FROM {_spread('(SELECT DISTINCT location, line, type FROM v_finding WHERE tool = ' + chr(39) + 'alpha' + chr(39) + ') x', 3)} f LEFT SEMI JOIN {_bucketed('(SELECT DISTINCT location, line, type FROM v_finding WHERE tool = ' + chr(39) + 'beta' + chr(39) + ') y', 3)} g ON f.location = g.location AND f.type = g.type AND f.bucket = g.bucket AND abs(f.line - g.line) <= 3",
     "B19_triage": """SELECT f.location, f.line, f.cwe, CASE WHEN v.status = 'false_positive' AND v.conf >= 75 THEN 'drop' WHEN v.conf IS NULL OR v.conf >= 35 AND v.conf < 75 THEN 'escalate' ELSE 'keep' END AS decision
       FROM (SELECT DISTINCT location, line, cwe FROM v_finding WHERE cwe IS NOT NULL) f LEFT JOIN (SELECT location, line, cwe, min(status) AS status, CAST(min((line * 7 + length(location)) % 100) AS INT) AS conf FROM v_truth GROUP BY location, line, cwe) v ON f.location = v.location AND f.line = v.line AND f.cwe = v.cwe""",
@@ -85,6 +86,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "C8_tool_agreement": """SELECT cwe, count_if(a AND b) AS both_tools, count_if(a AND NOT b) AS only_left, count_if(b AND NOT a) AS only_right FROM (SELECT coalesce(x.cwe, y.cwe) AS cwe, x.location IS NOT NULL AS a, y.location IS NOT NULL AS b FROM
       (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha' AND cwe IS NOT NULL AND conf >= 80) x FULL OUTER JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'beta' AND cwe IS NOT NULL AND conf >= 80) y ON x.location = y.location AND x.cwe = y.cwe) t GROUP BY cwe""",
     "C9_paired_twins": "SELECT proc, bool_or(repo = 'repo0') AS on_vulnerable, bool_or(repo = 'repo1') AS on_fixed, bool_or(repo = 'repo0') AND NOT bool_or(repo = 'repo1') AS right_verdict FROM v_finding WHERE type = 'xss' GROUP BY proc",
+    "C12_entry_points": "SELECT proc, name, called FROM (SELECT p.proc, CASE WHEN p.proc % 97 = 5 THEN 'main' ELSE 'f' || CAST(p.proc AS STRING) END AS name, c.callee IS NOT NULL AS called FROM (SELECT DISTINCT proc FROM v_stmt) p LEFT JOIN (SELECT DISTINCT callee FROM v_stmt WHERE op = 'call') c ON c.callee = p.proc) q WHERE NOT called OR name IN ('main', '__main__')",
     "C13_additive_merge": "SELECT location, cwe, 'own' AS origin FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha' AND cwe IS NOT NULL) a UNION ALL SELECT g.location, g.cwe, 'added' FROM (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'gamma' AND cwe IS NOT NULL) g LEFT ANTI JOIN (SELECT DISTINCT location, cwe FROM v_finding WHERE tool = 'alpha') a ON g.location = a.location AND g.cwe = a.cwe",
     "C14_heap_edges": "SELECT a.src, b.dst FROM v_heap a JOIN v_heap b ON a.dst = b.src",
     "C16_as_of": "SELECT event_id, user_id, CAST(LASTOF(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS last_signup FROM events",
@@ -98,6 +100,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "D7_division_accuracy": "SELECT o_orderpriority AS division, count(*) AS cases, count_if(o_orderstatus = 'F') AS correct, RATIO(count_if(o_orderstatus = 'F'), count(*)) AS accuracy, round(avg(o_totalprice), 2) AS mean_ms, count_if(o_orderstatus = 'P') AS errors, SETOF(CASE WHEN o_orderstatus = 'P' AND o_totalprice > 480000 THEN CAST(o_orderkey AS STRING) END) AS failures FROM orders GROUP BY o_orderpriority",
     "D8_result_correctness": "SELECT expected, actual, count(*) AS n, bool_and(expected = actual OR expected = 'unknown' AND actual IN ('sat', 'unsat')) AS correct FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 'sat' WHEN 1 THEN 'unsat' ELSE 'unknown' END AS expected, CASE o_orderkey % 4 WHEN 0 THEN 'sat' WHEN 1 THEN 'unsat' WHEN 2 THEN 'unknown' ELSE 'error' END AS actual FROM orders) t GROUP BY expected, actual",
     "D9_macro_mean": f"SELECT round(avg(recall), 4) AS macro_recall, round(avg(prec), 4) AS macro_precision, RATIO(count_if(said = 0), count(*)) AS abstain_rate, count(*) AS tasks FROM (SELECT repo, location, cwe, RATIO(count_if(hits > 0), count(*)) AS recall, RATIO(ISUM(least(hits, 1)), nullif(ISUM(hits), 0)) AS prec, ISUM(hits) AS said FROM ({_MATCHED}) m GROUP BY repo, location, cwe) t",
+    "D9_true_negatives": """SELECT t.tool, count(*) AS tasks, ISUM(CASE WHEN h.location IS NULL THEN 1 ELSE 0 END) AS silent, RATIO(ISUM(CASE WHEN h.location IS NULL THEN 1 ELSE 0 END), count(*)) AS true_negative_rate
+      FROM (SELECT c.location, c.cwe, g.tool FROM (SELECT location, cwe FROM v_truth GROUP BY location, cwe HAVING count_if(status = 'true_positive') = 0) c CROSS JOIN (SELECT DISTINCT tool FROM v_finding) g) t
+      LEFT JOIN (SELECT DISTINCT location, cwe, tool FROM v_finding) h ON h.location = t.location AND h.cwe = t.cwe AND h.tool = t.tool GROUP BY t.tool""",
     "D10_procedure_summary": "SELECT proc, var, bool_or(op = 'free') AS frees, bool_or(op = 'use') AS derefs, SETOF(op) AS ops FROM v_instr GROUP BY proc, var",
     "D11_constant_return": "SELECT proc, var, count(DISTINCT val) = 1 AND bool_and(op = 'assign') AS always_constant FROM v_instr GROUP BY proc, var",
     "D12_single_assignment": "SELECT proc, var, max(val) AS constant FROM v_instr WHERE op = 'assign' GROUP BY proc, var HAVING count(*) = 1",
@@ -119,8 +124,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     "E11_stability_histogram": "SELECT detected, count(*) AS procs FROM (SELECT proc, count(DISTINCT repo) AS detected FROM v_finding WHERE severity = 'critical' AND witness GROUP BY proc) t GROUP BY detected",
     "E12_ranks": "SELECT p_partkey, CAST(ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS INT) AS quartile, cume_dist() OVER (PARTITION BY p_brand ORDER BY p_size) AS share, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INT) AS size_rank, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next_part FROM part",
     # recursion
-    "F7_cwe_ancestors": "WITH RECURSIVE up AS (SELECT child, parent, 1 AS depth FROM cwe_edge UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN cwe_edge e ON u.parent = e.child WHERE u.depth < 12) SELECT child, parent AS ancestor, min(depth) AS depth FROM up GROUP BY child, parent",
-    "F7_matches_any": "WITH RECURSIVE up AS (SELECT child, parent, 1 AS depth FROM cwe_edge UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN cwe_edge e ON u.parent = e.child WHERE u.depth < 12) SELECT cwe, count(*) AS n FROM v_finding WHERE cwe IN (SELECT child FROM up WHERE parent IN ('CWE-74', 'CWE-118')) GROUP BY cwe",
+    "F7_cwe_ancestors": "WITH RECURSIVE up AS (SELECT child, parent, 1 AS depth FROM cwe_edge UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN cwe_edge e ON u.parent = e.child) SELECT child, parent AS ancestor, min(depth) AS depth FROM up WHERE child IN (SELECT cwe FROM v_finding) GROUP BY child, parent",
+    "F7_matches_any": "WITH RECURSIVE up AS (SELECT child, parent, 1 AS depth FROM cwe_edge UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN cwe_edge e ON u.parent = e.child) SELECT cwe, count(*) AS n FROM v_finding WHERE cwe IN (SELECT child FROM up WHERE parent IN ('CWE-74', 'CWE-118')) GROUP BY cwe",
     "F8_uninitialised_reads": "SELECT proc, seq, var FROM (SELECT proc, seq, var, op, count_if(op IN ('assign', 'alloc')) OVER (PARTITION BY proc, var ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS defs FROM v_instr) t WHERE op = 'use' AND defs = 0",
     "F9_leak_at_exit": "SELECT proc, var, seq FROM (SELECT proc, var, seq, op, row_number() OVER (PARTITION BY proc, var ORDER BY seq DESC) AS r FROM v_instr WHERE op IN ('alloc', 'free')) t WHERE r = 1 AND op = 'alloc'",
     # detectors
@@ -138,6 +143,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     ),
     "H2_top_six": f"SELECT cwe, type, location, line FROM (SELECT *, row_number() OVER (ORDER BY {_BETTER}, location) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cwe, type, location ORDER BY {_BETTER}) AS r FROM v_ranked) a WHERE r = 1) b WHERE place <= 6",
     "H3_most_common": "SELECT cwe, n, CAST(row_number() OVER (ORDER BY n DESC, cwe) AS INT) AS place FROM (SELECT coalesce(cwe, 'unmapped') AS cwe, count(*) AS n FROM v_finding GROUP BY coalesce(cwe, 'unmapped')) t",
+    "H6_sample_of_size": "SELECT division, p_partkey FROM (SELECT p_brand AS division, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS STRING)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) t CROSS JOIN (SELECT count(*) AS every FROM part) e WHERE r <= greatest(1, CAST(floor(n * 60e0 / every) AS BIGINT)) ORDER BY md5(CAST(p_partkey AS STRING)), p_partkey LIMIT 60",
     "H6_stratified_sample": "SELECT division, p_partkey FROM (SELECT p_brand AS division, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS STRING)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) t WHERE r <= greatest(1, CAST(floor(n * 0.1e0) AS BIGINT))",
     # sets
     "J1_union_producers": "SELECT location, line, 'alpha' AS tool FROM v_finding WHERE tool = 'alpha' UNION ALL SELECT location, line, 'beta' FROM v_finding WHERE tool = 'beta' UNION ALL SELECT location, line, 'gamma' FROM v_finding WHERE tool = 'gamma' UNION ALL SELECT location, line, 'truth' FROM v_truth UNION ALL SELECT CAST(doc_id AS STRING), line_no, 'lines' FROM v_line WHERE RX(line, '(password|token|secret)')",
@@ -145,7 +151,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "J3_intersect": "SELECT location, cwe FROM v_finding WHERE tool = 'alpha' INTERSECT SELECT location, cwe FROM v_finding WHERE tool = 'beta'",
     "J3_except": "SELECT location, cwe, line FROM v_finding WHERE tool = 'alpha' EXCEPT SELECT location, cwe, line FROM v_finding WHERE tool = 'beta'",
     "J4_distinct": "SELECT DISTINCT repo, tool, severity FROM v_finding_all",
-    "J5_overlay": "SELECT name, kind FROM (SELECT name, kind, row_number() OVER (PARTITION BY name ORDER BY precedence DESC) AS r FROM (SELECT raw AS name, kind, 1 AS precedence FROM sink_alias UNION ALL SELECT 'path', 'overlaid', 2 UNION ALL SELECT 'new', 'overlaid', 2) u) t WHERE r = 1",
+    "J5_overlay": "SELECT name, kind FROM (SELECT name, kind, row_number() OVER (PARTITION BY name ORDER BY precedence DESC, kind) AS r FROM (SELECT raw AS name, kind, 1 AS precedence FROM sink_alias UNION ALL SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'path' ELSE 'own_' || CAST(p_size AS STRING) END, 'overlaid', 2 FROM part) u) t WHERE r = 1",
     "J6_multiset_difference": (
         "SELECT p_brand || '|->' || CAST(p_size AS STRING) AS atom, count(*) AS left_over FROM (SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 0 EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 1) t GROUP BY p_brand, p_size",
         "SELECT p_brand || '|->' || CAST(p_size AS STRING) AS atom, a - b AS left_over FROM (SELECT p_brand, p_size, count_if(p_partkey % 2 = 0) AS a, count_if(p_partkey % 2 = 1) AS b FROM part GROUP BY p_brand, p_size) t WHERE a > b",
@@ -153,7 +159,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     # scalar functions
     "L1_cwe_normalise": "SELECT raw, CASE WHEN RX(raw, '[0-9]') THEN 'CWE-' || CAST(CAST(regexp_extract(raw, '([0-9]+)', 1) AS INT) AS STRING) END AS cwe FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'cwe_' || CAST(p_size AS STRING) WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN 'CWE-0' || CAST(p_size AS STRING) ELSE 'none' END AS raw FROM part) t",
     "L2_cwe_family": "SELECT cwe, CASE WHEN cwe IN ('CWE-89', 'CWE-79', 'CWE-78') THEN 'injection' WHEN cwe IN ('CWE-120', 'CWE-416', 'CWE-476') THEN 'memory' ELSE 'other' END AS family, count(*) AS n FROM v_finding GROUP BY cwe",
-    "L3_cwe_category": "SELECT v.cwe, min(v.type) AS category FROM vuln v WHERE v.cwe IS NOT NULL GROUP BY v.cwe",
+    "L3_cwe_category": "SELECT v.cwe, v.category, count(*) AS findings FROM (SELECT cwe, min(type) AS category FROM vuln WHERE cwe IS NOT NULL GROUP BY cwe) v JOIN v_finding f ON f.cwe = v.cwe GROUP BY v.cwe, v.category",
     "L4_paths": "SELECT DISTINCT location, regexp_extract(location, '([^/]+)$', 1) AS base, substr(location, instr(location, '/') + 1) AS relative FROM v_finding",
     "L5_sarif_levels": "SELECT severity, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM v_finding GROUP BY severity",
     "L6_cache_key": "SELECT doc_id, line_no, source || ':' || CAST(line_no AS STRING) || ':' || substr(sha1(line), 1, 12) AS cache_key FROM v_line",

@@ -66,11 +66,12 @@ def equality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitized_on_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Must-analysis over calls: facts 0..4 hold at procedure 5; a procedure divisible by 60 kills one."""
-    nodes = spark.range(300).select(F.col("id").cast("int").alias("node"))
+    """Must-analysis over calls: facts 0..4 hold at procedure 5; procedures 0, 60 and 120 kill one each, 3 and 4 are killed nowhere."""
+    calls = fixpoint._cut(_calls(spark, sf_dir))
+    nodes = calls.select(F.col("src").alias("node")).unionByName(calls.select(F.col("dst").alias("node"))).distinct()
     entry = spark.range(5).select(F.lit(5).alias("node"), F.col("id").cast("int").alias("fact"))
-    kills = nodes.filter("node % 60 = 0").select("node", F.expr("CAST(node / 60 AS INT)").alias("fact"))
-    return fixpoint.must_hold(nodes, _calls(spark, sf_dir), entry, kills)
+    kills = nodes.filter("node % 60 = 0 AND node < 180").select("node", F.expr("CAST(node / 60 AS INT)").alias("fact"))
+    return fixpoint.must_hold(nodes, calls, entry, kills)
 
 
 def callers_of_the_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,20 +123,26 @@ def anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.anchored_clusters(rows, ["location", "cwe"], "line", 3).groupBy("location", "cwe", "anchor").agg(F.count("*").alias("n"))
 
 
-def truth_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings and truths one to one: of the pairs of a file and weakness within five lines, the nearest first."""
-    pairs = views.run(
-        spark,
-        sf_dir,
-        """SELECT t.repo, t.cwe, t.location, t.line AS left_line, f.line AS right_line FROM
+#: Truths and findings of a file and weakness within five lines.
+TRUTH_PAIRS = """SELECT t.repo, t.cwe, t.location, t.line AS left_line, f.line AS right_line FROM
       (SELECT *, FDIV(line, 5) + step AS bucket FROM (SELECT DISTINCT repo, cwe, location, line FROM v_truth WHERE status = 'true_positive') x CROSS JOIN (SELECT -1 AS step UNION ALL SELECT 0 UNION ALL SELECT 1) around) t
       JOIN (SELECT *, FDIV(line, 5) AS bucket FROM (SELECT DISTINCT repo, cwe, location, line FROM v_finding) y) f
-      ON t.repo = f.repo AND t.cwe = f.cwe AND t.location = f.location AND t.bucket = f.bucket AND abs(t.line - f.line) <= 5""",
-    )
-    found = findings.greedy_matches(pairs, ["repo", "cwe", "location"])
+      ON t.repo = f.repo AND t.cwe = f.cwe AND t.location = f.location AND t.bucket = f.bucket AND abs(t.line - f.line) <= 5"""
+
+
+def truth_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and truths one to one: of the pairs of a file and weakness within five lines, the nearest first."""
+    found = findings.greedy_matches(views.run(spark, sf_dir, TRUTH_PAIRS), ["repo", "cwe", "location"])
     return found.groupBy("repo", "cwe").agg(F.count("*").alias("matched"), F.sum(F.abs(F.col("left_line") - F.col("right_line"))).alias("lines_apart"))
 
 
+#: The loop itself: in each step every file takes its nearest pair whose ends are both free.
+TRUTH_SQL = f"""WITH RECURSIVE near AS (SELECT *, row_number() OVER (PARTITION BY repo, cwe, location ORDER BY abs(left_line - right_line), left_line, right_line) AS n FROM ({TRUTH_PAIRS}) p),
+  step AS (SELECT repo, cwe, location, min(n) AS n, [min_by(left_line, n)] AS ls, [min_by(right_line, n)] AS rs FROM near GROUP BY repo, cwe, location
+    UNION ALL SELECT repo, cwe, location, min(n), list_append(any_value(ls), min_by(left_line, n)), list_append(any_value(rs), min_by(right_line, n)) FROM (SELECT s.repo, s.cwe, s.location, s.ls, s.rs, p.n, p.left_line, p.right_line FROM step s JOIN near p ON p.repo = s.repo AND p.cwe = s.cwe AND p.location = s.location AND p.n > s.n WHERE NOT list_contains(s.ls, p.left_line) AND NOT list_contains(s.rs, p.right_line)) q GROUP BY repo, cwe, location)
+  SELECT s.repo, s.cwe, count(*) AS matched, ISUM(abs(p.left_line - p.right_line)) AS lines_apart FROM step s JOIN near p ON p.repo = s.repo AND p.cwe = s.cwe AND p.location = s.location AND p.n = s.n GROUP BY s.repo, s.cwe"""
+
+
 FORMULAS = """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'a |-> b * b |-> nil |- ls(a, nil)' WHEN 1 THEN 'a |-> b |- a |-> c' WHEN 2 THEN 'ls(a, b) * ls(b, nil) |- ls(a, nil)'
   WHEN 3 THEN 'a |-> b * a |-> c' WHEN 4 THEN 'tree(a) |- tree(b)' ELSE 'a |-> ' END AS formula FROM part"""
 
@@ -171,6 +178,7 @@ ORACLES: dict[str, str] = {
     "E6_anchored_clusters": """WITH RECURSIVE lines AS (SELECT DISTINCT location, cwe, line FROM v_finding WHERE cwe IS NOT NULL), anchors AS (SELECT location, cwe, min(line) AS anchor FROM lines GROUP BY location, cwe
       UNION ALL SELECT l.location, l.cwe, min(l.line) FROM anchors a JOIN lines l ON l.location = a.location AND l.cwe = a.cwe AND l.line > a.anchor + 3 GROUP BY l.location, l.cwe)
       SELECT a.location, a.cwe, CAST(a.anchor AS INT) AS anchor, count(*) AS n FROM anchors a JOIN lines l ON l.location = a.location AND l.cwe = a.cwe AND l.line BETWEEN a.anchor AND a.anchor + 3 GROUP BY a.location, a.cwe, a.anchor""",
+    "C5_truth_matching": TRUTH_SQL,
     "F6_bfs_depth": "WITH RECURSIVE walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < (SELECT count(*) FROM part)) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
     "F11_heap_paths": "WITH RECURSIVE walk AS (SELECT src AS origin, dst AS node, 1 AS depth FROM v_heap UNION ALL SELECT w.origin, h.dst, w.depth + 1 FROM walk w JOIN v_heap h ON w.node = h.src WHERE w.depth < 10 AND h.dst <> w.origin) SELECT origin, node, min(depth) AS depth FROM walk GROUP BY origin, node",
     "G16_cookie_flags": "SELECT user_id, bool_or(event_type = 'view') AS http_only, bool_or(event_type = 'error') AS secure, CASE WHEN NOT bool_or(event_type = 'error') THEN 'CWE-614' WHEN NOT bool_or(event_type = 'view') THEN 'CWE-1004' ELSE 'none' END AS cwe FROM events GROUP BY user_id",
@@ -179,7 +187,7 @@ ORACLES: dict[str, str] = {
     "F2_taint_findings": TAINT_ORACLE,
     "F4_interprocedural": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON w.node = e.src WHERE w.depth < 64) SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node",
     "F10_equality_classes": f"WITH RECURSIVE edge AS ({CALLS}), either AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge), walk AS (SELECT src AS node, src AS label FROM either UNION SELECT b.dst, w.label FROM walk w JOIN either b ON w.node = b.src), least AS (SELECT node, min(label) AS component FROM walk GROUP BY node) SELECT component, count(*) AS members FROM least GROUP BY component",
-    "D14_must_hold": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node UNION SELECT e.dst FROM walk w JOIN edge e ON w.node = e.src), fails AS (SELECT CAST(k.n AS INT) AS node, CAST(k.n // 60 AS INT) AS fact FROM (SELECT unnest(range(300)) AS n) k WHERE k.n % 60 = 0 UNION SELECT e.dst, f.fact FROM fails f JOIN edge e ON f.node = e.src) SELECT w.node, CAST(k.fact AS INT) AS fact FROM walk w CROSS JOIN (SELECT unnest(range(5)) AS fact) k WHERE NOT EXISTS (SELECT 1 FROM fails f WHERE f.node = w.node AND f.fact = k.fact)",
+    "D14_must_hold": f"WITH RECURSIVE edge AS ({CALLS}), walk AS (SELECT CAST(5 AS INT) AS node UNION SELECT e.dst FROM walk w JOIN edge e ON w.node = e.src), fails AS (SELECT DISTINCT k.n AS node, CAST(k.n // 60 AS INT) AS fact FROM (SELECT src AS n FROM edge UNION SELECT dst FROM edge) k WHERE k.n % 60 = 0 AND k.n < 180 UNION SELECT e.dst, f.fact FROM fails f JOIN edge e ON f.node = e.src) SELECT w.node, CAST(k.fact AS INT) AS fact FROM walk w CROSS JOIN (SELECT unnest(range(5)) AS fact) k WHERE NOT EXISTS (SELECT 1 FROM fails f WHERE f.node = w.node AND f.fact = k.fact)",
     "F4_callers": f"WITH RECURSIVE edge AS ({CALLS}), back AS (SELECT CAST(n AS INT) AS node FROM (SELECT unnest(range(10)) AS n) k UNION SELECT e.src FROM back b JOIN edge e ON b.node = e.dst) SELECT node FROM back",
     "A18_sarif_round_trip": "SELECT cwe AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM (SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE cwe IS NOT NULL) t GROUP BY ALL",
 }

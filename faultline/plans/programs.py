@@ -216,14 +216,48 @@ def spec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["C1_spec_lookup"] = spec_lookup
 ORACLES["C1_spec_lookup"] = _lookup(f"SELECT p_partkey, callee, cut, array_to_string(list_slice(string_split(callee, '.'), cut + 1, len(string_split(callee, '.'))), '.') AS candidate FROM (SELECT p_partkey, callee, unnest(range(len(string_split(callee, '.')))) AS cut FROM ({CALLSITES}) q) w")
+#: Methods of receivers of unknown type.
+_METHODS = ("h.args", "a.b.get_json", "r7.META", "x.system", "conn9.execute", "s.upper", "os.system", "META", "q.cookies", "no.call")
+TYPED_SITES = f"SELECT p_partkey, CASE p_partkey % 10 {' '.join(f'WHEN {i} THEN {c!r}' for i, c in enumerate(_METHODS))} END AS callee FROM part"
+
+
+def typed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods whose own name is in no row, under the types that receivers may have."""
+    rows = specs.table(spark).filter("language = 'python' AND role IN ('source', 'sink', 'usage', 'sanitizer')")
+    return relational_taint.looked_up(views.run(spark, sf_dir, TYPED_SITES), rows, ["p_partkey", "callee"]).select("p_partkey", "callee", "role", "spec_name", "kind")
+
+
+def _typed_sql() -> str:
+    own = [s for s in specs.rows("python") if s.role in ("source", "sink", "usage", "sanitizer")]
+    types = ", ".join(f"({i}, '{t}')" for i, t in enumerate(relational_taint.TYPE_PREFIXES))
+    parts = "string_split(callee, '.')"
+    return f"""SELECT p_partkey, callee, role, spec_name, kind FROM (SELECT c.p_partkey, c.callee, s.role, s.name AS spec_name, s.kind, row_number() OVER (PARTITION BY c.p_partkey, s.role ORDER BY c.cut, s.kind) AS r FROM (
+        SELECT p_partkey, callee, cut, array_to_string(list_slice({parts}, cut + 1, len({parts})), '.') AS candidate FROM (SELECT p_partkey, callee, unnest(range(len({parts}))) AS cut FROM ({TYPED_SITES}) q) w
+        UNION ALL SELECT p_partkey, callee, 100 + t.n, t.type || '.' || list_last({parts}) FROM ({TYPED_SITES}) q CROSS JOIN (VALUES {types}) AS t(n, type) WHERE len({parts}) > 1) c
+      JOIN (VALUES {", ".join(f"('{s.name}', '{s.role}', '{s.kind}')" for s in own)}) AS s(name, role, kind) ON c.candidate = s.name) x WHERE r = 1"""
+
+
+QUERIES["C1_type_prefixes"] = typed_lookup
+ORACLES["C1_type_prefixes"] = _typed_sql()
 QUERIES["C2_spec_effects"] = lambda spark, sf_dir: spec_lookup(spark, sf_dir).groupBy("role", "kind").agg(F.count("*").alias("calls"))
 ORACLES["C2_spec_effects"] = f"SELECT role, kind, count(*) AS calls FROM ({ORACLES['C1_spec_lookup']}) z GROUP BY role, kind"
-QUERIES["P1_spec_rows"] = lambda spark, sf_dir: specs.table(spark).groupBy("language", "role").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
+#: Users' rows as JSON lines, one in five parts with a sink or sanitizer of its own.
+USER_ROWS = """SELECT '{"language": "python", "name": "lib' || CAST(p_partkey AS STRING) || '.run", "role": "' || CASE WHEN p_size % 2 = 0 THEN 'sink' ELSE 'sanitizer' END || '", "kind": "' || CASE WHEN p_size % 3 = 0 THEN 'shell' ELSE 'sql' END || '"}' AS line FROM part WHERE p_size % 5 = 0"""
+
+
+def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's rows and the users' rows, which are read where they lie, by language and role."""
+    user = views.run(spark, sf_dir, USER_ROWS).select(F.from_json("line", "language string, name string, role string, kind string").alias("r")).select("r.*")
+    return specs.table(spark).select("language", "name", "role", "kind").unionByName(user).groupBy("language", "role").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
+
+
+QUERIES["P1_spec_rows"] = spec_rows
 
 
 def _spec_counts() -> str:
     rows = [(lang, s.role, s.name) for lang in specs.TABLES for s in specs.rows(lang)]
-    return "SELECT language, role, count(*) AS n, count(DISTINCT name) AS n_names FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows) + ") AS t(language, role, name) GROUP BY language, role"
+    user = "SELECT 'python', CASE WHEN p_size % 2 = 0 THEN 'sink' ELSE 'sanitizer' END, 'lib' || CAST(p_partkey AS STRING) || '.run' FROM part WHERE p_size % 5 = 0"
+    return "SELECT language, role, count(*) AS n, count(DISTINCT name) AS n_names FROM (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows) + f") AS t(language, role, name) UNION ALL {user}) u GROUP BY language, role"
 
 
 ORACLES["P1_spec_rows"] = _spec_counts()
