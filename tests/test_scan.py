@@ -98,3 +98,14 @@ def test_a_scan_is_one_task_a_batch(spark):
     assert {(r.file, r.line, r.error) for r in rows} == {("a.py", 1, None), ("b.py", None, "no such file")}
     assert "Exchange" not in engine.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert engine.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("callers_first", [True, False])
+def test_chains_of_calls_settle_in_any_order(callers_first):
+    """Twenty wrappers around a sink, and around free: what the last one does reaches the first caller."""
+    parts = [f"def f{i}(x):\n    f{i + 1}(x)\n" for i in range(20)] + ["def f20(x):\n    eval(x)\n"]
+    found, errors = engine.scan_text("a.py", "".join(parts if callers_first else parts[::-1]) + "f0(input())\n")
+    assert [f.type for f in found] == ["code_injection"] and not errors
+    parts = ["void run(void) {\n  char *p = malloc(8);\n  if (!p) return;\n  g0(p);\n  free(p);\n}\n"] + [f"void g{i}(char *p) {{\n  g{i + 1}(p);\n}}\n" for i in range(20)] + ["void g20(char *p) {\n  free(p);\n}\n"]
+    found, errors = engine.scan_text("a.c", "#include <stdlib.h>\n" + "".join(parts if callers_first else parts[::-1]))
+    assert "double_free" in [f.type for f in found] and not errors
