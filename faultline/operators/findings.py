@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .fixpoint import _cut
 from .matching import one_to_one
 
 SARIF = "struct<version:string,runs:array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,name:string>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>>"
@@ -36,11 +40,25 @@ def read_sarif(texts: DataFrame, column: str = "sarif") -> DataFrame:
 
 
 def anchored_clusters(rows: DataFrame, keys: list[str], line: str, reach: int) -> DataFrame:
-    """The distinct lines of each key with the anchor of their cluster: the first line of a cluster takes all lines within reach of it, then the next begins."""
-    fold = f"""aggregate(lines, cast(array() as array<struct<line:int,anchor:int>>),
-      (done, x) -> concat(done, array(named_struct('line', x, 'anchor', if(size(done) > 0 AND x - element_at(done, -1).anchor <= {int(reach)}, element_at(done, -1).anchor, x)))))"""
-    lines = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(line).cast("int"))).alias("lines"))
-    return lines.select(*keys, F.explode(F.expr(fold)).alias("x")).select(*keys, F.col("x.line").alias(line), F.col("x.anchor").alias("anchor"))
+    """The distinct lines of each key with the anchor of their cluster: the first line of a cluster takes all lines within reach of it,
+    then the next begins. Each line knows by a window the first line beyond its reach; following that from a key's first line, in
+    steps that double each round, marks the anchors. A key of any size is sorted, never gathered into a row."""
+    lines = _cut(rows.select(*keys, F.col(line).cast("int").alias("at")).filter("at IS NOT NULL").distinct())
+    asked = lines.select(*keys, (F.col("at") + reach + 1).alias("pos"), F.lit(None).cast("int").alias("found"), "at").unionByName(lines.select(*keys, F.col("at").alias("pos"), F.col("at").alias("found"), F.lit(None).cast("int").alias("at")))
+    beyond = Window.partitionBy(*keys).orderBy(F.desc("pos"), F.desc_nulls_last("found")).rowsBetween(Window.unboundedPreceding, 0)
+    jump = _cut(asked.withColumn("next", F.last("found", True).over(beyond)).filter("at IS NOT NULL AND next IS NOT NULL").select(*keys, "at", "next"))
+    anchors = _cut(lines.groupBy(*keys).agg(F.min("at").alias("at")))
+    same = lambda a, b: reduce(lambda x, k: x & a[k].eqNullSafe(b[k]), keys, F.lit(True))
+    while not jump.isEmpty():
+        more = anchors.join(jump, same(anchors, jump) & (anchors["at"] == jump["at"])).select(*[anchors[k] for k in keys], F.col("next").alias("at"))
+        anchors = _cut(anchors.unionByName(more).distinct())
+        far = jump.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("at").alias("_at"), F.col("next").alias("further"))
+        onward = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("next") == F.col("_at"))
+        jump = _cut(jump.join(far, onward).select(*keys, "at", F.col("further").alias("next")))
+    marked = lines.withColumn("anchor", F.lit(None).cast("int")).unionByName(anchors.withColumn("anchor", F.col("at")))
+    marked = marked.groupBy(*keys, "at").agg(F.max("anchor").alias("anchor"))
+    upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.select(*keys, F.col("at").alias(line), F.last("anchor", True).over(upto).alias("anchor"))
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -61,6 +61,21 @@ def test_anchored_clusters(spark):
     assert got == [(1, 1), (3, 1), (4, 1), (5, 5), (8, 5), (9, 9)]
 
 
+def test_anchored_clusters_of_many_lines(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(k, x) for k in ("a", "b", None) for x in sorted(r.sample(range(3000), 700 if k == "a" else 9))]
+    want = set()
+    for k in ("a", "b", None):
+        anchor = None
+        for _, x in filter(lambda row: row[0] == k, rows):
+            anchor = x if anchor is None or x - anchor > 5 else anchor
+            want.add((k, x, anchor))
+    df = spark.createDataFrame(rows * 2, "file string, line int")
+    assert set(map(tuple, findings.anchored_clusters(df, ["file"], "line", 5).collect())) == want
+
+
 def test_greedy_matches_are_one_to_one(spark):
     pairs = spark.createDataFrame([("f", 1, 2), ("f", 1, 1), ("f", 3, 2), ("f", 3, 1)], "file string, left_line int, right_line int")
     assert {(r.left_line, r.right_line) for r in findings.greedy_matches(pairs, ["file"]).collect()} == {(1, 1), (3, 2)}
