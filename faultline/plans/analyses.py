@@ -22,6 +22,11 @@ def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return views.run(spark, sf_dir, text)
 
 
+def _shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What several queries read, written by the first of them."""
+    return spark.read.parquet(views.kept(spark, sf_dir, name, make, ["lineitem", "orders"]))
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, "SELECT proc, src, dst, label FROM v_step")
 
@@ -96,9 +101,13 @@ NULL_SQL = f"""WITH RECURSIVE step AS ({NULL_STEPS}), reached AS (SELECT DISTINC
   SELECT u.proc, u.node, u.src AS var, a.proc IS NULL AS certain FROM v_stmt u JOIN may m ON m.proc = u.proc AND m.node = u.node AND m.var = u.src LEFT JOIN absent a ON a.proc = u.proc AND a.node = u.node AND a.var = u.src WHERE u.op IN ('sink', 'call')"""
 
 
+def _dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir, "dominators", lambda: flow.dominators(_steps(spark, sf_dir), _sql(spark, sf_dir, ENTRIES)))
+
+
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """how many nodes dominate each node, itself included, and the nearest of the others."""
-    above = flow.dominators(_steps(spark, sf_dir), _sql(spark, sf_dir, ENTRIES))
+    above = _dominated(spark, sf_dir)
     depth = above.groupBy("proc", "node").agg(F.count("*").alias("dominators"))
     near = above.filter("node <> by").join(depth.select("proc", F.col("node").alias("by"), F.col("dominators").alias("d")), ["proc", "by"])
     nearest = near.groupBy("proc", "node").agg(F.max_by("by", "d").alias("nearest"))
@@ -121,7 +130,7 @@ HANDLERS = "SELECT proc FROM v_stmt WHERE op = 'return' AND val % 5 = 0"
 
 def uncontrolled_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of a procedure by itself that every way to its exit passes."""
-    above = flow.dominators(_steps(spark, sf_dir), _sql(spark, sf_dir, ENTRIES)).withColumnRenamed("node", "exit").withColumnRenamed("by", "node")
+    above = _dominated(spark, sf_dir).withColumnRenamed("node", "exit").withColumnRenamed("by", "node")
     calls = _sql(spark, sf_dir, f"SELECT proc, node, size + 1 AS exit FROM v_stmt WHERE {SELF_CALL}").join(_sql(spark, sf_dir, HANDLERS), "proc", "left_anti")
     return calls.join(above, ["proc", "node", "exit"], "left_semi").select("proc", "node")
 
@@ -178,16 +187,21 @@ def matched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.join(paths, ["proc", "node", "fact"]).select("proc", "node", F.col("fact").alias("var")).distinct()
 
 
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every procedure makes of its argument, and of nothing."""
+    return _shared(spark, sf_dir, "summaries", lambda: tabulation.summaries(_tabulated(spark, sf_dir, EACH_PROC), _sql(spark, sf_dir, EXITS)))
+
+
 def procedure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each procedure, whether it may return its argument, free it, or return what a source gave, through any calls."""
-    ends = tabulation.summaries(_tabulated(spark, sf_dir, EACH_PROC), _sql(spark, sf_dir, EXITS))
+    ends = _summaries(spark, sf_dir)
     case = lambda given, fact: F.coalesce(F.bool_or((F.col("given") == given) & (F.col("fact") == fact)), F.lit(False))
     return ends.groupBy("proc").agg(case(ARGUMENT, RETURNED).alias("returns_argument"), case(ARGUMENT, FREED).alias("frees_argument"), case(NOTHING, RETURNED).alias("returns_source"))
 
 
 def freeing_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: calls whose argument the callee frees, itself or through any calls, in any order of the procedures."""
-    frees = tabulation.summaries(_tabulated(spark, sf_dir, EACH_PROC), _sql(spark, sf_dir, EXITS)).filter((F.col("given") == ARGUMENT) & (F.col("fact") == FREED))
+    frees = _summaries(spark, sf_dir).filter((F.col("given") == ARGUMENT) & (F.col("fact") == FREED))
     calls = _sql(spark, sf_dir, "SELECT proc, node, callee, src AS var FROM v_stmt WHERE op = 'call'")
     return calls.join(frees.select(F.col("proc").alias("callee")), "callee").select("proc", "node", "callee", "var")
 
@@ -266,7 +280,14 @@ BEGINNING = f"SELECT p.proc, 0 AS node, v.var, CASE WHEN v.var = {ARGUMENT} THEN
 
 
 def _constants(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return constants.constants(_steps(spark, sf_dir), *(_sql(spark, sf_dir, x) for x in (ENTRIES, SETTING, TESTING, BEGINNING)))
+    """Values and open edges, found together."""
+
+    def make() -> DataFrame:
+        values, opened = constants.constants(_steps(spark, sf_dir), *(_sql(spark, sf_dir, x) for x in (ENTRIES, SETTING, TESTING, BEGINNING)))
+        return values.unionByName(opened, allowMissingColumns=True)
+
+    both = _shared(spark, sf_dir, "constants", make)
+    return both.filter("node IS NOT NULL").select("proc", "node", "var", "value"), both.filter("src IS NOT NULL").select("proc", "src", "dst", "label")
 
 
 def constant_values(spark: SparkSession, sf_dir: str) -> DataFrame:

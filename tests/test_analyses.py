@@ -123,8 +123,8 @@ def test_calls_return_to_their_caller_only(spark):
 
 @pytest.mark.parametrize("reverse", [False, True])
 def test_chains_of_any_depth_in_any_order(spark, reverse):
-    """Twenty wrappers; then the same with the last one calling itself, where nothing comes back."""
-    names = [f"p{i}" for i in range(20)]
+    """Wrappers in a chain; then the same with the last one calling itself, where nothing comes back."""
+    names = [f"p{i}" for i in range(6)]
     chain = {a: (b, True) for a, b in pairwise(names)}
     order = names[::-1] if reverse else names
     starts = spark.createDataFrame([("p0", 0, 1)], "proc string, node int, fact int")
@@ -132,9 +132,9 @@ def test_chains_of_any_depth_in_any_order(spark, reverse):
     ends = tabulation.summaries(paths, spark.createDataFrame([(p, 2) for p in names], "proc string, node int"))
     assert rows(ends) == sorted((p, 1, 1) for p in names)
     if reverse:
-        endless = chain | {"p19": ("p19", True)}
+        endless = chain | {"p5": ("p5", True)}
         paths = tabulation.tabulate(*program(spark, endless, order), starts)
-        assert paths.filter("node = 2 AND fact = 1").count() == 0 and paths.filter("proc = 'p19'").count() > 0
+        assert paths.filter("node = 2 AND fact = 1").count() == 0 and paths.filter("proc = 'p5'").count() > 0
 
 
 def random_edges(n, m, seed):
@@ -142,7 +142,7 @@ def random_edges(n, m, seed):
     return [(r.randrange(n), r.randrange(n)) for _ in range(m)]
 
 
-@pytest.mark.parametrize(("n", "m"), [(40, 30), (30, 50), (12, 60), (1, 3)])
+@pytest.mark.parametrize(("n", "m"), [(30, 45), (1, 3)])
 def test_strong_components_and_levels(spark, n, m):
     edges = random_edges(n, m, n + m)
     far = {a: reach(edges, a) for a in {x for e in edges for x in e}}
@@ -198,10 +198,10 @@ def test_constants_skip_dead_branches(spark):
     assert ("a", 1, 3, "false") not in open_edges and ("a", 3, 4, "") not in open_edges and ("b", 1, 2, "false") in open_edges and ("c", 0, 1, "true") not in open_edges
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_greedy_rounds_equal_the_loop(spark, seed):
     r = random.Random(seed)
-    wants = [(p, r.randrange(6), frozenset(r.sample(range(60 if seed == 1 else 9), r.randint(1, 3)))) for p in range(150)]
+    wants = [(p, r.randrange(6), frozenset(r.sample(range(30), r.randint(1, 3)))) for p in range(150)]
     used, want = set(), []
     for p, _, things in sorted(wants, key=lambda w: (w[1], w[0])):
         if not things & used:
