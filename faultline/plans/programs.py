@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import relational_taint
+from ..operators import line_rules, relational_taint
 from ..scan import engine, specs
 from . import views
 
@@ -338,7 +338,7 @@ CLINES = f"SELECT 'src/l' || CAST(p_partkey AS STRING) || '.c' AS filename, CAST
 def c_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ", ".join("'" + text.replace("'", "\\'") + "'" for text, _ in C_LINES)
     text = f"SELECT filename, concat(repeat('int a;\\n', pad), element_at(array({lines}), CAST(rule + 1 AS INT)), '\\n') AS text FROM ({CLINES}) c"
-    return engine.c_line_rules(views.run(spark, sf_dir, text)).select(F.col("file").alias("filename"), "line", "cwe")
+    return line_rules.c_line_rules(views.run(spark, sf_dir, text)).select(F.col("file").alias("filename"), "line", "cwe")
 
 
 QUERIES["G20_line_rules"] = c_lines

@@ -80,12 +80,25 @@ def _scalar(text: str):
     return {"true": True, "false": False, "null": None, "~": None, "": None}.get(text, text)
 
 
+def _bare(line: str) -> str:
+    """The line without its comment: a # at the beginning or after a space, outside of quoted scalars."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and (not line[:i].strip() or line[i - 1] in " [,:{-"):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+            return line[:i]
+    return line
+
+
 def parse_yaml(text: str):
     """Maps, lists, quoted and plain scalars, inline lists and comments by indentation: what manifests are written in."""
     rows = []
     for n, line in enumerate(text.split("\n"), 1):
-        bare = re.sub(r"(^|\s)#.*$", "", line) if '"' not in line and "'" not in line else line
-        if bare.strip() and not bare.lstrip().startswith("#"):
+        bare = _bare(line)
+        if bare.strip():
             rows.append((len(bare) - len(bare.lstrip(" ")), bare.strip(), n))
     at = 0
 

@@ -8,6 +8,7 @@ def test_yaml_subset():
     text = 'a: 1\nb:\n  - x: "q: r"\n    y: [1, two, \'3\']\n  - z\nc:\n- p: true\n  q:\n    - 4\n# end\nd: ~\n'
     assert readers.parse_yaml(text) == {"a": 1, "b": [{"x": "q: r", "y": [1, "two", "3"]}, "z"], "c": [{"p": True, "q": [4]}], "d": None}
     assert readers.parse_yaml("") is None
+    assert readers.parse_yaml("a: \"b # c\" # d\nb: it's # e\nc: 'x' #y\nd: p#q\n#\ne: [\"#\", 1] # f") == {"a": "b # c", "b": "it's", "c": "x", "d": "p#q", "e": ["#", 1]}
     with pytest.raises(readers.YamlProblem):
         readers.parse_yaml("a: 1\n   b: 2\n")
 

@@ -109,3 +109,14 @@ def test_chains_of_calls_settle_in_any_order(callers_first):
     parts = ["void run(void) {\n  char *p = malloc(8);\n  if (!p) return;\n  g0(p);\n  free(p);\n}\n"] + [f"void g{i}(char *p) {{\n  g{i + 1}(p);\n}}\n" for i in range(20)] + ["void g20(char *p) {\n  free(p);\n}\n"]
     found, errors = engine.scan_text("a.c", "#include <stdlib.h>\n" + "".join(parts if callers_first else parts[::-1]))
     assert "double_free" in [f.type for f in found] and not errors
+
+
+def test_line_rules_in_the_jvm_equal_those_in_python(spark):
+    from faultline.operators.line_rules import c_line_rules
+    from faultline.plans.programs import C_LINES
+
+    lines = [text for text, _ in C_LINES]
+    texts = ["\n".join(lines), "/* " + "\n".join(lines[:5]) + " */\n" + "\n".join(lines[5:]), "\n".join(f"x / y; // {t}" for t in lines), "/* open\n" + lines[0], "a /**/ " + lines[1] + " /* b\n\n*/ " + lines[2], "", "/" * 5000 + "\n" + lines[3], "x" * 200_000 + "\n" + lines[4]]
+    df = spark.createDataFrame([*((str(i), t, 1) for i, t in enumerate(texts)), ("n", None, 1)], "filename string, text string, line int")
+    want = sorted((str(i), line, f"CWE-{cwe}") for i, t in enumerate(texts) for line, cwe in line_rules(t))
+    assert sorted(map(tuple, c_line_rules(df).collect())) == want and len(want) > 20
