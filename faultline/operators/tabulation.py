@@ -20,12 +20,16 @@ def tabulate(flow: DataFrame, calls: DataFrame, returns: DataFrame, starts: Data
     flow, calls, returns = _cut(flow.distinct()), _cut(calls.distinct()), _cut(returns.distinct())
     ends = _cut(returns.select(F.col("callee").alias("proc"), F.col("exit").alias("node")).distinct())
     new = _cut(starts.select("proc", F.col("fact").alias("given"), "node", "fact").distinct())
+    kinds = dict(new.dtypes)
     parts, waiting, ended = [new], None, None
     while not new.isEmpty():
         inside = new.join(flow, ["proc", "node", "fact"]).select("proc", "given", F.col("to_node").alias("node"), F.col("to_fact").alias("fact"))
-        asked = _cut(new.join(calls, ["proc", "node", "fact"]).select("proc", "given", "node", "callee", "entry", "entry_fact"))
+        # one table holds who asks what of a callee, and what a callee entered with a fact ends with
+        asked = new.join(calls, ["proc", "node", "fact"]).select("proc", "given", "node", "callee", "entry", "entry_fact", F.lit(None).cast(kinds["node"]).alias("exit"), F.lit(None).cast(kinds["fact"]).alias("exit_fact"))
+        done = new.join(ends, ["proc", "node"]).select(F.lit(None).cast(kinds["proc"]).alias("proc"), F.lit(None).cast(kinds["fact"]).alias("given"), F.lit(None).cast(kinds["node"]).alias("node"), F.col("proc").alias("callee"), F.lit(None).cast(kinds["node"]).alias("entry"), F.col("given").alias("entry_fact"), F.col("node").alias("exit"), F.col("fact").alias("exit_fact"))
+        both = _cut(asked.unionByName(done))
+        asked, done = both.filter("exit IS NULL").drop("exit", "exit_fact"), both.filter("exit IS NOT NULL").select("callee", "entry_fact", "exit", "exit_fact")
         entered = asked.select(F.col("callee").alias("proc"), F.col("entry_fact").alias("given"), F.col("entry").alias("node"), F.col("entry_fact").alias("fact"))
-        done = _cut(new.join(ends, ["proc", "node"]).select(F.col("proc").alias("callee"), F.col("given").alias("entry_fact"), F.col("node").alias("exit"), F.col("fact").alias("exit_fact")))
         met = asked.join(done if ended is None else ended.unionByName(done), ["callee", "entry_fact"])
         if waiting is not None:
             met = met.unionByName(waiting.join(done, ["callee", "entry_fact"]))
