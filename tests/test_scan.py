@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from faultline.plans import cases
 from faultline.scan import brace_front, engine, python_front, specs
@@ -120,3 +121,13 @@ def test_line_rules_in_the_jvm_equal_those_in_python(spark):
     df = spark.createDataFrame([*((str(i), t, 1) for i, t in enumerate(texts)), ("n", None, 1)], "filename string, text string, line int")
     want = sorted((str(i), line, f"CWE-{cwe}") for i, t in enumerate(texts) for line, cwe in line_rules(t))
     assert sorted(map(tuple, c_line_rules(df).collect())) == want and len(want) > 20
+
+
+def test_files_of_one_split_are_dealt_over_tasks(spark):
+    """A small table has one split, however long its files take to scan."""
+    rows = spark.range(0, 2000, 1, 1).selectExpr("concat('f', id, '.py') AS filename", "'eval(input())\\n' AS text")
+    for made in (engine.scan(rows), engine.facts(rows)):
+        tasks = made.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("file").alias("files")).collect()
+        assert sum(t.files for t in tasks) == 2000
+        assert len(tasks) >= 8 and max(t.files for t in tasks) <= 300
+    assert engine.scan(rows.limit(0)).count() == 0
