@@ -163,7 +163,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "L4_paths": "SELECT DISTINCT location, regexp_extract(location, '([^/]+)$', 1) AS base, substr(location, instr(location, '/') + 1) AS relative FROM v_finding",
     "L5_sarif_levels": "SELECT severity, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM v_finding GROUP BY severity",
     "L6_cache_key": "SELECT doc_id, line_no, source || ':' || CAST(line_no AS STRING) || ':' || substr(sha1(line), 1, 12) AS cache_key FROM v_line",
-    "L8_strings": "SELECT doc_id, length(text) AS n, substr(text, 3, 5) AS part, instr(text, 'the') > 0 AS has_the, RX(text, '^[A-Z][a-z]+ ') AS matches, upper(substr(text, 1, 1)) || lower(substr(text, 2, 3)) AS head FROM documents",
+    "L8_strings": "SELECT doc_id, length(text) AS n, substr(text, 3, 5) AS part, instr(text, 'the') > 0 AS has_the, RX(text, '^[A-Z][a-z]+ ') AS matches, UPCASE(substr(text, 1, 1)) || DOWNCASE(substr(text, 2, 3)) AS head FROM documents",
     "L9_bitvectors": "SELECT p_partkey, BITAND(p_partkey, 255) AS band, XOR(p_partkey, CAST(90 AS BIGINT)) AS bxor, BITAND(SHL(BITAND(p_partkey, 255), 3), 255) AS shl, SHR(BITAND(p_partkey, 255), 2) AS lshr, BITAND(p_partkey * 7 + 5, 255) AS wrapped, BITAND(p_partkey, 255) < 128 AS ult, BITAND(p_partkey * 7 - p_size, 255) AS subtracted, CAST(floor(BITAND(p_partkey, 255) / CAST(1 + BITAND(p_size, 15) AS DOUBLE)) AS BIGINT) AS udiv, BITAND(p_partkey, 255) % (1 + BITAND(p_size, 15)) AS urem, SIGNED(BITAND(p_partkey, 255)) % (1 + BITAND(p_size, 15)) AS srem, CAST(CHOP(SIGNED(BITAND(p_partkey, 255)) / CAST(1 + BITAND(p_size, 15) AS DOUBLE)) AS BIGINT) AS sdiv, BITAND(SHR(SIGNED(BITAND(p_partkey, 255)), 2), 255) AS ashr, 255 - BITAND(p_partkey, 255) AS bnot, BITAND(p_partkey, 255) < BITAND(p_size * 5, 255) AS less_u, SIGNED(BITAND(p_partkey, 255)) < SIGNED(BITAND(CAST(p_size AS BIGINT) * 5, 255)) AS less_s, SIGNED(BITAND(p_partkey, 255)) >= SIGNED(BITAND(CAST(p_size AS BIGINT) * 5, 255)) AS at_least_s, CASE WHEN BITAND(p_partkey, 255) >= 128 THEN BITAND(p_partkey, 255) - 256 ELSE BITAND(p_partkey, 255) END AS signed_value FROM part",
     "L10_arrays": (
         "SELECT p_partkey, CAST(coalesce(element_at(map_concat(map_filter(map(0, 10), (k, v) -> k <> p_size % 3), map(CAST(p_size % 3 AS INT), 7)), 0), -1) AS INT) AS selected FROM part",

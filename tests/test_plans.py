@@ -149,3 +149,30 @@ def test_source_scan_and_sarif_take_all_rows(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [(f"f{k}.py", 5, "command_injection", 3) for k in range(290, 320) if k % 3]
     whole = views.run(spark, SF, "SELECT DISTINCT location, line, type, cwe, severity FROM v_finding WHERE cwe IS NOT NULL").count()
     assert sum(r.n for r in registry.queries()["A18_sarif_round_trip"](spark, SF).collect()) == whole
+
+
+def beside(tmp_path, spark, name, rows):
+    """The smallest tables with another one in place of name, and DuckDB on them."""
+    for t in views.TABLES:
+        if t != name:
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    c = duckdb.connect()
+    for t in views.TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet{'/*.parquet' if t == name else ''}'")
+    return c
+
+
+def same_as_sql(spark, duck, tmp_path, query):
+    df = registry.queries()[query](spark, str(tmp_path))
+    got = df.collect()
+    assert plain(got) == plain(duck.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[query]}) t").fetchall())
+    return got
+
+
+def test_a_letter_keeps_its_place_in_another_case(spark, tmp_path):
+    """A sharp s, ligatures, a letter with an iota below, a dotted capital I and a sigma at the end of a word."""
+    texts = ["ßach", "ŉabc", "ﬁabc", "ᾳabc", "ᾼabc", "ᾁabc", "ΐabc", "İabc", "xİab", "xΑΣ y", "xΑΣ", "a\U0001f600Bc", "éÀÉ", "", None]
+    duck = beside(tmp_path, spark, "documents", spark.createDataFrame([(i, t, "de", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = {r.doc_id: r.head for r in same_as_sql(spark, duck, tmp_path, "L8_strings")}
+    assert got[0] == "ẞach" and got[9] == "Xασ "
