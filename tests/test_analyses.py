@@ -278,3 +278,24 @@ def test_sketches_of_parts_equal_those_of_the_whole(spark):
         assert abs(r.p50 - 498) < 40 and abs(r.p95 - 947) < 40
         assert [x["count"] for x in r.top] == [x["count"] for x in whole[tool].top]
     assert sketches.rolled_up(parts, []).first().n == 60_000
+
+
+@pytest.mark.parametrize("looped", [1_000_000, 40])
+def test_one_to_one_in_a_fixed_order_needs_no_rounds(spark, monkeypatch, looped):
+    """A chain: each left takes the right that the one before left over. Rounds would follow one another along it; larger keys (and null ones) still go in them."""
+    rows = [(key, i, j) for key, n in (("a", 12), ("b", 30), (None, 3)) for i in range(n) for j in (i, i + 1)]
+    want = set()
+    for key in ("a", "b", None):
+        lefts, rights = set(), set()
+        for k, i, j in sorted(((k, i, j) for k, i, j in rows if k == key), key=lambda r: r[1:]):
+            if i not in lefts and j not in rights:
+                lefts.add(i)
+                rights.add(j)
+                want.add((k, i, j))
+    rounds = []
+    plain = matching.greedy_disjoint
+    monkeypatch.setattr(matching, "greedy_disjoint", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    monkeypatch.setattr(matching, "LOOPED", looped)
+    df = spark.createDataFrame(rows, "key string, left int, right int")
+    assert set(map(tuple, matching.one_to_one(df, ["key"], []).select("key", "left", "right").collect())) == want
+    assert len(rounds) == (looped == 40)
