@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import access_paths, constants, flow, graphs, intervals, matching, sketches, tabulation
-from faultline.plans import views
+from faultline.plans import analyses, views
 
 
 def rows(df):
@@ -299,3 +299,27 @@ def test_one_to_one_in_a_fixed_order_needs_no_rounds(spark, monkeypatch, looped)
     df = spark.createDataFrame(rows, "key string, left int, right int")
     assert set(map(tuple, matching.one_to_one(df, ["key"], []).select("key", "left", "right").collect())) == want
     assert len(rounds) == (looped == 40)
+
+
+def test_not_in_is_a_join_by_keys(spark):
+    """No table of all keys goes through the driver; nulls count as in SQL."""
+    rows = spark.createDataFrame([(1,), (2,), (None,), (2,)], "a int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for others, want in (([(1,), (3,)], [2, 2]), ([(1,), (None,)], [])):
+            other = spark.createDataFrame(others, "b int")
+            got = analyses._not_in(rows, "a", other, "b")
+            rows.createOrReplaceTempView("rows_in"), other.createOrReplaceTempView("others_in")
+            assert sorted(r.a for r in got.collect()) == want == sorted(r.a for r in spark.sql("SELECT a FROM rows_in WHERE a NOT IN (SELECT b FROM others_in)").collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "HashedRelationBroadcastMode" not in plan
+        heads = []
+        reach = analyses.graphs.reachable
+        analyses.graphs.reachable = lambda seeds, *a: heads.append(seeds) or reach(seeds, *a)
+        try:
+            analyses.heap_overlaps(spark, "/root/testdata/sf0.001")
+        finally:
+            analyses.graphs.reachable = reach
+        assert "HashedRelationBroadcastMode" not in heads[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
