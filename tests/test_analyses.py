@@ -6,7 +6,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import access_paths, constants, flow, graphs, intervals, matching, sketches, tabulation
+from faultline.operators import access_paths, constants, flow, graphs, intervals, matching, sketches, tabulation, whole
 from faultline.plans import analyses, views
 
 
@@ -323,3 +323,33 @@ def test_not_in_is_a_join_by_keys(spark):
         assert "HashedRelationBroadcastMode" not in heads[0]._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def facts_by_both_ways(spark, edges, starts, **given):
+    """Flow facts in tasks, and by rounds of joins."""
+    got = flow.flow_facts(edges, starts, **given)
+    tables = [edges.withColumn("label", F.lit("")), starts, *(given.get(x) for x in ("gen", "kill", "at_start", "edge_gen", "edge_kill"))]
+    return set(map(tuple, got.collect())), set(map(tuple, flow._in_rounds(*tables, "both").collect()))
+
+
+def test_procedures_of_a_bounded_size_need_no_rounds(spark, monkeypatch):
+    """A chain of 200 nodes and a loop: no table a round; what is too large for a task goes in rounds, and both ways agree."""
+    edges = [("a", i, i + 1) for i in range(200)] + [("b", 0, 1), ("b", 1, 0), ("b", 1, 2)]
+    gen = [("a", i, i, i % 2) for i in range(0, 200, 2)] + [("b", 1, 7, 0)]
+    frame = lambda data, names: spark.createDataFrame(data, "proc string, " + ", ".join(f"{x} int" for x in names.split()))
+    given = {"gen": frame(gen, "node fact part"), "kill": frame([("a", 150, 0), ("b", 1, 0)], "node part"), "at_start": frame([("a", 0, -3, 1)], "node fact part")}
+    links, starts = frame(edges, "src dst"), frame([("a", 0), ("b", 0)], "node")
+    with monkeypatch.context() as m:
+        m.setattr(flow, "_cut", None)
+        found = set(map(tuple, flow.flow_facts(links, starts, **given).collect()))
+    assert ("a", 200, 150, 0, True) in found and ("a", 200, 148, 0, True) not in found and ("b", 0, 7, 0, False) in found and ("a", 200, -3, 1, True) in found
+    monkeypatch.setattr(whole, "MOST", 9)
+    mixed, rounds = facts_by_both_ways(spark, links.filter("proc = 'b' OR src < 12"), starts, **given)
+    assert mixed == rounds == {f for f in found if f[0] == "b" or f[1] <= 12}
+
+
+def test_dominators_of_procedures_with_two_starts(spark):
+    """A node that two starts reach has itself above it, though no other."""
+    edges = spark.createDataFrame([(0, 0, 2), (0, 1, 2), (0, 2, 3)], "proc int, src int, dst int")
+    got = flow.dominators(edges, spark.createDataFrame([(0, 0), (0, 1)], "proc int, node int"))
+    assert set(map(tuple, got.collect())) == {(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 3, 2)}
