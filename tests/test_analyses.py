@@ -353,3 +353,29 @@ def test_dominators_of_procedures_with_two_starts(spark):
     edges = spark.createDataFrame([(0, 0, 2), (0, 1, 2), (0, 2, 3)], "proc int, src int, dst int")
     got = flow.dominators(edges, spark.createDataFrame([(0, 0), (0, 1)], "proc int, node int"))
     assert set(map(tuple, got.collect())) == {(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 3, 2)}
+
+
+def test_constants_in_tasks_and_in_rounds(spark, monkeypatch):
+    """No table a round for procedures of a bounded size; both ways agree on branches, loops, sums beyond a long and what is not given."""
+    r = random.Random(3)
+    edges, sets, tests, begin = [], [], [], []
+    for p in range(40):
+        size = r.randint(2, 6)
+        for n in range(size):
+            if r.random() < 0.4:
+                edges += [(p, n, n + 1, "true"), (p, n, r.randint(0, size), "false")]
+                tests.append((p, n, r.randrange(3), r.choice([0, 1, 2, None])))
+            else:
+                edges.append((p, n, n + 1, "next"))
+            if r.random() < 0.7:
+                sets.append((p, n, r.randrange(3), r.choice([None, 0, 1]), r.choice([None, None, 2]), r.choice([0, 1, 2**63 - 1, None])))
+        begin += [(p, 0, v, r.choice([0, 1, None])) for v in range(3) if r.random() < 0.8]
+    frame = lambda data, names: spark.createDataFrame(data, ", ".join(f"{x} {'string' if x == 'label' else 'long' if x in ('plus', 'value', 'least') else 'int'}" for x in names.split()))
+    given = [frame(edges, "proc src dst label"), frame([(p, 0) for p in range(40)], "proc node"), frame(sets, "proc node var left right plus"), frame(tests, "proc node var least"), frame(begin, "proc node var value")]
+    want = [set(map(tuple, x.collect())) for x in constants._in_rounds(*given)]
+    with monkeypatch.context() as m:
+        m.setattr(constants, "_cut", None)
+        both = constants.solved(*given)
+        assert [set(map(tuple, both.filter("node IS NOT NULL").select("proc", "node", "var", "value").collect())), set(map(tuple, both.filter("src IS NOT NULL").select("proc", "src", "dst", "label").collect()))] == want
+    monkeypatch.setattr(whole, "MOST", 14)
+    assert [set(map(tuple, x.collect())) for x in constants.constants(*given)] == want
