@@ -57,37 +57,40 @@ def _either(left: DataFrame | None, right: DataFrame | None, key: list[str]) ->
     return _union(*given).groupBy(*key).agg(F.bit_or("bits").alias("bits")) if given else None
 
 
-def flow_facts(edges: DataFrame, starts: DataFrame, gen: DataFrame | None = None, kill: DataFrame | None = None, at_start: DataFrame | None = None, edge_gen: DataFrame | None = None, edge_kill: DataFrame | None = None, ask: str = "both") -> DataFrame:
+def flow_facts(edges: DataFrame, starts: DataFrame, gen: DataFrame | None = None, kill: DataFrame | None = None, at_start: DataFrame | None = None, edge_gen: DataFrame | None = None, edge_kill: DataFrame | None = None, ask: str = "both", tell: DataFrame | None = None) -> DataFrame:
     """(proc, node, fact, part, must): the facts that may hold where a node begins, for the nodes that can be reached, and whether
     they hold on every way there. ask: "may" or "must" alone save the work of the other.
 
     edges: (proc, src, dst) and, where two edges join the same nodes, a label. starts: (proc, node). gen: (proc, node, fact, part)
     that hold after a node; kill: (proc, node, part), which ends all facts of that part in its procedure; a node kills first, then
     generates. at_start: (proc, node, fact, part) that hold at starts. edge_gen and edge_kill are the same with (src, dst, label)
-    in place of the node: what is learnt on a branch, after the node. Facts that are only killed are none."""
+    in place of the node: what is learnt on a branch, after the node. Facts that are only killed are none. tell: (proc, node), the
+    nodes to tell of; all if none are given."""
     edges = edges if "label" in edges.columns else edges.withColumn("label", F.lit(""))
     tables = [edges, starts, gen, kill, at_start, edge_gen, edge_kill]
     if not whole.are_numbers(tables, ("node", "src", "dst", "fact", "part")):
-        return _in_rounds(*tables, ask)
+        return _in_rounds(*tables, ask, tell)
+    tables.append(tell)
     source = [t if t is None or "node" in t.columns else t.withColumnRenamed("src", "node") for t in tables]
     small, large = whole.dealt(whole.one_table(source, COLUMNS))
     kinds = lambda *names: whole.widest(*[k for t in tables if t is not None for c, k in t.dtypes if c in names])
     proc = edges.schema["proc"].dataType.simpleString()
-    found = small.mapInArrow(whole.by_procedures(_solver(ask)), f"proc {proc}, node bigint, fact bigint, part bigint, must boolean")
+    found = small.mapInArrow(whole.by_procedures(_solver(ask, tell is not None)), f"proc {proc}, node bigint, fact bigint, part bigint, must boolean")
     found = found.select("proc", *[F.col(c).cast(kinds(*of)).alias(c) for c, of in (("node", ("node", "dst")), ("fact", ("fact",)), ("part", ("part",)))], "must")
     if large is None:
         return found
-    return found.unionByName(_in_rounds(*[None if t is None else t.join(large, "proc", "left_semi") for t in tables], ask))
+    *rest, told = [None if t is None else t.join(large, "proc", "left_semi") for t in tables]
+    return found.unionByName(_in_rounds(*rest, ask, told))
 
 
-#: What the rows of edges, starts, gen, kill, at_start, edge_gen and edge_kill hold as one table.
+#: What the rows of edges, starts, gen, kill, at_start, edge_gen, edge_kill and tell hold as one table.
 COLUMNS = {"node": "bigint", "dst": "bigint", "label": "string", "fact": "bigint", "part": "bigint"}
-EDGE, START, GEN, KILL, AT_START, EDGE_GEN, EDGE_KILL = range(7)
+EDGE, START, GEN, KILL, AT_START, EDGE_GEN, EDGE_KILL, TELL = range(8)
 #: Pairs of a node and a fact that are told at once.
 TOLD = 1_000_000
 
 
-def _solver(ask: str):
+def _solver(ask: str, some_only: bool):
     """The rounds of some whole procedures: a cell is a node's word of 64 facts, a link a word of an edge; both are arrays."""
 
     def solve(table: pa.Table, proc: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -195,7 +198,9 @@ def _solver(ask: str):
             absent = settled(state, g | eg, (k & ~g & ~eg) | (ek & ~eg))
         held = every & ~absent if ask == "must" else may
         # told by node and fact, some nodes at once
-        told = np.flatnonzero(reached & (f_size[of_node] > 0))
+        asked = np.full(len(of_node), not some_only)
+        asked[here[rows(TELL)]] = True
+        told = np.flatnonzero(reached & asked & (f_size[of_node] > 0))
         upto = np.cumsum(f_size[of_node[told]])
         cut = 0
         while cut < len(told):
@@ -212,7 +217,7 @@ def _solver(ask: str):
     return solve
 
 
-def _in_rounds(edges: DataFrame, starts: DataFrame, gen: DataFrame | None, kill: DataFrame | None, at_start: DataFrame | None, edge_gen: DataFrame | None, edge_kill: DataFrame | None, ask: str) -> DataFrame:
+def _in_rounds(edges: DataFrame, starts: DataFrame, gen: DataFrame | None, kill: DataFrame | None, at_start: DataFrame | None, edge_gen: DataFrame | None, edge_kill: DataFrame | None, ask: str, tell: DataFrame | None = None) -> DataFrame:
     """The same by joins, a round at a time, for procedures of any size."""
     link, node = ["proc", "src", "dst", "label"], ["proc", "node"]
     edges = _cut(edges.select(*link).distinct())
@@ -263,6 +268,7 @@ def _in_rounds(edges: DataFrame, starts: DataFrame, gen: DataFrame | None, kill:
     if ask != "may":
         held = held.join(of("must"), [*node, "word"], "left")
         absent = F.coalesce("must", absent)
+    held = held if tell is None else held.join(tell.select(*node).distinct(), node, "left_semi")
     told = held.join(known, ["proc", "word"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
     must = (absent.bitwiseAND(F.col("bit")) == 0) if ask != "may" else F.lit(None).cast("boolean")
     told = told.select(*node, "fact", "part", must.alias("must"))

@@ -379,3 +379,17 @@ def test_constants_in_tasks_and_in_rounds(spark, monkeypatch):
         assert [set(map(tuple, both.filter("node IS NOT NULL").select("proc", "node", "var", "value").collect())), set(map(tuple, both.filter("src IS NOT NULL").select("proc", "src", "dst", "label").collect()))] == want
     monkeypatch.setattr(whole, "MOST", 14)
     assert [set(map(tuple, x.collect())) for x in constants.constants(*given)] == want
+
+
+def test_rounds_follow_calls_not_statements(spark, monkeypatch):
+    """A procedure of 40 steps that calls one of 40 steps: as many tables as for short ones; what is asked for alone is told."""
+    written = []
+    monkeypatch.setattr(tabulation, "_cut", lambda df, cut=tabulation._cut: written.append(1) or cut(df))
+    flows = [(p, i, 1, i + 1, 1) for p in "ab" for i in range(40) if (p, i) != ("a", 20)]
+    links = spark.createDataFrame(flows, "proc string, node int, fact int, to_node int, to_fact int")
+    entered, back = spark.createDataFrame([("a", 20, 1, "b", 0, 1)], CALLS), spark.createDataFrame([("a", 20, "b", 40, 1, 21, -1), ("a", 20, "b", 40, 1, 21, 1)], RETURNS)
+    starts = spark.createDataFrame([("a", 0, 1)], "proc string, node int, fact int")
+    got = set(map(tuple, tabulation.tabulate(links, entered, back, starts).collect()))
+    assert got == {(p, 1, i, 1) for p in "ab" for i in range(41)} | {("a", 1, 21, -1)} and len(written) <= 15
+    tell = spark.createDataFrame([("a", 40, 1), ("a", 21, -1), ("b", 40, 7)], "proc string, node int, fact int")
+    assert rows(tabulation.tabulate(links, entered, back, starts, tell)) == [("a", 1, 21, -1), ("a", 1, 40, 1)]
