@@ -1,12 +1,12 @@
 """Operator 6. Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors link when their labels are equal and their cosine, in double precision, reaches the threshold. Equal vectors are one
-point with a weight. The points of a label go to the cells of their OVERLAP nearest centers (k-means on a sample of about
-SAMPLE vectors, of 64 a label at least; a label of at most CELL points is one cell); a cell beyond CELL points is dealt into
-slices by a hash. In each slice a flat graph is built: nearest candidates, pruned so that
-an edge goes where no kept neighbour is ALPHA times closer. The adjacency lists of a point from all its slices are united.
-Each point is a query in every cell that can be the nearest one of a vector within the threshold: nearer the border to its own
-cell than such a vector can be away. A link counts where the other end is in its nearest cell, so each end counts it once.
+point with a weight. A point of a label is at home in the cell of its nearest center (k-means on a sample of about
+SAMPLE vectors, of 64 a label at least; a label of at most CELL points is one cell); a cell beyond SLICE times CELL points is
+dealt into slices by a hash. In each slice a flat graph is built: nearest candidates, pruned so that
+an edge goes where no kept neighbour is ALPHA times closer.
+Cells overlap by their queries: each point is one in every cell that can be home to a vector within the threshold, nearer the
+border to its own cell than such a vector can be away. So each end of a link finds the other at home, once, and graphs hold no copies.
 In the slice where it is at home, a query is a beam search from one point of each component of the graph, the medoid and
 the point, then range expansion through all points within SLACK of the threshold; AUDIT such queries are compared with a full
 scan; if fewer than AUDITED of their links were found, the slice is searched again with twice the beam and slack, and if no
@@ -30,7 +30,7 @@ from .common import discard, table, written
 from .components import connected_components
 
 COSINE = 0.93
-CELL, OVERLAP = 2048, 3
+CELL, SLICE = 2048, 3
 SAMPLE, CENTERS = 20_000, 512
 CANDIDATES, DEGREE, ALPHA = 96, 24, 1.2
 BEAM, SLACK = 32, 0.08
@@ -56,15 +56,14 @@ def centers_of(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.n
 
 
 def cells_of(v: np.ndarray, centers: np.ndarray, cosine: float) -> tuple[list[int], list[int]]:
-    """The OVERLAP nearest cells, home first; and all that can be home to a vector whose cosine to v reaches the threshold.
+    """The nearest cell, home; and all that can be home to a vector whose cosine to v reaches the threshold, home among them.
     Such a vector is at most an angle of arccos(cosine) away, and not nearer the home of v than its own center."""
     sims = centers @ v
-    best = np.argsort(-sims, kind="stable")[:OVERLAP]
-    home = best[0]
+    home = int(np.argmax(sims))
     apart = np.linalg.norm(centers[home] - centers, axis=1)
     reach = np.sqrt(max(0.0, 1 - cosine * cosine)) if cosine > 0 else 1.0
     ask = np.flatnonzero(sims[home] - sims <= reach * apart + 1e-9)
-    return best.tolist(), ask.tolist()
+    return [home], ask.tolist()
 
 
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
@@ -168,9 +167,7 @@ def _search(cosine: float):
         index = SliceSearch(x[base], lists)
         beam, slack = BEAM, SLACK
         own = np.array([place.get(int(v), -1) for v in node[ask]], np.int64)
-        inside = np.flatnonzero(own >= 0)
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        at_home = inside[home[ask[inside]]]
+        at_home = np.flatnonzero(own >= 0)
         audit = at_home[np.unique(np.linspace(0, len(at_home) - 1, min(AUDIT, len(at_home))).astype(int))] if len(at_home) else at_home
         exact = {i: set(f.tolist()) for i, f in zip(audit.tolist(), index.scan(x[ask[audit]], cosine), strict=True)}
         while True:
@@ -187,11 +184,10 @@ def _search(cosine: float):
         scanned = np.setdiff1d(np.arange(len(ask)), searched)
         for i, f in zip(scanned.tolist(), index.scan(x[ask[scanned]], cosine), strict=True):
             hits[i, f] = True
-        square = np.ix_(inside, own[inside])
+        square = np.ix_(at_home, own[at_home])
         hits[square] |= hits[square].T  # a link found from one side counts for both
-        hits[inside, own[inside]] = False
-        counted = np.where(home[base], weight[base], 0)
-        links = np.array([counted[row].sum() for row in hits], np.int64)
+        hits[at_home, own[at_home]] = False
+        links = np.array([weight[base[row]].sum() for row in hits], np.int64)
         known, at = np.unique(node, return_inverse=True)
         least = np.arange(len(known))
         for a, row in zip(at[ask], hits, strict=True):
@@ -229,36 +225,32 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", v
     def assign(batches):
         known = shared.value
         for batch in batches:
-            cells, homes, bases, asks, at = [], [], [], [], []
+            cells, homes, at = [], [], []
             for i, (label, dim, vector) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 c = known.get((label, dim))
-                best, ask = cells_of(unit(np.array([vector]))[0], c, cosine) if c is not None else ([0], [0])
-                for b in dict.fromkeys([*best, *ask]):
+                home, ask = cells_of(unit(np.array([vector]))[0], c, cosine) if c is not None else ([0], [0])
+                for b in ask:
                     cells.append(f"{label}/{dim}/{b}")
-                    homes.append(b == best[0])
-                    bases.append(b in best)
-                    asks.append(b in ask)
+                    homes.append(b == home[0])
                     at.append(i)
             part = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), *(pa.array(f, pa.bool_()) for f in (homes, bases, asks)), part.column(0), part.column(2), part.column(3)], names=["cell", "home", "base", "ask", "node", "vector", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), pa.array(homes, pa.bool_()), part.column(0), part.column(2), part.column(3)], names=["cell", "home", "node", "vector", "weight"])
 
-    placed = points.select("node", "label", "vector", "weight", "dim").mapInArrow(assign, "cell string, home boolean, base boolean, ask boolean, node long, vector array<double>, weight long")
+    placed = points.select("node", "label", "vector", "weight", "dim").mapInArrow(assign, "cell string, home boolean, node long, vector array<double>, weight long")
     placed = cells = written(placed, "placed")
-    dealt = lambda flag: F.greatest(F.lit(1), F.ceil(F.count_if(flag) / (OVERLAP * CELL)))
-    slices = placed.groupBy("cell").agg(dealt("base").alias("slices"), dealt("ask").alias("parts"))
+    dealt = lambda n: F.greatest(F.lit(1), F.ceil(n / (SLICE * CELL)))
+    slices = placed.groupBy("cell").agg(dealt(F.count_if("home")).alias("slices"), dealt(F.count("*")).alias("parts"))
     placed = placed.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    lists = placed.filter("base").groupBy("cell", "slice").applyInArrow(_graph, "node long, near array<long>")
-    united = lists.select("node", F.explode("near").alias("n")).groupBy("node").agg(F.collect_set("n").alias("near"))
+    lists = written(placed.filter("home").groupBy("cell", "slice").applyInArrow(_graph, "node long, near array<long>"), "adjacency")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    united = written(united, "adjacency")
-    base = placed.filter("base").join(united, "node", "left").withColumn("part", each("parts")).select("cell", "slice", "part", F.lit(0).alias("side"), "home", "node", "vector", "weight", "near")
-    ask = placed.filter("ask").withColumn("slice", each("slices")).select("cell", "slice", "part", F.lit(1).alias("side"), "home", "node", "vector", "weight", F.lit(None).cast("array<long>").alias("near"))
+    base = placed.filter("home").join(lists, "node", "left").withColumn("part", each("parts")).select("cell", "slice", "part", F.lit(0).alias("side"), "node", "vector", "weight", "near")
+    ask = placed.withColumn("slice", each("slices")).select("cell", "slice", "part", F.lit(1).alias("side"), "node", "vector", "weight", F.lit(None).cast("array<long>").alias("near"))
     found = written(base.unionByName(ask).groupBy("cell", "slice", "part").applyInArrow(_search(cosine), "node long, links long, peer long"), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))
     labels = written(connected_components(found, "node", "peer"), "labels")
     of_node = points.select("node", "weight").join(counts, "node", "left").join(labels, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("group"))
     of_node = written(of_node, "links-of-points")
-    for df in (cells, united, found, labels, points):
+    for df in (cells, lists, found, labels, points):
         discard(df)
     out = rows.join(of_node, "node", "left")
     least = out.filter("group IS NOT NULL").groupBy("group").agg(F.min("vec_id").alias("least"))

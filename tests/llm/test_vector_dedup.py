@@ -120,3 +120,25 @@ def test_cells_of_a_query_hold_every_near_vector():
     cells = [V.cells_of(v, centers, 0.93) for v in x]
     for i, j in np.argwhere(x @ x.T >= 0.93).tolist():
         assert cells[j][0][0] in cells[i][1]
+
+
+def test_a_vector_goes_only_to_cells_that_can_hold_its_links(spark, monkeypatch):
+    """Four far groups in one label of several cells: one row a vector, no copies of it in the graphs of other cells."""
+    monkeypatch.setattr(V, "CELL", 50)
+    placed = {}
+
+    def keep(df, name):
+        out = written(df, name)
+        if name == "placed":
+            placed["rows"], placed["homes"] = out.count(), out.filter("home").count()
+        return out
+
+    written = V.written
+    monkeypatch.setattr(V, "written", keep)
+    g = np.random.default_rng(4)
+    x = np.concatenate([c + 0.01 * g.normal(size=(50, 16)) for c in np.eye(16)[:4]])
+    want = ((V.unit(x) @ V.unit(x).T >= 0.93).sum(1) - 1).tolist()
+    got = V.linked(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == want
+    assert placed["homes"] == len(x)
+    assert placed["rows"] < 2 * len(x)
