@@ -90,6 +90,14 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def scan(x: np.ndarray, queries: np.ndarray, threshold: float) -> np.ndarray:
+    """What a search in x is to find, a row of marks for each query, by comparing everything, in blocks."""
+    out = np.zeros((len(queries), len(x)), bool)
+    for b in range(0, len(queries), 512):
+        np.greater_equal(queries[b : b + 512] @ x.T, threshold, out=out[b : b + 512])
+    return out
+
+
 class SliceSearch:
     def __init__(self, x: np.ndarray, adjacency: list[np.ndarray]):
         self.x = x
@@ -116,10 +124,6 @@ class SliceSearch:
                 return np.unique(label)
             label = new
 
-    def scan(self, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
-        """What within() is to find, by comparing everything, in blocks."""
-        return [np.flatnonzero(row >= threshold) for b in range(0, len(queries), 512) for row in queries[b : b + 512] @ self.x.T]
-
     def within(self, q: np.ndarray, own: int | None, threshold: float, beam: int, slack: float) -> np.ndarray:
         """Points found with a cosine of at least threshold to q."""
         seen = np.zeros(len(self.x), bool)
@@ -162,31 +166,33 @@ def _search(cosine: float):
         x = unit(_rows(t.column("vector")))
         base, ask = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         place = {int(v): i for i, v in enumerate(node[base])}
-        near = t.column("near").to_pylist()
-        lists = [np.array([place[v] for v in near[i] or () if v in place], np.int64) for i in base]
-        index = SliceSearch(x[base], lists)
-        beam, slack = BEAM, SLACK
         own = np.array([place.get(int(v), -1) for v in node[ask]], np.int64)
         at_home = np.flatnonzero(own >= 0)
-        audit = at_home[np.unique(np.linspace(0, len(at_home) - 1, min(AUDIT, len(at_home))).astype(int))] if len(at_home) else at_home
-        exact = {i: set(f.tolist()) for i, f in zip(audit.tolist(), index.scan(x[ask[audit]], cosine), strict=True)}
-        while True:
-            tried = {i: index.within(x[ask[i]], own[i], cosine, beam, slack) for i in exact}
-            hit = sum(len(exact[i] & set(tried[i].tolist())) for i in exact)
-            enough = hit >= AUDITED * sum(map(len, exact.values()))
-            if enough or beam > len(base):
-                break
-            beam, slack = 2 * beam, 2 * slack
         hits = np.zeros((len(ask), len(base)), bool)
-        searched = at_home if enough else at_home[:0]
-        for i in searched.tolist():
-            hits[i, tried[i] if i in tried else index.within(x[ask[i]], own[i], cosine, beam, slack)] = True
+        searched = at_home[:0]
+        if len(at_home):  # only the part of the queries at home has the graph
+            near = t.column("near").to_pylist()
+            index = SliceSearch(x[base], [np.array([place[v] for v in near[i] or () if v in place], np.int64) for i in base])
+            beam, slack = BEAM, SLACK
+            audit = at_home[np.unique(np.linspace(0, len(at_home) - 1, min(AUDIT, len(at_home))).astype(int))]
+            exact = {i: set(np.flatnonzero(f).tolist()) for i, f in zip(audit.tolist(), scan(x[base], x[ask[audit]], cosine), strict=True)}
+            while True:
+                tried = {i: index.within(x[ask[i]], own[i], cosine, beam, slack) for i in exact}
+                hit = sum(len(exact[i] & set(tried[i].tolist())) for i in exact)
+                enough = hit >= AUDITED * sum(map(len, exact.values()))
+                if enough or beam > len(base):
+                    break
+                beam, slack = 2 * beam, 2 * slack
+            searched = at_home if enough else searched
+            for i in searched.tolist():
+                hits[i, tried[i] if i in tried else index.within(x[ask[i]], own[i], cosine, beam, slack)] = True
         scanned = np.setdiff1d(np.arange(len(ask)), searched)
-        for i, f in zip(scanned.tolist(), index.scan(x[ask[scanned]], cosine), strict=True):
-            hits[i, f] = True
+        hits[scanned] = scan(x[base], x[ask[scanned]], cosine)
         square = np.ix_(at_home, own[at_home])
         hits[square] |= hits[square].T  # a link found from one side counts for both
         hits[at_home, own[at_home]] = False
+        some = hits.any(1)  # a query without links leaves no row
+        ask, hits = ask[some], hits[some]
         links = np.array([weight[base[row]].sum() for row in hits], np.int64)
         known, at = np.unique(node, return_inverse=True)
         least = np.arange(len(known))
@@ -240,10 +246,10 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", v
     placed = cells = written(placed, "placed")
     dealt = lambda n: F.greatest(F.lit(1), F.ceil(n / (SLICE * CELL)))
     slices = placed.groupBy("cell").agg(dealt(F.count_if("home")).alias("slices"), dealt(F.count("*")).alias("parts"))
-    placed = placed.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = placed.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).withColumn("part", F.when(F.col("home"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))))
     lists = written(placed.filter("home").groupBy("cell", "slice").applyInArrow(_graph, "node long, near array<long>"), "adjacency")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    base = placed.filter("home").join(lists, "node", "left").withColumn("part", each("parts")).select("cell", "slice", "part", F.lit(0).alias("side"), "node", "vector", "weight", "near")
+    base = placed.filter("home").join(lists, "node", "left").withColumn("part", each("parts")).select("cell", "slice", "part", F.lit(0).alias("side"), "node", "vector", "weight", F.expr("CASE WHEN part = 0 THEN near END").alias("near"))
     ask = placed.withColumn("slice", each("slices")).select("cell", "slice", "part", F.lit(1).alias("side"), "node", "vector", "weight", F.lit(None).cast("array<long>").alias("near"))
     found = written(base.unionByName(ask).groupBy("cell", "slice", "part").applyInArrow(_search(cosine), "node long, links long, peer long"), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("others"))

@@ -142,3 +142,25 @@ def test_a_vector_goes_only_to_cells_that_can_hold_its_links(spark, monkeypatch)
     assert [r.n_links for r in got] == want
     assert placed["homes"] == len(x)
     assert placed["rows"] < 2 * len(x)
+
+
+def test_queries_without_links_leave_no_rows(spark, monkeypatch):
+    """Scattered vectors, ten of them with one near vector: what the search gives follows the links, not the cells that are asked."""
+    monkeypatch.setattr(V, "CELL", 50)
+    found = []
+
+    def keep(df, name):
+        out = written(df, name)
+        if name == "found":
+            found.append(out.count())
+        return out
+
+    written = V.written
+    monkeypatch.setattr(V, "written", keep)
+    g = np.random.default_rng(11)
+    x = V.unit(g.normal(size=(300, 32)))
+    x = np.concatenate([x, x[:10] + 0.01 * g.normal(size=(10, 32))])
+    want = ((V.unit(x) @ V.unit(x).T >= 0.93).sum(1) - 1).tolist()
+    got = V.linked(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == want and sum(want) == 20
+    assert found[0] <= 2 * sum(want)
