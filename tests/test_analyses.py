@@ -6,7 +6,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import access_paths, constants, flow, graphs, intervals, matching, sketches, tabulation, whole
+from faultline.operators import access_paths, constants, fixpoint, flow, graphs, intervals, matching, sketches, tabulation, whole, whole_graphs
 from faultline.plans import analyses, views
 
 
@@ -393,3 +393,35 @@ def test_rounds_follow_calls_not_statements(spark, monkeypatch):
     assert got == {(p, 1, i, 1) for p in "ab" for i in range(41)} | {("a", 1, 21, -1)} and len(written) <= 15
     tell = spark.createDataFrame([("a", 40, 1), ("a", 21, -1), ("b", 40, 7)], "proc string, node int, fact int")
     assert rows(tabulation.tabulate(links, entered, back, starts, tell)) == [("a", 1, 21, -1), ("a", 1, 40, 1)]
+
+
+def linked(spark, edges, alone=()):
+    after = {a: [] for a in alone}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    return spark.createDataFrame([*after.items(), (None, [1])], "node long, next array<long>").repartition(3)
+
+
+@pytest.mark.parametrize(("most", "leaves"), [(2000, False), (6, False), (2000, True)])
+def test_graphs_whole_in_tasks(spark, monkeypatch, most, leaves):
+    """Parts and cycles of many graphs at once without a write to the shared folder; larger graphs, and edges between graphs, go in rounds."""
+    monkeypatch.setattr(whole, "MOST", most)
+    r = random.Random(most)
+    edges = [(1000 * g + r.randrange(n), 1000 * g + r.randrange(n)) for g, n in enumerate([1, 2, 3, 5, 7, 4]) for _ in range(2 * n)] + ([(3001, 4002), (4002, 3001)] if leaves else [])
+    edges += [(9000, None), (9000, 9000)] + ([] if most < 100 or leaves else [(8000 + i, 8000 + (i + 1) % 150) for i in range(150)])
+    real = [e for e in edges if None not in e]
+    far = {a: reach(real, a) for a in {x for e in real for x in e}}
+    df = linked(spark, edges, [9007])
+    if (most, leaves) == (2000, False):
+        monkeypatch.setattr(graphs, "_cut", None)
+    got = rows(whole_graphs.strong_components(df, "{0} div 1000"))
+    assert got == sorted([(a, max(b for b in far[a] if a in far[b])) for a in {a for a, _ in edges}] + [(9007, 9007)], key=str)
+
+    def ways(path):
+        yield path
+        for a, b in set(real):
+            if a == path[-1] and b > path[0] and b not in path:
+                yield from ways([*path, b])
+
+    loops = [w for s in far for w in ways([s]) if (w[-1], s) in real]
+    assert sorted(list(x.path) for x in whole_graphs.cycles(df, "{0} div 1000").collect()) == sorted(loops)
