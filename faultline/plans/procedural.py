@@ -87,7 +87,7 @@ def _heap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that node 0 reaches, by the least number of steps; no path is longer than there are edges."""
     heap = _heap(spark, sf_dir)
-    return fixpoint.reachable(spark.range(1).select(F.col("id").alias("node")), heap)
+    return fixpoint.far_reachable(spark.range(1).select(F.col("id").alias("node")), heap)
 
 
 #: Steps of a heap path, as in the reference.

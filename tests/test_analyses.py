@@ -425,3 +425,24 @@ def test_graphs_whole_in_tasks(spark, monkeypatch, most, leaves):
 
     loops = [w for s in far for w in ways([s]) if (w[-1], s) in real]
     assert sorted(list(x.path) for x in whole_graphs.cycles(df, "{0} div 1000").collect()) == sorted(loops)
+
+
+@pytest.mark.parametrize("extra", [0, 25])
+def test_far_nodes_take_few_rounds(spark, monkeypatch, extra):
+    """A way of 3,000 nodes that closes, with some other ways beside it: nearest depths, in rounds that grow with the logarithm."""
+    n, r = 3000, random.Random(extra)
+    edges = [(i, i + 1) for i in range(n - 1)] + [(n - 1, 7)] + [(r.randrange(n), r.choice([r.randrange(n), n + i])) for i in range(extra)] + [(n - 5, None)] * bool(extra)
+    after, depth, todo = {}, {0: 0, None: None}, [0]
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    for a in todo:
+        for b in after.get(a, []):
+            if depth.get(b) is None:
+                depth[b] = depth[a] + 1
+                todo += [b] if b is not None else []
+    want = {k: d for k, d in depth.items() if d is not None}
+    writes, cut = [], fixpoint._cut
+    monkeypatch.setattr(fixpoint, "_cut", lambda df: writes.append(1) or cut(df))
+    got = fixpoint.far_reachable(spark.createDataFrame([(0,)], "node long"), spark.createDataFrame(edges * 2, "src long, dst long")).collect()
+    assert {x.node: x.depth for x in got} == want and len(got) == len(want)
+    assert extra or len(writes) < 40
