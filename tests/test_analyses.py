@@ -446,3 +446,28 @@ def test_far_nodes_take_few_rounds(spark, monkeypatch, extra):
     got = fixpoint.far_reachable(spark.createDataFrame([(0,)], "node long"), spark.createDataFrame(edges * 2, "src long, dst long")).collect()
     assert {x.node: x.depth for x in got} == want and len(got) == len(want)
     assert extra or len(writes) < 40
+
+
+@pytest.mark.parametrize("most", [2000, 12])
+def test_paths_whole_in_tasks(spark, monkeypatch, most):
+    """Tainted paths of many scopes at once against a plain loop, nulls included; small scopes write no rounds."""
+    monkeypatch.setattr(whole, "MOST", most)
+    r = random.Random(8)
+    path = lambda: ".".join(r.choice("ab") for _ in range(r.randint(0, 3)))
+    var = lambda: r.choice([0, 1, 2, None])
+    taints = [(s, var(), path(), r.randrange(3)) for s in range(30) for _ in range(2)] + [(None, 1, "a", 2)]
+    moves = [(s, r.randrange(3), var(), path(), var(), path()) for s in [*range(30), None] for _ in range(r.choice([1, 3, 20 if s and s > 27 else 5]))]
+    want = {}
+    todo = list(taints)
+    for s, v, p, at in todo:
+        if want.get((s, v, p), 9) > at:
+            want[s, v, p] = at
+            for q, when, to_var, to_path, from_var, from_path in moves:
+                a, b, c = (x.split(".") if x else [] for x in (p, from_path, to_path))
+                if None not in (s, v) and (s, v) == (q, from_var) and at <= when and (a[: len(b)] == b or b[: len(a)] == a):
+                    todo.append((s, to_var, ".".join((c + a[len(b) :])[: access_paths.DEEPEST] if a[: len(b)] == b else c), when))
+    given = spark.createDataFrame(taints, "scope int, var int, path string, stratum int"), spark.createDataFrame(moves, "scope int, stratum int, var int, path string, from_var int, from_path string")
+    if most == 2000:
+        monkeypatch.setattr(access_paths, "_cut", None)
+    got = access_paths.access_paths(*given, views.dialect(access_paths.moved("path", "from_path", "to_path"), 0))
+    assert rows(got) == sorted([(*k, at) for k, at in want.items()], key=str) and got.schema["var"].dataType.simpleString() == "int"
