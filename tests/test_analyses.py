@@ -6,7 +6,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import access_paths, constants, fixpoint, flow, graphs, intervals, matching, sketches, tabulation, whole, whole_graphs
+from faultline.operators import access_paths, constants, fixpoint, flow, graphs, intervals, matching, sketches, tabulation, whole, whole_calls, whole_graphs
 from faultline.plans import analyses, views
 
 
@@ -471,3 +471,57 @@ def test_paths_whole_in_tasks(spark, monkeypatch, most):
         monkeypatch.setattr(access_paths, "_cut", None)
     got = access_paths.access_paths(*given, views.dialect(access_paths.moved("path", "from_path", "to_path"), 0))
     assert rows(got) == sorted([(*k, at) for k, at in want.items()], key=str) and got.schema["var"].dataType.simpleString() == "int"
+
+
+def test_states_of_calls_against_a_plain_loop(spark):
+    """Statements that branch, loop, return early and call, themselves included and procedures that are not there, with far fewer rows than a step of each fact has."""
+    r, stmts = random.Random(11), []
+    for proc in range(120):
+        size = r.randint(1, 9)
+        for node in range(1, size + 1):
+            stmts.append((proc, node, size, r.choice([*whole_calls.OPS, "call", "call", "source"]), r.randrange(4), r.randrange(4), r.randrange(-3, 50), r.randrange(-5, 130)))
+    # a chain of wrappers around one that frees its argument
+    stmts += [(p, 1, 1, *(("call", 2, 0, 0, p + 1) if p < 207 else ("free", 0, 0, 0, 0))) for p in range(200, 208)]
+    of = {(s[0], s[1]): s[2:] for s in stmts}
+    sizes = {s[0]: s[2] for s in stmts}
+    path = {(p, g, 1, g) for p in sizes for g in (-1, 0)}
+
+    def grown():
+        ends = {}
+        for p, g, n, f in path:
+            if n == sizes[p] + 1:
+                ends.setdefault((p, g), set()).add(f)
+        for p, g, n, f in path:
+            if n > sizes[p]:
+                continue
+            size, op, tgt, src, val, callee = of[p, n]
+            out = set() if op in ("source", "const", "copy", "add", "call") and tgt == f else {f}
+            out |= {tgt} if (op in ("copy", "add") and f == src) or (op == "source" and f == -1) else set()
+            out |= {9} if op == "free" and f == tgt else set()
+            if op == "call":
+                for e in [-1] * (f == -1) + [0] * (f == src):
+                    out |= {tgt if x == 1 else 9 for x in ends.get((callee, e), ()) if x in (1, 9)}
+            step = abs(val) % 3 * (1 if val > 0 else -1)
+            to = [size + 1 if op == "return" else n + 1] + [min(n + 2 + step, size + 1)] * (op == "branch") + [max(1, n - step)] * (op == "loop")
+            yield from ((p, g, t, x) for t in to for x in out if t <= size + 1)
+
+    while more := set(grown()) - path:
+        path |= more
+    place = {-1: 0, 0: 1, 1: 2, 2: 3, 3: 4, 9: 5}
+    want = dict.fromkeys(sizes, 0)
+    for p, g, n, f in path:
+        want[p] |= 1 << place[f] + 6 * (g == 0) if n == sizes[p] + 1 else 0
+    df = spark.createDataFrame(stmts, "proc long, node int, size int, op string, tgt int, src int, val int, callee long").repartition(4)
+    assert whole_calls.fits(df) and not whole_calls.fits(df.withColumn("tgt", F.expr("tgt - 1"))) and not whole_calls.fits(df.withColumn("val", F.expr("nullif(val, 3)")))
+    held = whole_calls.states(df)
+    assert {x.proc: x.held for x in held.collect()} == want and want[200] >> 11 & 1
+    # from procedures that none calls on
+    entered, todo = set(), [(p, -1) for p in sizes if p not in {s[7] for s in stmts if s[3] == "call"}]
+    starts = spark.createDataFrame([(p,) for p, _ in todo], "proc long")
+    while todo:
+        entered.add(now := todo.pop())
+        for p, g, n, f in path:
+            if (p, g) == now and n <= sizes[p] and of[p, n][1] == "call" and of[p, n][5] in sizes:
+                todo += [(of[p, n][5], e) for e in [-1] * (f == -1) + [0] * (f == of[p, n][3]) if (of[p, n][5], e) not in entered]
+    sinks = {(p, n, f) for p, g, n, f in path if (p, g) in entered and n <= sizes[p] and of[p, n][1] == "sink" and of[p, n][3] == f}
+    assert set(map(tuple, whole_calls.reached_sinks(df, held, starts).collect())) == sinks and sinks
